@@ -13,7 +13,7 @@ from ledgerlake.catalog.relations import published_orders, published_products
 from ledgerlake.catalog.views import given, view
 from ledgerlake.contracts import Field, ForeignKey, TableContract
 from ledgerlake.operators import profiling, quality
-from ledgerlake.operators.joins import orphan_count
+from ledgerlake.operators.joins import hot_keys, join_on_key, orphan_count
 from ledgerlake.plans import analysis, validation
 
 
@@ -408,9 +408,8 @@ def _contract_sql():
 @query("enforce_contract", _contract_sql())
 def _(spark, folder):
     header, product = view(spark, folder, "header"), view(spark, folder, "product")
-    described = view(spark, folder, "detail").join(
-        product.select("product_id", "product_desc"), "product_id", "left"
-    )
+    lines, names = view(spark, folder, "detail"), product.select("product_id", "product_desc")
+    described = join_on_key(lines, names, "product_id", "left", hot_keys(lines, "product_id"))
     parents = {"header": header, "product": product}
     return quality.enforce_contract(described, _LINE_CONTRACT, parents)
 

@@ -8,9 +8,25 @@ from ledgerlake.catalog.registry import query
 from ledgerlake.catalog.views import BATCH_TS, RULES, given, view
 from ledgerlake.functions import calendars, enrich, typing
 from ledgerlake.operators.batches import add_audit_columns
+from ledgerlake.operators.joins import hot_keys, join_on_key
 from ledgerlake.plans.validation import formula_deviation
 
 
+def _dated_lines(spark, folder):
+    """Order lines with the order's date."""
+    orders = given(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        F.col("o_orderdate").cast("date").alias("order_date"),
+    )
+    lines = given(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        F.col("l_shipdate").cast("date").alias("ship_date"),
+    )
+    return join_on_key(lines, orders, "l_orderkey", hot=hot_keys(lines, "l_orderkey"))
+
+
 @query(
     "add_audit_columns",
     f"""SELECT *, TIMESTAMP '{BATCH_TS}' AS etl_created_at, 'orders.csv' AS source_file_name
@@ -186,14 +202,11 @@ def _(spark, folder):
     JOIN calendar s ON s.day = CAST(l_shipdate AS DATE)""",
 )
 def _(spark, folder):
-    orders = given(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("order_date")
-    )
-    lines = given(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("ship_date")
+    lines = _dated_lines(spark, folder).select(
+        "l_orderkey", "l_linenumber", "order_date", "ship_date"
     )
     days = calendars.business_days_between(F.col("order_date"), F.col("ship_date"))
-    return lines.join(orders, "l_orderkey").withColumn("business_days", days)
+    return lines.withColumn("business_days", days)
 
 
 @query(
@@ -255,14 +268,8 @@ def _(spark, folder):
     WHERE CAST(l_shipdate AS DATE) <= CAST(o_orderdate AS DATE)""",
 )
 def _(spark, folder):
-    orders = given(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("order_date")
-    )
-    lines = given(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").alias("ship_date")
-    )
-    joined = lines.join(orders, "l_orderkey").where(F.col("ship_date") <= F.col("order_date"))
-    return joined.select("l_orderkey", "l_linenumber", "l_partkey", "order_date", "ship_date")
+    late = _dated_lines(spark, folder).where(F.col("ship_date") <= F.col("order_date"))
+    return late.select("l_orderkey", "l_linenumber", "l_partkey", "order_date", "ship_date")
 
 
 @query(

@@ -18,7 +18,8 @@ from ledgerlake.plans import analysis, publish, store
 
 def published_orders(spark, folder):
     header, detail = view(spark, folder, "header"), view(spark, folder, "detail")
-    return publish.publish_orders(detail, header, BATCH_TS).drop("etl_created_at")
+    hot = hot_keys(detail, "sales_order_id")
+    return publish.publish_orders(detail, header, BATCH_TS, hot).drop("etl_created_at")
 
 
 def published_products(spark, folder):
@@ -54,7 +55,7 @@ def _(spark, folder):
     products = view(spark, folder, "product").select(
         "product_id", "product_desc", "product_category_name"
     )
-    return lines.join(products, "product_id")
+    return join_on_key(lines, products, "product_id", hot=hot_keys(lines, "product_id"))
 
 
 @query(
@@ -246,10 +247,15 @@ def _(spark, folder):
 # ---- sorts and limits
 
 
-@query("order_by", "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal NULLS LAST")
+@query(
+    "order_by",
+    "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal NULLS LAST, c_custkey",
+)
 def _(spark, folder):
+    """The key comes last in the order so that many equal balances can be cut into
+    several ranges."""
     customers = given(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return customers.orderBy(F.col("c_acctbal").asc_nulls_last())
+    return customers.orderBy(F.col("c_acctbal").asc_nulls_last(), "c_custkey")
 
 
 @query("limit_sample", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
@@ -315,9 +321,7 @@ def _(spark, folder):
 
 @query("publish_orders", "SELECT * FROM lines")
 def _(spark, folder):
-    header, detail = view(spark, folder, "header"), view(spark, folder, "detail")
-    hot = hot_keys(detail, "sales_order_id")
-    return publish.publish_orders(detail, header, BATCH_TS, hot).drop("etl_created_at")
+    return published_orders(spark, folder)
 
 
 _Q1 = """SELECT year, color, CAST(round(total_revenue, 2) AS DECIMAL(38,2)) AS total_revenue

@@ -60,8 +60,7 @@ class Lake:
         return KeyedTable(self.spark, f"{self.root}/raw_file_metadata", "file_key", buckets=1)
 
     def manifest_rows(self) -> DataFrame:
-        table = self.manifest
-        return table.read() if table.version else self.spark.createDataFrame([], MANIFEST)
+        return self.manifest.read(empty=MANIFEST)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
@@ -92,16 +91,17 @@ def ingest(lake: Lake, entity: str, folder: str, batch_ts: str) -> int:
     ]
     # Hashed once and written down: what goes into the manifest is what was compared,
     # and only the names of the changed files come to the driver, for the reader.
-    todo = VersionedTable(spark, f"{lake.root}/changed/{entity}")
-    todo.replace(changed_files(keyed, lake.manifest_rows()).select(*columns))
-    loaded = todo.read()
+    manifest, batch_id = lake.manifest_rows(), batch_id_of(batch_ts)
+    todo = f"{lake.root}/changed/{entity}"
+    append_batch(changed_files(keyed, manifest).select(*columns), todo, batch_id)
+    loaded = spark.read.parquet(f"{todo}/batch_id={batch_id}")
     paths = [r["file_path"] for r in loaded.select("file_path").collect()]
     if not paths:
         return 0
 
     rows = csv_scan_raw(spark, paths)
     stamped = add_audit_columns(rows, batch_ts, F.col("source_file_name"))
-    append_batch(stamped, f"{lake.root}/{table}", batch_id_of(batch_ts))
+    append_batch(stamped, f"{lake.root}/{table}", batch_id)
 
     now = list_files(spark, folder, "*.csv").select(
         "file_path", F.col("file_size_bytes").alias("_size"), F.col("last_modified_at").alias("_at")
@@ -113,7 +113,7 @@ def ingest(lake: Lake, entity: str, folder: str, batch_ts: str) -> int:
     if moved:
         raise RuntimeError(f"{moved[0]['file_path']} changed while it was being loaded")
 
-    after = manifest_upsert(lake.manifest_rows(), loaded, batch_ts)
+    after = manifest_upsert(manifest, loaded, batch_ts)
     lake.manifest.merge(after.join(loaded.select("file_key"), "file_key", "left_semi"))
     return len(paths)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.typing import nan_to_null
@@ -59,11 +59,15 @@ class VersionedTable:
         """Number of the current version, 0 before the first write."""
         return max((e["version"] for e in self._entries()), default=0)
 
-    def read(self) -> DataFrame:
+    def read(self, empty: str | None = None) -> DataFrame:
+        """The current version. Before the first write: no rows of schema ``empty``, or
+        an error if none is given."""
         entries = self._entries()
-        if not entries:
+        if entries:
+            return self._load([e["directory"] for e in entries])
+        if empty is None:
             raise FileNotFoundError(f"no table at {self.root}")
-        return self._load([e["directory"] for e in entries])
+        return self.spark.createDataFrame([], empty)
 
     def replace(self, df: DataFrame) -> None:
         """Make ``df`` the whole content. ``df`` may read from this same table."""
@@ -114,17 +118,11 @@ class KeyedTable(VersionedTable):
         floats = [n for n, t in source.dtypes if t in ("float", "double")]
         clean = source.withColumns({n: nan_to_null(n) for n in floats}) if floats else source
         incoming = f"{self.root}/incoming/version={version}"
-        written = Observation()
-        (
-            clean.withColumn("bucket", self._bucket(buckets))
-            .observe(written, F.count("*").alias("rows"))
-            .write.mode("overwrite")
-            .parquet(incoming)
-        )
+        clean.withColumn("bucket", self._bucket(buckets)).write.mode("overwrite").parquet(incoming)
         batch = self.spark.read.parquet(incoming)
         (check or self.check_key)(batch.drop("bucket"))
 
-        touched = {r["bucket"] for r in batch.select("bucket").distinct().collect()}
+        touched = {r["bucket"]: r["count"] for r in batch.groupBy("bucket").count().collect()}
         old = [e["directory"] for e in entries if e["bucket"] in touched]
         merged = batch
         if old:
@@ -143,9 +141,8 @@ class KeyedTable(VersionedTable):
         ]
         new = [(version, f"data/version={version}/bucket={b}", b, buckets) for b in sorted(touched)]
         self._commit(kept + new)
-        return {
-            "version": version, "rows": written.get["rows"], "touched_buckets": len(touched),
-        }
+        rows = sum(touched.values())
+        return {"version": version, "rows": rows, "touched_buckets": len(touched)}
 
     def latest_batch(self) -> DataFrame:
         """The rows that the last merge brought in, read from where it left them rather
