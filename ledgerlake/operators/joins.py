@@ -4,8 +4,8 @@ Three measures, cheapest first:
 
 * counts per key are taken before the join, so a hot key is one row by the time it is
   shuffled (`orphan_count`, `fk_violation_count`, the analysis plans);
-* rows with a NULL key can never find a partner, so an anti join spreads them instead
-  of sending them all to one task;
+* rows with a NULL key can never find a partner, so an anti or outer join lets them
+  past it instead of sending them all to one task;
 * where whole rows must travel, `hot_keys` names the heavy keys and `join_on_key`
   spreads their rows over a salt, repeating only the matching right-hand rows.
 """
@@ -56,6 +56,22 @@ def hot_keys(df: DataFrame, keys: str | Sequence[str], share: float = 0.01) -> l
     return [t["item"] for t in found["top"] or [] if t["count"] >= share * found["n"]]
 
 
+def _spread_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, hot: Sequence[int]
+) -> DataFrame:
+    if not hot:
+        return left.join(right, keys, how)
+    salts = max(8, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    is_hot = _key_hash(keys).isin(*hot)
+    origin = F.pmod(F.hash(F.spark_partition_id()), F.lit(salts))
+    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
+    salted_left = left.withColumn(_SALT, F.when(is_hot, origin).otherwise(F.lit(0)))
+    salted_right = right.withColumn(
+        _SALT, F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0))))
+    )
+    return salted_left.join(salted_right, [*keys, _SALT], how).drop(_SALT)
+
+
 def join_on_key(
     left: DataFrame,
     right: DataFrame,
@@ -69,25 +85,15 @@ def join_on_key(
     the input partition they come from, which a retried task reproduces; the right
     rows of these keys (few, for the list is short) are repeated once per salt.
     """
-    if how not in ("inner", "left", "left_anti"):
-        raise ValueError(f"join_on_key does not support how={how!r}")
     keys = _as_list(keys)
-    if not hot and how == "inner":
-        return left.join(right, keys, how)
-
-    salts = max(8, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    is_hot = _key_hash(keys).isin(*hot) if hot else F.lit(False)
-    spread = F.pmod(F.hash(F.spark_partition_id()), F.lit(salts))
-    salted_left = left.withColumn(
-        _SALT, F.when(_any_null(keys) | is_hot, spread).otherwise(F.lit(0))
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_right = (
-        right.withColumn(_SALT, F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0)))))
-        if hot
-        else right.withColumn(_SALT, F.lit(0))
-    )
-    return salted_left.join(salted_right, [*keys, _SALT], how).drop(_SALT)
+    if how == "inner":
+        return _spread_join(left, right, keys, how, hot)
+    if how not in ("left", "left_anti"):
+        raise ValueError(f"join_on_key does not support how={how!r}")
+    # NULL keys would all meet in one task to find nothing.
+    unmatched = left.where(_any_null(keys))
+    joined = _spread_join(left.where(~_any_null(keys)), right, keys, how, hot)
+    return joined.unionByName(unmatched, allowMissingColumns=True)
 
 
 def _renamed_keys(parent: DataFrame, key: Sequence[str], parent_key: Sequence[str]) -> DataFrame:
@@ -116,7 +122,8 @@ def fk_violations(
 ) -> DataFrame:
     """Child rows whose key is filled in and has no parent. A NULL key is legal."""
     key = _as_list(key)
-    return anti_join_orphans(child.where(~_any_null(key)), parent, key, parent_key, hot)
+    names = _renamed_keys(parent, key, _as_list(parent_key or key))
+    return _spread_join(child.where(~_any_null(key)), names, key, "left_anti", hot)
 
 
 def orphan_count(

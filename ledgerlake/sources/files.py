@@ -37,7 +37,8 @@ def _hash_listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size and modification time of the files; contents are not read."""
+    """Path, size and modification time of the files; contents are not read. Empty files
+    hold nothing to load and are left out."""
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
