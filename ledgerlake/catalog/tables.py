@@ -291,12 +291,10 @@ def _(spark, folder):
       FROM flow_orders""",
 )
 def _(spark, folder):
-    """All layers twice, the second time with unchanged files; the two answers, the
-    number of published lines and of checks that did not pass (warnings, for the returns
-    and for lines without a product)."""
+    """All layers: the two answers, the number of published lines and of checks that did
+    not pass (warnings, for the returns and for lines without a product)."""
     lake, feeds = _new_lake(spark), _feeds(spark, folder)
-    run.run_all(lake, feeds, BATCH_TS)
-    report = run.run_all(lake, feeds, LATER_TS)
+    report = run.run_all(lake, feeds, BATCH_TS)
 
     def number(c):
         return F.col(c).cast("decimal(38,2)").alias("result")

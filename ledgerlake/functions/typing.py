@@ -20,22 +20,38 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(F.trim(_col(c)), F.lit(""))
 
 
-def to_whole(c: Column | str, dtype: str = "int") -> Column:
-    """Text to an integer type; a decimal fraction is cut off (``'4.7'`` is 4).
+# What the casts accept. A refused cast costs an exception per cell, which a column of
+# misfits would pay for every row, so text is looked at before it is cast; only a number
+# too large for its type still gets as far as the exception.
+_WHOLE = r"^\s*+[+-]?+\d++\s*+$"
+_WITH_FRACTION = r"^\s*+[+-]?+\d++\.\d*+\s*+$"
+_DECIMAL = r"^\s*+[+-]?+(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?+\d++)?+\s*+$"
+_FLOAT = (
+    r"(?i)^\s*+(?:[+-]?+(?:\d++\.?+\d*+|\.\d++)(?:e[+-]?+\d++)?+[fd]?+"
+    r"|[+-]?+inf(?:inity)?+|nan)\s*+$"
+)
+_BOOLEAN = r"(?i)^\s*+(?:t|true|y|yes|1|f|false|n|no|0)\s*+$"
+_ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
+
 
-    Plain digits take the first branch, so the regular expression only runs for
-    text the cast refuses.
-    """
+def to_whole(c: Column | str, dtype: str = "int") -> Column:
+    """Text to an integer type; a decimal fraction is cut off (``'4.7'`` is 4)."""
     text = _col(c)
-    without_fraction = F.regexp_extract(text, r"^\s*([+-]?\d+)\.\d*\s*$", 1)
-    return F.coalesce(text.try_cast(dtype), without_fraction.try_cast(dtype))
+    whole_part = F.substring_index(text, ".", 1)
+    number = F.when(text.rlike(_WHOLE), text).when(text.rlike(_WITH_FRACTION), whole_part)
+    return number.try_cast(dtype)
 
 
 def typed(c: Column | str, dtype: str) -> Column:
     """Text to ``dtype``; text that does not fit becomes NULL."""
     if dtype in ("int", "bigint"):
         return to_whole(c, dtype)
-    return _col(c).try_cast(dtype)
+    if dtype.startswith("decimal"):
+        shape = _DECIMAL
+    else:
+        shape = {"float": _FLOAT, "double": _FLOAT, "boolean": _BOOLEAN}[dtype]
+    text = _col(c)
+    return F.when(text.rlike(shape), text).try_cast(dtype)
 
 
 def nullable_int(c: Column | str, dtype: str = "int") -> Column:
@@ -45,7 +61,7 @@ def nullable_int(c: Column | str, dtype: str = "int") -> Column:
 
 def nullable_float(c: Column | str) -> Column:
     """Blank-aware single-precision float."""
-    return blank_to_null(c).try_cast("float")
+    return typed(blank_to_null(c), "float")
 
 
 def nan_to_null(c: Column | str) -> Column:
@@ -54,7 +70,10 @@ def nan_to_null(c: Column | str) -> Column:
 
 
 def parse_date(c: Column | str, pattern: str = "yyyy-MM-dd") -> Column:
-    return F.try_to_date(F.trim(_col(c)), pattern)
+    text = F.trim(_col(c))
+    if pattern == "yyyy-MM-dd":
+        text = F.when(text.rlike(_ISO_DAY), text)
+    return F.try_to_date(text, pattern)
 
 
 def repair_partial_date(

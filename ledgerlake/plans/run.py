@@ -56,8 +56,9 @@ class Lake:
         return VersionedTable(self.spark, f"{self.root}/{name}")
 
     @property
-    def manifest(self) -> KeyedTable:
-        return KeyedTable(self.spark, f"{self.root}/raw_file_metadata", "file_key", buckets=1)
+    def manifest(self) -> VersionedTable:
+        """One row per source file, so small enough to be written anew at each load."""
+        return self.rebuilt("raw_file_metadata")
 
     def manifest_rows(self) -> DataFrame:
         return self.manifest.read(empty=MANIFEST)
@@ -113,8 +114,7 @@ def ingest(lake: Lake, entity: str, folder: str, batch_ts: str) -> int:
     if moved:
         raise RuntimeError(f"{moved[0]['file_path']} changed while it was being loaded")
 
-    after = manifest_upsert(manifest, loaded, batch_ts)
-    lake.manifest.merge(after.join(loaded.select("file_key"), "file_key", "left_semi"))
+    lake.manifest.replace(manifest_upsert(manifest, loaded, batch_ts))
     return len(paths)
 
 
