@@ -20,7 +20,7 @@ from ledgerlake.sources.files import (
     missing_sources,
 )
 from ledgerlake.sources.scratch import new_folder
-from ledgerlake.sources.tables import KeyedTable, VersionedTable, append_batch
+from ledgerlake.sources.tables import BatchTable, KeyedTable, VersionedTable
 
 LATER_TS = "2026-01-16 06:00:00"
 
@@ -76,15 +76,15 @@ def _(spark, folder):
 )
 def _(spark, folder):
     orders = given(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    root = new_folder(spark, "append")
+    table = BatchTable(spark, new_folder(spark, "append"))
     first = orders.drop("o_orderstatus")
     second = orders.where("o_orderstatus <> 'F'").select(
         "o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice")
     )
-    append_batch(first, root, "b1")
-    append_batch(second, root, "b2")
-    append_batch(second, root, "b2")  # the same batch again changes nothing
-    return spark.read.parquet(root)
+    table.append(first, "b1")
+    table.append(second, "b2")
+    table.append(second, "b2")  # the same batch again changes nothing
+    return table.read()
 
 
 @query("parquet_overwrite_sink", "SELECT p_partkey, p_size + 1 AS p_size FROM part")
@@ -242,7 +242,7 @@ def _(spark, folder):
     for entity, key in keys.items():
         run.ingest(lake, entity, feeds[entity], BATCH_TS)
         run.ingest(lake, entity, feeds[entity], LATER_TS)  # nothing changed, nothing loaded
-        raw = lake.raw(run.ENTITIES[entity])
+        raw = lake.raw(run.ENTITIES[entity]).read()
         counts = raw.agg(F.count("*").alias("raw_rows"), F.countDistinct(key).alias("keys"))
         parts.append(counts.select(F.lit(entity).alias("entity"), "raw_rows", "keys"))
     return _union(parts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.contracts import TableContract, sales_contracts
 from ledgerlake.functions.enrich import CATEGORY_RULES, Rule
-from ledgerlake.operators.batches import add_audit_columns, latest_batch
+from ledgerlake.operators.batches import add_audit_columns
 from ledgerlake.operators.joins import hot_keys
 from ledgerlake.operators.quality import dq_gate, enforce_contract, raise_on_fail
 from ledgerlake.plans import analysis, publish, store, validation
@@ -23,7 +23,7 @@ from ledgerlake.sources.files import (
     manifest_upsert,
     require_sources,
 )
-from ledgerlake.sources.tables import KeyedTable, VersionedTable, append_batch
+from ledgerlake.sources.tables import BatchTable, KeyedTable, VersionedTable
 
 # Source entities and the raw table each one fills.
 ENTITIES = {
@@ -63,8 +63,8 @@ class Lake:
     def manifest_rows(self) -> DataFrame:
         return self.manifest.read(empty=MANIFEST)
 
-    def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+    def raw(self, name: str) -> BatchTable:
+        return BatchTable(self.spark, f"{self.root}/{name}")
 
 
 def batch_id_of(batch_ts: str) -> str:
@@ -93,16 +93,16 @@ def ingest(lake: Lake, entity: str, folder: str, batch_ts: str) -> int:
     # Hashed once and written down: what goes into the manifest is what was compared,
     # and only the names of the changed files come to the driver, for the reader.
     manifest, batch_id = lake.manifest_rows(), batch_id_of(batch_ts)
-    todo = f"{lake.root}/changed/{entity}"
-    append_batch(changed_files(keyed, manifest).select(*columns), todo, batch_id)
-    loaded = spark.read.parquet(f"{todo}/batch_id={batch_id}")
+    todo = f"{lake.root}/changed/{entity}/{batch_id}"
+    changed_files(keyed, manifest).select(*columns).write.mode("overwrite").parquet(todo)
+    loaded = spark.read.parquet(todo)
     paths = [r["file_path"] for r in loaded.select("file_path").collect()]
     if not paths:
         return 0
 
     rows = csv_scan_raw(spark, paths)
     stamped = add_audit_columns(rows, batch_ts, F.col("source_file_name"))
-    append_batch(stamped, f"{lake.root}/{table}", batch_id)
+    lake.raw(table).append(stamped, batch_id)
 
     now = list_files(spark, folder, "*.csv").select(
         "file_path", F.col("file_size_bytes").alias("_size"), F.col("last_modified_at").alias("_at")
@@ -118,11 +118,6 @@ def ingest(lake: Lake, entity: str, folder: str, batch_ts: str) -> int:
     return len(paths)
 
 
-def newest_raw(lake: Lake, name: str) -> DataFrame:
-    """The newest batch of a raw table; only its directory is read."""
-    return latest_batch(lake.raw(name), "batch_id")
-
-
 def load(lake: Lake, name: str, rows: DataFrame, parents: Mapping[str, DataFrame] | None = None):
     """Merge rows into table ``name`` if they keep its contract; otherwise nothing changes."""
 
@@ -140,20 +135,20 @@ def gate(lake: Lake, name: str) -> None:
 
 def load_store_product(lake: Lake, batch_ts: str):
     name = "store_product_master"
-    raw = newest_raw(lake, "raw_product_master")
+    raw = lake.raw("raw_product_master").latest()
     return load(lake, name, store.store_product(raw, lake.contracts[name], batch_ts))
 
 
 def load_store_header(lake: Lake, batch_ts: str):
     name = "store_sales_order_header"
-    raw = newest_raw(lake, "raw_sales_order_header")
+    raw = lake.raw("raw_sales_order_header").latest()
     return load(lake, name, store.store_header(raw, lake.contracts[name], batch_ts))
 
 
 def load_store_detail(lake: Lake, batch_ts: str):
     """Needs the products and headers of the run in place, for its foreign keys."""
     name = "store_sales_order_detail"
-    raw = newest_raw(lake, "raw_sales_order_detail")
+    raw = lake.raw("raw_sales_order_detail").latest()
     parents = {
         p: lake.keyed(p).read() for p in ("store_sales_order_header", "store_product_master")
     }
@@ -187,7 +182,7 @@ def load_analysis(lake: Lake) -> None:
 
 def all_tables(lake: Lake) -> dict[str, DataFrame]:
     return {
-        **{n: lake.raw(n) for n in validation.RAW},
+        **{n: lake.raw(n).read() for n in validation.RAW},
         **{n: lake.keyed(n).read() for n in validation.KEYED},
         **{n: lake.rebuilt(n).read() for n in validation.ANALYSIS},
     }

@@ -22,10 +22,55 @@ from ledgerlake.operators.upsert import upsert_by_key
 _VERSIONS = "version int, directory string, bucket int, buckets int"
 
 
-def append_batch(df: DataFrame, root: str, batch_id: str) -> None:
-    """Add a batch to an append-only table, one directory per batch. Writing the same
-    batch again replaces it, so a repeated run does not duplicate rows."""
-    df.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+def _rows_or_none(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
+    """A small log table, or None before anything was written to it."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _append_log(spark: SparkSession, rows: Sequence[tuple], schema: str, path: str) -> None:
+    # One file, which the writer moves into place in one step.
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+class BatchTable:
+    """An append-only table: a directory per batch, and a log of the finished ones."""
+
+    _LOG = "batch_id string"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    def batches(self) -> list[str]:
+        """Names of the finished batches, one short text per batch, oldest first."""
+        log = _rows_or_none(self.spark, self._LOG, f"{self.root}/batches")
+        return sorted(r["batch_id"] for r in log.distinct().collect()) if log else []
+
+    def append(self, df: DataFrame, batch_id: str) -> None:
+        """Add a batch. Adding the same batch again replaces it, so a repeated run does
+        not duplicate rows."""
+        df.write.mode("overwrite").parquet(f"{self.root}/data/batch_id={batch_id}")
+        if batch_id not in self.batches():
+            _append_log(self.spark, [(batch_id,)], self._LOG, f"{self.root}/batches")
+
+    def _load(self, batches: Sequence[str]) -> DataFrame:
+        if not batches:
+            raise FileNotFoundError(f"no batch at {self.root}")
+        data = f"{self.root}/data"
+        paths = [f"{data}/batch_id={b}" for b in batches]
+        return self.spark.read.option("basePath", data).parquet(*paths)
+
+    def read(self) -> DataFrame:
+        return self._load(self.batches())
+
+    def latest(self) -> DataFrame:
+        """The newest batch; only its directory is opened."""
+        return self._load(self.batches()[-1:])
 
 
 class VersionedTable:
@@ -37,12 +82,9 @@ class VersionedTable:
 
     def _entries(self) -> list:
         """Directories of the current version; their number is the number of buckets."""
-        try:
-            versions = self.spark.read.schema(_VERSIONS).parquet(f"{self.root}/versions")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return []
-            raise
+        versions = _rows_or_none(self.spark, _VERSIONS, f"{self.root}/versions")
+        if versions is None:
+            return []
         current = versions.select(F.max("version")).scalar()
         return versions.where(F.col("version") == current).collect()
 
@@ -51,8 +93,7 @@ class VersionedTable:
         return self.spark.read.parquet(*paths)
 
     def _commit(self, entries: Sequence[tuple]) -> None:
-        rows = self.spark.createDataFrame(entries, _VERSIONS).coalesce(1)
-        rows.write.mode("append").parquet(f"{self.root}/versions")
+        _append_log(self.spark, entries, _VERSIONS, f"{self.root}/versions")
 
     @property
     def version(self) -> int:

@@ -119,8 +119,8 @@ def test_second_and_third_run(state):
     manifest = by_key(lake.manifest_rows(), "file_key")
     assert manifest["sales_order_detail/sales_order_detail.csv"]["load_count"] == 2
     assert manifest["products/products.csv"]["load_count"] == 1
-    assert lake.raw("raw_sales_order_detail").count() == 12
-    assert run.newest_raw(lake, "raw_sales_order_detail").count() == 6
+    assert lake.raw("raw_sales_order_detail").read().count() == 12
+    assert lake.raw("raw_sales_order_detail").latest().count() == 6
     run.load_store_detail(lake, THIRD)
     run.load_publish_orders(lake, THIRD)
     lines = by_key(lake.keyed("publish_orders").read(), "sales_order_detail_id")

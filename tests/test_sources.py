@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.sources import csv, files, jdbc
 from ledgerlake.sources.scratch import new_folder, shared_folder
-from ledgerlake.sources.tables import KeyedTable, VersionedTable, append_batch
+from ledgerlake.sources.tables import BatchTable, KeyedTable, VersionedTable
 
 
 def rows(df):
@@ -146,11 +146,18 @@ def test_manifest(spark):
 
 
 def test_append_is_repeatable(spark, folder):
-    df = spark.range(5)
-    append_batch(df, f"{folder}/t", "b1")
-    append_batch(df, f"{folder}/t", "b2")
-    append_batch(df, f"{folder}/t", "b2")
-    assert spark.read.parquet(f"{folder}/t").count() == 10
+    table = BatchTable(spark, f"{folder}/t")
+    with pytest.raises(FileNotFoundError):
+        table.latest()
+    table.append(spark.range(5), "b1")
+    table.append(spark.range(7), "b2")
+    table.append(spark.range(7), "b2")
+    spark.range(99).write.parquet(f"{folder}/t/data/batch_id=b3")  # never finished
+    assert table.batches() == ["b1", "b2"]
+    assert table.read().groupBy("batch_id").count().orderBy("batch_id").collect() == [
+        ("b1", 5), ("b2", 7),
+    ]
+    assert table.latest().count() == 7
 
 
 def test_versioned_table_replaces_itself(spark, folder):
