@@ -51,6 +51,14 @@ def _(spark, folder):
     return csv_scan_raw(spark, path).drop("source_file_name")
 
 
+@query("csv_scan_raw_framed", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")
+def _(spark, folder):
+    """The same with every file taken as too large for one task."""
+    documents = given(spark, folder, "documents").select("doc_id", "text", "lang")
+    path = write_csv(documents, new_folder(spark, "csv"))
+    return csv_scan_raw(spark, path, split_bytes=1).drop("source_file_name")
+
+
 @query(
     "csv_scan_raw_in_splits",
     """SELECT "SalesOrderID", "OrderDate", "ShipDate", "OnlineOrderFlag",

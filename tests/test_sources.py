@@ -59,21 +59,60 @@ def test_which_files_may_be_split(spark, folder, text, open_quotes):
     assert bool(csv.files_with_open_quotes(spark, [path])) == open_quotes
 
 
-def test_scan_equals_reading_across_lines_everywhere(spark, folder):
+def feed_files(folder, end="\n"):
+    """Six files, three of them with line breaks in quotes."""
     rng = random.Random(5)
-    pieces = ["a", ",", '""', " ", "é", "\n", "x y"]
+    pieces = ["a", ",", '""', " ", "é", "x y", "\n", "\n\n", "\n  "]
     for n in range(6):
-        allowed = pieces if n % 2 else [p for p in pieces if p != "\n"]
+        allowed = pieces if n % 2 else pieces[:6]
         body = "".join(
-            f'{n}-{i},"' + "".join(rng.choices(allowed, k=rng.randrange(8))) + '",z\n'
-            for i in range(200)
-        )
-        write(f"{folder}/in/part-{n}.csv", "id,text,last\n" + body)
-    got = csv.csv_scan_raw(spark, f"{folder}/in")
-    whole = spark.read.options(**csv.FORMAT).option("multiLine", "true").csv(f"{folder}/in")
-    assert len(csv.files_with_open_quotes(spark, [f"{folder}/in"])) == 3
-    assert rows(got.drop("source_file_name")) == rows(whole)
-    assert got.count() == 1200
+            f'{n}-{i},"' + "".join(rng.choices(allowed, k=rng.randrange(8))) + f'",z{end}'
+            + (end if i % 50 == 9 else "")
+            for i in range(400)
+        )
+        write(f"{folder}/in/part-{n}.csv", f'id,"te xt",last{end}' + body)
+    return f"{folder}/in"
+
+
+@pytest.mark.parametrize("split_bytes", [1, 1 << 30])
+@pytest.mark.parametrize("max_partition", ["700b", "128MB"])
+def test_scan_equals_reading_across_lines_everywhere(spark, folder, split_bytes, max_partition):
+    path = feed_files(folder)
+    whole = spark.read.options(**csv.FORMAT).option("multiLine", "true").csv(path)
+    want = rows(whole)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", max_partition)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert len(csv.files_with_open_quotes(spark, [path])) == 3
+        got = csv.csv_scan_raw(spark, path, split_bytes)
+        assert got.columns == ["id", "te xt", "last", "source_file_name"]
+        assert rows(got.drop("source_file_name")) == want
+        assert got.count() == 2400
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        '1,x"y,z\n2,"a\nb",c\n',  # a quote inside an unquoted field
+        '1,"a"b,z\n2,"a\nb",c\n',  # text after a closing quote
+        '1,"a\nb"\n2,c,d\n3,"e\n\nf","g"\n',  # a short record
+        '1,"never\nclosed\n2,b\n',
+    ],
+)
+def test_odd_files_read_as_spark_reads_them_whole(spark, folder, body):
+    path = write(f"{folder}/in/f.csv", "p,q,r\n" + body)
+    whole = spark.read.options(**csv.FORMAT).option("multiLine", "true").csv(path)
+    assert rows(csv.csv_scan_raw(spark, path, 1).drop("source_file_name")) == rows(whole)
+
+
+def test_large_file_with_another_header_is_an_error(spark, folder):
+    write(f"{folder}/in/a.csv", 'a,b\n1,"x\ny"\n')
+    write(f"{folder}/in/b.csv", 'a,c\n1,"x\ny"\n')
+    with pytest.raises(ValueError, match="header of .*b.csv"):
+        csv.csv_scan_raw(spark, f"{folder}/in", 1).collect()
 
 
 def test_a_different_header_is_an_error(spark, folder):
