@@ -2,11 +2,11 @@
 
 ``options`` are the connection options of that source (url, driver, user, password).
 Statements that Spark cannot send are run by ``execute``, a function of the caller
-that runs one SQL text in the same database and commits it.
+that runs a list of SQL texts in the same database as one transaction.
 
 A task that is repeated after its rows were already committed would write them twice.
-So nothing is appended to a target directly: rows go to a staging table, and one
-statement moves them over, dropping repeats. That statement is the commit point.
+So no target is written to directly: rows go to a staging table, and one transaction
+moves them over, dropping repeats. That transaction is the commit point.
 """
 
 from __future__ import annotations
@@ -56,18 +56,14 @@ def jdbc_table_scan(
     return reader.options(**slices.options()).load() if slices else reader.load()
 
 
-def jdbc_overwrite(
-    df: DataFrame, options: Mapping[str, str], table: str, connections: int = 8
-) -> None:
-    """Replace a database table's rows, keeping its definition."""
+def _write(df: DataFrame, options: Mapping[str, str], table: str, mode: str, connections: int):
     (
         df.write.format("jdbc")
         .options(**options)
         .option("dbtable", table)
-        .option("truncate", "true")
         .option("numPartitions", str(connections))
         .option("batchsize", "10000")
-        .mode("overwrite")
+        .mode(mode)
         .save()
     )
 
@@ -96,24 +92,40 @@ def merge_statement(table: str, staging: str, columns: Sequence[str], keys: Sequ
     )
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.withColumn(_ROW, F.monotonically_increasing_id())
+
+
 def jdbc_append(
     df: DataFrame,
     options: Mapping[str, str],
     table: str,
-    execute: Callable[[str], None],
+    execute: Callable[[list[str]], None],
     connections: int = 8,
 ) -> None:
     """Add rows to a database table, each once; the table is created if absent.
 
     ``df`` should come straight from a scan, whose row numbers a repeated task gives
     out again in the same order."""
-    df.limit(0).write.format("jdbc").options(**options).option("dbtable", table).mode(
-        "append"
-    ).save()
     staging = f"{table}_staging"
-    numbered = df.withColumn(_ROW, F.monotonically_increasing_id())
-    jdbc_overwrite(numbered, options, staging, connections)
-    execute(append_statement(table, staging, df.columns))
+    _write(df.limit(0), options, table, "append", 1)
+    _write(_numbered(df), options, staging, "overwrite", connections)
+    execute([append_statement(table, staging, df.columns)])
+
+
+def jdbc_overwrite(
+    df: DataFrame,
+    options: Mapping[str, str],
+    table: str,
+    execute: Callable[[list[str]], None],
+    connections: int = 8,
+) -> None:
+    """Replace the rows of a database table, keeping its definition; readers see the old
+    rows until the new ones are in. ``df`` as for `jdbc_append`."""
+    staging = f"{table}_staging"
+    _write(df.limit(0), options, table, "append", 1)
+    _write(_numbered(df), options, staging, "overwrite", connections)
+    execute([f"DELETE FROM {table}", append_statement(table, staging, df.columns)])
 
 
 def jdbc_upsert(
@@ -121,11 +133,11 @@ def jdbc_upsert(
     options: Mapping[str, str],
     table: str,
     keys: str | Sequence[str],
-    execute: Callable[[str], None],
+    execute: Callable[[list[str]], None],
     connections: int = 8,
 ) -> None:
     """Merge ``df``, unique by ``keys``, into a database table with that key."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     staging = f"{table}_staging"
-    jdbc_overwrite(df, options, staging, connections)
-    execute(merge_statement(table, staging, df.columns, keys))
+    _write(df, options, staging, "overwrite", connections)
+    execute([merge_statement(table, staging, df.columns, keys)])

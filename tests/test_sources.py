@@ -283,3 +283,24 @@ def test_database_statements():
     assert jdbc.Slices("id", 1, 100, 8).options() == {
         "partitionColumn": "id", "lowerBound": "1", "upperBound": "100", "numPartitions": "8",
     }
+
+
+def test_database_writes_go_through_staging(spark, monkeypatch):
+    steps = []
+
+    def write(df, options, table, mode, connections):
+        steps.append((table, mode, df.count(), options["url"]))
+
+    monkeypatch.setattr(jdbc, "_write", write)
+    df, options = spark.range(3), {"url": "jdbc:somewhere"}
+    jdbc.jdbc_append(df, options, "t", steps.append)
+    jdbc.jdbc_overwrite(df, options, "t", steps.append)
+    jdbc.jdbc_upsert(df, options, "t", "id", steps.append)
+    moved = jdbc.append_statement("t", "t_staging", ["id"])
+    into_staging = ("t_staging", "overwrite", 3, "jdbc:somewhere")
+    created = ("t", "append", 0, "jdbc:somewhere")
+    assert steps == [
+        created, into_staging, [moved],
+        created, into_staging, ["DELETE FROM t", moved],
+        into_staging, [jdbc.merge_statement("t", "t_staging", ["id"], ["id"])],
+    ]
