@@ -15,8 +15,6 @@ from ledgerlake.contracts import Field, ForeignKey, TableContract
 from ledgerlake.operators import profiling, quality
 from ledgerlake.operators.joins import hot_keys, join_on_key, orphan_count
 from ledgerlake.plans import analysis, validation
-from ledgerlake.sources.scratch import new_folder
-from ledgerlake.sources.tables import VersionedTable
 
 
 def _union(parts):
@@ -339,12 +337,7 @@ def _report_sql():
 
 @query("validation_report", _report_sql())
 def _(spark, folder):
-    """Over stored publish tables, as after a run: each is computed once."""
     keyed = _keyed_tables(spark, folder)
-    for name in ("lines", "published"):
-        table = VersionedTable(spark, new_folder(spark, name))
-        table.replace(keyed[name])
-        keyed[name] = table.read()
     orders, products = keyed["lines"], keyed["published"]
     return validation.validation_report(
         {

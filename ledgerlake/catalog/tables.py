@@ -71,10 +71,9 @@ def _(spark, folder):
     return csv_scan_raw(spark, path).drop("source_file_name")
 
 
-@query("parquet_scan", "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_size > 25")
+@query("parquet_scan", "SELECT p_partkey, p_name, p_retailprice FROM part")
 def _(spark, folder):
-    part = given(spark, folder, "part").where("p_size > 25")
-    return part.select("p_partkey", "p_name", "p_retailprice")
+    return given(spark, folder, "part").select("p_partkey", "p_name", "p_retailprice")
 
 
 @query(

@@ -25,9 +25,13 @@ def _as_list(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def _key_hash(keys: Sequence[str]) -> Column:
-    # As text, so that equal keys of two integer widths hash alike on both sides.
-    return F.xxhash64(*[F.col(k).cast("string") for k in keys])
+def _key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
+    # In one type per kind, so that equal keys of two integer widths hash alike.
+    types = dict(df.dtypes)
+    whole = ("tinyint", "smallint", "int", "bigint")
+    return F.xxhash64(
+        *[F.col(k).cast("bigint" if types[k] in whole else "string") for k in keys]
+    )
 
 
 def _any_null(keys: Sequence[str]) -> Column:
@@ -46,7 +50,7 @@ def hot_keys(df: DataFrame, keys: str | Sequence[str], share: float = 0.01) -> l
     most = int(1 / share)
     found = (
         df.where(~_any_null(keys))
-        .select(_key_hash(keys).alias("h"))
+        .select(_key_hash(df, keys).alias("h"))
         .agg(
             F.expr(f"approx_top_k(h, {most}, {10 * most})").alias("top"),
             F.count("*").alias("n"),
@@ -62,12 +66,12 @@ def _spread_join(
     if not hot:
         return left.join(right, keys, how)
     salts = max(8, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    is_hot = _key_hash(keys).isin(*hot)
+    left_hot, right_hot = (_key_hash(side, keys).isin(*hot) for side in (left, right))
     origin = F.pmod(F.hash(F.spark_partition_id()), F.lit(salts))
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_left = left.withColumn(_SALT, F.when(is_hot, origin).otherwise(F.lit(0)))
+    salted_left = left.withColumn(_SALT, F.when(left_hot, origin).otherwise(F.lit(0)))
     salted_right = right.withColumn(
-        _SALT, F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0))))
+        _SALT, F.explode(F.when(right_hot, every_salt).otherwise(F.array(F.lit(0))))
     )
     return salted_left.join(salted_right, [*keys, _SALT], how).drop(_SALT)
 

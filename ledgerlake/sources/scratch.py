@@ -7,19 +7,21 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_OWN = "spark.ledgerlake.folder"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local session that names none gets a folder of its own under the system's
     temporary directory; on a cluster that would be a different disk per machine."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if configured:
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     folder = tempfile.mkdtemp(prefix="ledgerlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(_OWN, folder)
     return folder
 
 

@@ -41,7 +41,7 @@ def skewed(spark):
 
 def test_hot_keys_finds_the_heavy_one(skewed):
     left, _ = skewed
-    hash_of_7 = left.where("k = 7").select(joins._key_hash(["k"])).first()[0]
+    hash_of_7 = left.where("k = 7").select(joins._key_hash(left, ["k"])).first()[0]
     assert joins.hot_keys(left, "k") == [hash_of_7]
     assert joins.hot_keys(left.where("id >= 13000"), "k") == []
     assert joins.hot_keys(left.where("k IS NULL"), "k") == []
@@ -61,6 +61,13 @@ def test_salted_join_gives_the_plain_result(spark, skewed, how):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_salted_join_on_keys_of_two_widths(spark, skewed):
+    left, right = skewed
+    narrow = right.withColumn("k", F.col("k").cast("int"))
+    got = joins.join_on_key(left, narrow, "k", hot=joins.hot_keys(left, "k"))
+    assert got.count() == left.join(right, "k").count()
+
+
 def test_salting_spreads_the_hot_key(spark, skewed):
     left, right = skewed
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
