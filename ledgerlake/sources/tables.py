@@ -9,7 +9,7 @@ it left. One writer at a time; earlier versions stay readable.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,9 +88,8 @@ class VersionedTable:
         current = versions.select(F.max("version")).scalar()
         return versions.where(F.col("version") == current).collect()
 
-    def _load(self, directories: Sequence[str]) -> DataFrame:
-        paths = [f"{self.root}/{d}" for d in directories]
-        return self.spark.read.parquet(*paths)
+    def _load(self, directories: Iterable[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{d}" for d in directories])
 
     def _commit(self, entries: Sequence[tuple]) -> None:
         _append_log(self.spark, entries, _VERSIONS, f"{self.root}/versions")
@@ -158,37 +157,38 @@ class KeyedTable(VersionedTable):
 
         floats = [n for n, t in source.dtypes if t in ("float", "double")]
         clean = source.withColumns({n: nan_to_null(n) for n in floats}) if floats else source
-        incoming = f"{self.root}/incoming/version={version}"
-        clean.withColumn("bucket", self._bucket(buckets)).write.mode("overwrite").parquet(incoming)
-        batch = self.spark.read.parquet(incoming)
+        staged = clean.withColumn("bucket", self._bucket(buckets))
+        incoming = f"incoming/version={version}"
+        self._write_buckets(staged, incoming)
+        batch = self.spark.read.schema(staged.schema).parquet(f"{self.root}/{incoming}")
         (check or self.check_key)(batch.drop("bucket"))
 
         touched = {r["bucket"]: r["count"] for r in batch.groupBy("bucket").count().collect()}
-        old = [e["directory"] for e in entries if e["bucket"] in touched]
-        merged = batch
+        old = {e["bucket"]: e["directory"] for e in entries if e["bucket"] in touched}
         if old:
-            before = self._load(old).withColumn("bucket", self._bucket(buckets))
-            merged = upsert_by_key(before, batch, self.key)
-
-        # Even-sized output files: small buckets share a task, a large one is split.
-        target = f"{self.root}/data/version={version}"
-        evened = merged.hint("rebalance", F.col("bucket"))
-        evened.write.mode("overwrite").partitionBy("bucket").parquet(target)
-
-        kept = [
-            (version, e["directory"], e["bucket"], buckets)
-            for e in entries
-            if e["bucket"] not in touched
-        ]
-        new = [(version, f"data/version={version}/bucket={b}", b, buckets) for b in sorted(touched)]
-        self._commit(kept + new)
+            before = self._load(old.values()).withColumn("bucket", self._bucket(buckets))
+            again = batch.where(F.col("bucket").isin(*old))
+            self._write_buckets(upsert_by_key(before, again, self.key), f"data/version={version}")
+
+        # Buckets that held nothing yet are the batch's own files; the rest were merged.
+        now = {e["bucket"]: e["directory"] for e in entries}
+        for b in touched:
+            now[b] = f"{f'data/version={version}' if b in old else incoming}/bucket={b}"
+        self._commit([(version, directory, b, buckets) for b, directory in sorted(now.items())])
         rows = sum(touched.values())
         return {"version": version, "rows": rows, "touched_buckets": len(touched)}
 
+    def _write_buckets(self, df: DataFrame, directory: str) -> None:
+        # Even-sized output files: small buckets share a task, a large one is split.
+        evened = df.hint("rebalance", F.col("bucket"))
+        evened.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{directory}")
+
     def latest_batch(self) -> DataFrame:
         """The rows that the last merge brought in, read from where it left them rather
         than searched for in the whole table."""
-        version = self.version
-        if not version:
+        entries = self._entries()
+        if not entries:
             raise FileNotFoundError(f"no table at {self.root}")
-        return self.spark.read.parquet(f"{self.root}/incoming/version={version}").drop("bucket")
+        schema = self._load([entries[0]["directory"]]).schema
+        incoming = f"{self.root}/incoming/version={entries[0]['version']}"
+        return self.spark.read.schema(schema).parquet(incoming).drop("bucket")

@@ -238,10 +238,18 @@ def test_merge_rewrites_only_touched_buckets(spark, folder):
     table.merge(spark.range(100).withColumnRenamed("id", "k"))
     report = table.merge(spark.createDataFrame([(5,)], "k bigint"))
     assert report["touched_buckets"] == 1
-    assert sum("version=1" in e["directory"] for e in table._entries()) == 7
+    assert sum("version=1/" in e["directory"] for e in table._entries()) == 7
     assert table.read().count() == 100
 
 
+def test_empty_batch_changes_no_row(spark, folder):
+    table = KeyedTable(spark, f"{folder}/t", "k", buckets=3)
+    table.merge(spark.createDataFrame([(1, "a")], "k int, v string"))
+    assert table.merge(spark.createDataFrame([], "k int, v string"))["rows"] == 0
+    assert rows(table.read()) == [(1, "a")]
+    assert table.latest_batch().count() == 0
+
+
 def test_merge_refuses_bad_keys_and_changes_nothing(spark, folder):
     table = KeyedTable(spark, f"{folder}/t", "k", buckets=3)
     table.merge(spark.createDataFrame([(1, "a")], "k int, v string"))
