@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerlake.llm import decontaminate, language
 from ledgerlake.llm.simhash import near_duplicates
-from ledgerlake.llm.tables import given
+from ledgerlake.llm.tables import given, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,3 +28,15 @@ def query(name: str, sql: str | None = None):
 @query("op1_simhash_near_duplicates")
 def _(spark, folder):
     return near_duplicates(given(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_benchmark_leaks")
+def _(spark, folder):
+    docs, items = given(spark, folder, "documents"), given(spark, folder, "benchmark")
+    return decontaminate.leaks(docs, items).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_language")
+def _(spark, folder):
+    found = language.identify(given(spark, folder, "documents"), keep=["doc_id"])
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
