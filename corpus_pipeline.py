@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlake.llm.simhash import keep_one_per_component
+from ledgerlake.llm import decontaminate, language, mixing, secrets, simhash
 from ledgerlake.llm.tables import given, written
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no one language, go."""
+    return language.with_language(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return keep_one_per_component(docs)
+    return simhash.keep_one_per_component(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, edited or not, go."""
+    return decontaminate.without_leaks(docs, given(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in them are replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents to be used, with how often, so that domains meet their target weights."""
+    return mixing.sampled(docs, given(spark, sf_dir, "labels"))
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("known_language", known_language),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
+    ("secret_scan", secret_scan),
+    ("mixture", mixture),
+]
 
 #: No SQL for the language model, the fingerprints and the alignment.
 ORACLE_SQL = None

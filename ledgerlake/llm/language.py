@@ -25,6 +25,8 @@ LONGEST = 16
 #: Learned from about this many documents per language, those whose id hashes lowest.
 SAMPLE = 3000
 ROUNDS = 3
+#: A stage that keeps documents with a language asks for this chance.
+LEAST_CHANCE = 0.5
 _ADDED = 1e-7
 _CELLS = 1 << 18
 _KNOWN = 1 << 20
@@ -267,22 +269,18 @@ class Scorer:
         return total
 
 
-def predict(
-    docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None
-) -> DataFrame:
-    """The columns in ``keep`` (all but the text by default), ``lang_pred`` and ``score``, the
-    posterior chance of that language when all are equally likely before.
-
-    ``und`` and 0 for a text that is NULL or has no letter, or when nothing was learned. Ties go to
-    the language that sorts first. Rows, repeated ones too, stay as many as they are."""
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    names = [f"k{i}" for i in range(len(keep))]
-    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+def _scored(docs: DataFrame, model: Model | None, text_col: str, keep: list[str]) -> DataFrame:
+    """Columns ``k0, k1, ...`` (those in ``keep``, or all if that includes the text), ``lang_pred``
+    and ``score``."""
+    columns = keep if text_col in keep else [*keep, text_col]
+    names = [f"k{i}" for i in range(len(columns))]
+    kinds = [docs.schema[c].dataType.simpleString() for c in columns]
+    where = columns.index(text_col)
 
     def run(batches):
         scorer = Scorer(model) if model else None
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
+            texts = batch.column(where).to_pylist()
             found, chance = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if scorer:
                 total = scorer.texts(texts)
@@ -292,17 +290,39 @@ def predict(
                 for i, text in enumerate(texts):
                     if text and any(map(str.isalpha, text)):
                         found[i], chance[i] = model.languages[best[i]], top[i]
-            columns = [*batch.columns[: len(names)], pa.array(found, pa.string()), pa.array(chance)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+            kept = batch.columns if returned == names else batch.columns[:-1]
+            out = [*kept, pa.array(found, pa.string()), pa.array(chance)]
+            yield pa.RecordBatch.from_arrays(out, [*returned, "lang_pred", "score"])
+
+    returned = names[: len(keep)]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
+    fields = [f"{n} {t}" for n, t in zip(returned, kinds, strict=False)]
+    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+
+
+def _learned(docs: DataFrame) -> Model | None:
+    train = F.coalesce(fold(F.col("doc_id")).isNotNull() & ~held_out(F.col("doc_id")), F.lit(False))
+    return learn(docs, train)
 
-    kept = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], text_col)
-    fields = [f"{n} {t}" for n, t in zip(names, kinds, strict=True)]
-    out = kept.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
-    return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
+
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns in ``keep``, ``lang_pred`` and ``score``, the posterior chance of that language
+    when all are equally likely before.
+
+    ``und`` and 0 for a text that is NULL or has no letter, or when nothing was learned. Ties go to
+    the language that sorts first. Rows, repeated ones too, stay as many as they are."""
+    scored = _scored(docs, model, text_col, keep)
+    return scored.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
 def identify(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Learn from the documents outside the held-out fold that have a language, predict for all.
     Text alone decides a prediction."""
-    train = F.coalesce(fold(F.col("doc_id")).isNotNull() & ~held_out(F.col("doc_id")), F.lit(False))
-    return predict(docs, learn(docs, train), keep=keep)
+    return predict(docs, _learned(docs), keep)
+
+
+def with_language(docs: DataFrame, least: float = LEAST_CHANCE) -> DataFrame:
+    """The documents, with their own columns, whose language is known with a chance of ``least``."""
+    scored = _scored(docs, _learned(docs), "text", docs.columns)
+    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
+    return scored.where(sure).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import decontaminate, language
+from ledgerlake.llm import decontaminate, language, mixing, quality, secrets, toxicity
 from ledgerlake.llm.simhash import near_duplicates
 from ledgerlake.llm.tables import given, held_out
 
@@ -40,3 +40,27 @@ def _(spark, folder):
 def _(spark, folder):
     found = language.identify(given(spark, folder, "documents"), keep=["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_toxicity")
+def _(spark, folder):
+    docs = given(spark, folder, "documents")
+    model = toxicity.learn(docs, given(spark, folder, "labels"))
+    return toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+
+
+@query("op3_quality_rules")
+def _(spark, folder):
+    docs, labels = given(spark, folder, "documents"), given(spark, folder, "labels")
+    return quality.judge(docs, labels).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_mixing")
+def _(spark, folder):
+    docs, labels = given(spark, folder, "documents"), given(spark, folder, "labels")
+    return mixing.mix(docs, labels, keep=["doc_id"])
+
+
+@query("op10_secrets")
+def _(spark, folder):
+    return secrets.report(given(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
