@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import decontaminate, language, mixing, quality, secrets, toxicity
+from ledgerlake.llm import (
+    decontaminate,
+    language,
+    mixing,
+    quality,
+    secrets,
+    suffixes,
+    toxicity,
+    urls,
+    warc,
+)
 from ledgerlake.llm.simhash import near_duplicates
 from ledgerlake.llm.tables import given, held_out
 
@@ -64,3 +74,22 @@ def _(spark, folder):
 @query("op10_secrets")
 def _(spark, folder):
     return secrets.report(given(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_url_filters", urls.SQL)
+def _(spark, folder):
+    pages, labels = given(spark, folder, "pages"), given(spark, folder, "labels")
+    return urls.judge(pages, labels).withColumnRenamed("id", "page_id")
+
+
+@query("op8_repeated_strings")
+def _(spark, folder):
+    left = suffixes.without_repeats(given(spark, folder, "documents"))
+    return left.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@query("op9_warc", warc.SQL)
+def _(spark, folder):
+    return warc.round_trip(given(spark, folder, "pages")).withColumnRenamed("id", "page_id")
