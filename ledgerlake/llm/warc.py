@@ -7,6 +7,8 @@ becomes a revisit, which has no body and names that page.
 
 from __future__ import annotations
 
+import gzip
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,34 +57,35 @@ def _header(*fields: tuple[str, Column]) -> Column:
 
 
 def decided(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
-    """Different rows (id, url, data, size, digest) with ``copies``, how many rows are equal to it, and
-    ``refers_to`` of those whose payload another page holds."""
+    """Different rows (name, id, url, data, size, digest) with ``copies``, how many rows are equal to
+    it, and ``refers_to`` of those whose payload another page holds. Payloads move once; which row
+    refers to which is found on ids and digests alone."""
     data = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.sha1(data).alias("digest"), data.alias("data")
-    )
-    shared = (
-        rows.where(F.octet_length("data") >= least)
-        .groupBy("digest")
-        .agg(F.max("id").alias("holder"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("digest", "holder")
-    )
-    different = rows.groupBy("id", "url", "digest").agg(F.count("*").alias("copies"), F.first("data").alias("data"))
-    met = different.join(shared, "digest", "left")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), data.alias("data"))
+    rows = rows.withColumn("digest", F.sha1("data"))
+    number = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    place = F.md5(F.coalesce("url", F.lit("")).cast("binary"))
+    rows = rows.withColumn("name", F.concat_ws(":", F.lit("urn:page"), number, place, "digest"))
+    large = rows.where(F.octet_length("data") >= least).select("name", "id", "digest")
+    shared = large.groupBy("digest").agg(F.max("id").alias("holder"), F.count("*").alias("n"))
     other = F.coalesce(F.col("id") < F.col("holder"), F.col("id").isNull() & F.col("holder").isNotNull())
-    return met.select(
-        "id", "url", "digest", "data", F.octet_length("data").alias("size"), "copies", F.when(other, F.col("holder")).alias("refers_to")
+    referring = (
+        large.join(shared.where("n > 1").select("digest", "holder"), "digest")
+        .where(other)
+        .groupBy("name")
+        .agg(F.first("holder").alias("refers_to"))
+    )
+    different = rows.groupBy("name").agg(
+        F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("id", "url", "digest", "data")]
     )
+    return different.join(referring, "name", "left").withColumn("size", F.octet_length("data"))
 
 
 def records(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int = LEAST_SHARED) -> DataFrame:
     """``value``: one WARC record per row, without the empty lines that end it."""
     rows = decided(pages, id_col, url_col, html_col, least)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    number = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    name = F.concat_ws(":", F.lit("urn:page"), number, F.md5(F.coalesce("url", F.lit("")).cast("binary")), "digest", "copy")
-    rows = rows.withColumn("name", name)
+    rows = rows.withColumn("name", F.concat_ws(":", "name", "copy"))
     target = F.regexp_replace("url", r"[\x00-\x20\x7F]", "")
     common = [("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", F.when(target != "", target))]
     held = F.concat(F.lit("sha1:"), "digest")
@@ -127,8 +130,9 @@ def records(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: i
 
 
 def write(found: DataFrame, path: str) -> None:
-    """Records as archive files; the sink ends each with two empty lines."""
-    found.write.option("lineSep", _END).option("maxRecordsPerFile", PER_FILE).text(path)
+    """Records as gzip files; the sink ends each record with two empty lines."""
+    sink = found.write.option("lineSep", _END).option("maxRecordsPerFile", PER_FILE)
+    sink.option("compression", "gzip").text(path)
 
 
 def parse(content: bytes):
@@ -159,7 +163,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 out = [[] for _ in names]
-                for fields, block in parse(content.as_py()):
+                for fields, block in parse(gzip.decompress(content.as_py())):
                     name = fields["warc-record-id"].strip("<>")
                     total = fields.get("warc-segment-total-length")
                     row = (
@@ -250,7 +254,7 @@ def round_trip(
     spark = pages.sparkSession
     path = path or new_folder(spark, "archives")
     write(records(pages, id_col, url_col, html_col, least), path)
-    found = written(read(spark, path), "records")
+    found = read(spark, path)
     sizes = payloads(reassembled(found)).select(
         F.split_part("name", F.lit(":"), F.lit(3)).alias("page"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
