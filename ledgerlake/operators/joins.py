@@ -25,13 +25,28 @@ def _as_list(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_FLOATS = ("float", "double")
+#: Right rows of a hot key are repeated this many times at most.
+_MOST_SALTS = 64
+
+
 def _key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
-    # In one type per kind, so that equal keys of two integer widths hash alike.
+    """Equal keys hash alike: integers in one type, zeros without a sign."""
     types = dict(df.dtypes)
-    whole = ("tinyint", "smallint", "int", "bigint")
-    return F.xxhash64(
-        *[F.col(k).cast("bigint" if types[k] in whole else "string") for k in keys]
-    )
+
+    def plain(k: str) -> Column:
+        if types[k] in _WHOLE:
+            return F.col(k).cast("bigint")
+        return (F.col(k) + F.lit(0.0)).cast("string") if types[k] in _FLOATS else F.col(k).cast("string")
+
+    return F.xxhash64(*map(plain, keys))
+
+
+def _hash_alike(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether equal keys of both sides have equal hashes, which other pairs of types need not."""
+    a, b = dict(left.dtypes), dict(right.dtypes)
+    return all(a[k] == b[k] or a[k] in _WHOLE and b[k] in _WHOLE for k in keys)
 
 
 def _any_null(keys: Sequence[str]) -> Column:
@@ -63,11 +78,13 @@ def hot_keys(df: DataFrame, keys: str | Sequence[str], share: float = 0.01) -> l
 def _spread_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str, hot: Sequence[int]
 ) -> DataFrame:
-    if not hot:
+    if not hot or not _hash_alike(left, right, keys):
         return left.join(right, keys, how)
-    salts = max(8, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = min(_MOST_SALTS, max(8, salts))
     left_hot, right_hot = (_key_hash(side, keys).isin(*hot) for side in (left, right))
-    origin = F.pmod(F.hash(F.spark_partition_id()), F.lit(salts))
+    content = [F.col(n) for n, t in left.dtypes if "map<" not in t and "variant" not in t]
+    origin = F.pmod(F.xxhash64(*content), F.lit(salts)).cast("int")
     every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_left = left.withColumn(_SALT, F.when(left_hot, origin).otherwise(F.lit(0)))
     salted_right = right.withColumn(
@@ -86,8 +103,9 @@ def join_on_key(
     """Inner, left or left-anti equi-join keeping one copy of the key.
 
     ``hot`` comes from `hot_keys(left, keys)`. Left rows of a hot key are spread by
-    the input partition they come from, which a retried task reproduces; the right
-    rows of these keys (few, for the list is short) are repeated once per salt.
+    their content, which a retried task reproduces, wherever they come from; the right
+    rows of these keys are repeated once per salt. Keys whose types differ by more than
+    the width of integers are joined without salt.
     """
     keys = _as_list(keys)
     if how == "inner":

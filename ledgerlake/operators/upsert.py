@@ -5,14 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def upsert_by_key(target: DataFrame, source: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """Target rows whose key is not in ``source``, plus all of ``source``.
+    """Target rows whose key is not in ``source``, plus the rows of ``source``.
 
-    A key in both takes every column from the source, NULLs included. ``source`` must
-    hold each key once; `KeyedTable.merge` checks that before it writes.
+    The result has the target's columns and types. A key in both takes every column that the source
+    has, NULLs included, and keeps the others; a new key has NULL there. A column that the target does
+    not know is refused. ``source`` must hold each key once; `KeyedTable.merge` checks that before it
+    writes.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    untouched = target.join(source.select(*keys), keys, "left_anti")
-    return untouched.select(*source.columns).unionByName(source)
+    unknown = [c for c in source.columns if c not in target.columns]
+    if unknown:
+        raise ValueError(f"columns unknown to the target: {', '.join(unknown)}")
+    absent = [c for c in target.columns if c not in source.columns]
+    typed = source.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in source.columns])
+    untouched = target.join(typed.select(*keys), keys, "left_anti")
+    if absent:
+        typed = typed.join(target.select(*keys, *absent), keys, "left")
+    return untouched.select(*target.columns).unionByName(typed.select(*target.columns))

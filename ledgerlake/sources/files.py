@@ -81,7 +81,9 @@ def require_sources(expected: DataFrame, discovered: DataFrame, key: str, show:
     missing = missing_sources(expected, discovered, key).select(key)
     names = [r[0] for r in missing.orderBy(key).take(show)]
     if names:
-        raise FileNotFoundError("source files not found: " + ", ".join(map(str, names)))
+        more = missing.count() - len(names)
+        also = f" and {more} more" if more else ""
+        raise FileNotFoundError("source files not found: " + ", ".join(map(str, names)) + also)
 
 
 MANIFEST = (

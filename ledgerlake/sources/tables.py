@@ -157,6 +157,12 @@ class KeyedTable(VersionedTable):
 
         floats = [n for n, t in source.dtypes if t in ("float", "double")]
         clean = source.withColumns({n: nan_to_null(n) for n in floats}) if floats else source
+        stored = self._load([entries[0]["directory"]]).schema if entries else clean.schema
+        if unknown := [c for c in clean.columns if c not in stored.names]:
+            raise ValueError(f"{self.root}: columns unknown to the table: {', '.join(unknown)}")
+        # In the table's types, so that a key is in the same bucket whatever type it came in.
+        clean = clean.select(*[F.col(c).cast(stored[c].dataType).alias(c) for c in clean.columns])
+        partial = len(clean.columns) < len(stored.names)
         staged = clean.withColumn("bucket", self._bucket(buckets))
         incoming = f"incoming/version={version}"
         self._write_buckets(staged, incoming)
@@ -165,15 +171,17 @@ class KeyedTable(VersionedTable):
 
         touched = {r["bucket"]: r["count"] for r in batch.groupBy("bucket").count().collect()}
         old = {e["bucket"]: e["directory"] for e in entries if e["bucket"] in touched}
-        if old:
-            before = self._load(old.values()).withColumn("bucket", self._bucket(buckets))
-            again = batch.where(F.col("bucket").isin(*old))
+        if old or partial:
+            rows = self._load(old.values()) if old else self.spark.createDataFrame([], stored)
+            before = rows.withColumn("bucket", self._bucket(buckets))
+            again = batch if partial else batch.where(F.col("bucket").isin(*old))
             self._write_buckets(upsert_by_key(before, again, self.key), f"data/version={version}")
 
         # Buckets that held nothing yet are the batch's own files; the rest were merged.
         now = {e["bucket"]: e["directory"] for e in entries}
         for b in touched:
-            now[b] = f"{f'data/version={version}' if b in old else incoming}/bucket={b}"
+            merged = b in old or partial
+            now[b] = f"{f'data/version={version}' if merged else incoming}/bucket={b}"
         self._commit([(version, directory, b, buckets) for b, directory in sorted(now.items())])
         rows = sum(touched.values())
         return {"version": version, "rows": rows, "touched_buckets": len(touched)}

@@ -6,9 +6,9 @@ import pytest
 from oracle import connect, differences
 
 from __spark_entry__ import entry, oracle_sql, queries
+from ledgerlake.catalog import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLE = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +28,10 @@ def test_same_rows_as_sql(spark, con, name):
     assert differences(got.toArrow(), want) is None
 
 
+def test_every_query_is_registered():
+    assert QUERIES.items() <= queries().items() and ORACLE.items() <= oracle_sql().items()
+
+
 def test_only_the_file_query_has_no_sql():
     assert set(QUERIES) - set(ORACLE) == {"file_fingerprint"}
 

@@ -257,3 +257,26 @@ def test_profiles(spark):
     assert rows(profile_castability(df, patterns)) == [("m", 2), ("n", 1)]
     assert rows(profile_castability(df, patterns, blank_allowed=True)) == [("m", 1), ("n", 1)]
     assert uncastable_rows(df, patterns, blank_allowed=True).count() == 2
+
+
+@pytest.mark.parametrize(
+    "a, b",
+    [("decimal(18,2)", "decimal(18,4)"), ("bigint", "decimal(18,2)"), ("double", "bigint"), ("double", "double")],
+)
+def test_salt_never_loses_rows_of_other_key_types(spark, a, b):
+    left = spark.range(4000).selectExpr(f"cast(if(id % 2 = 0, 0, id % 40) as {a}) AS k", "id")
+    if a == "double":
+        left = left.selectExpr("if(k = 0, -0.0D, k) AS k", "id")
+    right = spark.range(40).selectExpr(f"cast(id as {b}) AS k", "id AS r")
+    hot = joins.hot_keys(left, "k")
+    assert joins.join_on_key(left, right, "k", hot=hot).count() == 4000
+
+
+def test_upsert_of_some_columns_keeps_the_others(spark):
+    target = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k bigint, a string, b double")
+    source = spark.createDataFrame([(2, None), (3, "c")], "k int, a string")
+    got = upsert_by_key(target, source, "k")
+    assert got.dtypes == target.dtypes
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 1.0), (2, None, 2.0), (3, "c", None)]
+    with pytest.raises(ValueError):
+        upsert_by_key(target, source.withColumnRenamed("a", "other"), "k")
