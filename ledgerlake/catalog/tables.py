@@ -53,10 +53,10 @@ def _(spark, folder):
 
 @query("csv_scan_raw_framed", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")
 def _(spark, folder):
-    """The same with every file taken as too large for one task."""
+    """The same from many files, a task each."""
     documents = given(spark, folder, "documents").select("doc_id", "text", "lang")
-    path = write_csv(documents, new_folder(spark, "csv"))
-    return csv_scan_raw(spark, path, split_bytes=1).drop("source_file_name")
+    path = write_csv(documents.repartition(32, "doc_id"), new_folder(spark, "csv"))
+    return csv_scan_raw(spark, path).drop("source_file_name")
 
 
 @query(
@@ -66,7 +66,7 @@ def _(spark, folder):
     FROM header_text""",
 )
 def _(spark, folder):
-    """No line breaks in fields, so every file is read in splits."""
+    """A feed without line breaks in its fields is read the same way."""
     path = write_csv(view(spark, folder, "header_text"), new_folder(spark, "csv"))
     return csv_scan_raw(spark, path).drop("source_file_name")
 
@@ -130,12 +130,20 @@ def _(spark, folder):
 # ---- file sets
 
 
-@query("file_fingerprint")
+@query(
+    "file_fingerprint",
+    """SELECT s_suppkey, CAST(strlen(s_name) + 1 AS BIGINT) AS file_size_bytes,
+    md5(s_name || chr(10)) AS file_hash FROM supplier""",
+)
 def _(spark, folder):
-    """The given tables' own files."""
-    files = file_fingerprint(spark, folder, "*.parquet")
-    name = F.element_at(F.split("file_path", "/"), -1)
-    return files.select(name.alias("file_name"), "file_size_bytes", "file_hash")
+    """A text file per supplier, its name and a line end."""
+    path = new_folder(spark, "text")
+    names = given(spark, folder, "supplier").select("s_suppkey", "s_name")
+    names.write.partitionBy("s_suppkey").text(path)
+    key = F.regexp_extract("file_path", r"s_suppkey=(\d+)/", 1).cast("bigint")
+    return file_fingerprint(spark, path, "*.txt").select(
+        key.alias("s_suppkey"), "file_size_bytes", "file_hash"
+    )
 
 
 def _document_files(spark, folder):
@@ -200,14 +208,13 @@ def _(spark, folder):
 
 @query(
     "missing_source_check",
-    """SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS
-    (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""",
+    """SELECT doc_id, lang FROM documents d WHERE NOT EXISTS
+    (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
 )
 def _(spark, folder):
-    """Customers are expected to have sent an urgent order."""
-    expected = given(spark, folder, "customer").select("c_custkey", "c_name")
-    found = given(spark, folder, "orders").where("o_orderpriority = '1-URGENT'")
-    return missing_sources(expected, found.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Every document is expected to have come with a label."""
+    expected = given(spark, folder, "documents").select("doc_id", "lang")
+    return missing_sources(expected, given(spark, folder, "labels"), "doc_id")
 
 
 # ---- flows

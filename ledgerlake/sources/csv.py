@@ -3,171 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.sources.scratch import new_folder
-
 # The text format of the source files. A file whose header differs from
 # the first one's is an error rather than shifted columns.
-FORMAT = {"header": "true", "inferSchema": "false", "escape": '"', "enforceSchema": "false"}
-
-_FILE = "_metadata.file_path"
-
-
-def _stray_quote(text: Column) -> Column:
-    """True if a quote is left after taking out doubled quotes and then every field that
-    opens and closes its quotes next to a separator: a field is open at the end of the
-    text, or its reading depends on what stands around it."""
-    undoubled = F.regexp_replace(text, '""', "")
-    unquoted = F.regexp_replace(undoubled, r'(^|,)"[^"]*+"(?=,|\z)', "$1")
-    return F.contains(text, F.lit('"')) & F.contains(unquoted, F.lit('"'))
-
-
-def _may_run_on(line: Column) -> Column:
-    """True for a line that is not a whole record by itself. A line of spaces is a record
-    when reading across lines and skipped when reading line by line, so it counts too."""
-    return _stray_quote(line) | line.rlike(r"^\s+$")
-
-
-def files_with_open_quotes(spark: SparkSession, paths: Sequence[str]) -> dict[str, int]:
-    """Files that must be read across line breaks, with their sizes. The check itself
-    splits files freely; the driver gets at most one name per file."""
-    lines = spark.read.text(list(paths)).select(
-        F.col(_FILE).alias("file"), F.col("_metadata.file_size").alias("size"), "value"
-    )
-    found = lines.where(_may_run_on(F.col("value"))).select("file", "size").distinct()
-    return {r["file"]: r["size"] for r in found.collect()}
-
+FORMAT = {
+    "header": "true",
+    "inferSchema": "false",
+    "escape": '"',
+    "enforceSchema": "false",
+    "multiLine": "true",
+}
 
-def _records(spark: SparkSession, paths: Sequence[str], files: Sequence[str]) -> DataFrame:
-    """Records of files with line breaks in quotes, put together from split reads.
 
-    Whether a line starts a record depends on the quotes before it: inside its split,
-    a running count; over the splits before, one number per split. Lines are written
-    down once with the count inside their split, so that later steps agree on them.
-    Only records of several lines are grouped, and a group is one record."""
-    lines = spark.read.text(list(paths)).where(F.col(_FILE).isin(*files))
-    lines = lines.select(
-        F.col(_FILE).alias("file"),
-        F.col("_metadata.file_name").alias("source_file_name"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("at"),
-        "value",
-        (F.regexp_count("value", F.lit('"')) % 2).alias("flips"),
-    )
-    in_split = Window.partitionBy("file", "split").orderBy("at")
-    earlier = in_split.rowsBetween(Window.unboundedPreceding, -1)
-    folder = new_folder(spark, "csv-lines")
-    lines.withColumn("before", F.sum("flips").over(earlier)).write.parquet(folder)
-    lines = spark.read.parquet(folder)
-
-    splits_before = (
-        Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    entered = (
-        lines.groupBy("file", "split")
-        .agg(F.sum("flips").alias("n"))
-        .select("file", "split", F.coalesce(F.sum("n").over(splits_before), F.lit(0)).alias("base"))
-    )
-    starts = (F.col("base") + F.coalesce("before", F.lit(0))) % 2 == 0
-    started = (
-        lines.join(entered, ["file", "split"])
-        .withColumn("starts", starts)
-        .where(~F.col("starts") | (F.col("value") != ""))  # blank lines between records
-        .withColumn("start_at", F.when(F.col("starts"), F.col("at")))
-        .withColumn("record", F.last("start_at", ignorenulls=True).over(in_split))
-    )
-    # A split may begin inside a record that an earlier split started.
-    carried = (
-        started.groupBy("file", "split")
-        .agg(F.max("start_at").alias("last_start"), F.min("start_at").alias("first_start"))
-        .select(
-            "file",
-            "split",
-            F.last("last_start", ignorenulls=True).over(splits_before).alias("carried"),
-            F.first("first_start", ignorenulls=True)
-            .over(splits_before.rowsBetween(Window.unboundedPreceding, 0))
-            .alias("header_at"),
-        )
-    )
-    placed = started.join(carried, ["file", "split"]).select(
-        "file",
-        "source_file_name",
-        F.coalesce("record", "carried").alias("record"),
-        (F.coalesce("record", "carried") == F.col("header_at")).alias("is_header"),
-        "split",
-        "at",
-        "value",
-        (F.col("starts") & (F.col("flips") == 0)).alias("whole"),
-    )
-    single = placed.where("whole").select(
-        "file", "source_file_name", "is_header", F.col("value").alias("text")
-    )
-    in_order = F.array_sort(F.collect_list(F.struct("split", "at", "value")))
-    several = (
-        placed.where("NOT whole")
-        .groupBy("file", "source_file_name", "record", "is_header")
-        .agg(F.array_join(in_order["value"], "\n").alias("text"))
-        .drop("record")
-    )
-    return single.unionByName(several)
-
-
-def _scan_in_splits(
-    spark: SparkSession, paths: Sequence[str], files: Sequence[str], columns: Sequence[str]
-) -> tuple[DataFrame, list[str]]:
-    """Rows of large files with line breaks in quotes, and the files among them whose
-    quotes only a sequential reader can follow."""
-    folder = new_folder(spark, "csv-records")
-    _records(spark, paths, files).write.parquet(folder)
-    records = spark.read.parquet(folder)
-    stray = records.where(_stray_quote(F.col("text"))).select("file").distinct()
-    sequential = [r["file"] for r in stray.collect()]
-
-    names = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
-    parsed = F.from_csv("text", names, {"escape": '"'}).alias("row")
-    rows = records.where(~F.col("file").isin(*sequential)) if sequential else records
-    same = reduce(lambda a, b: a & b, [F.col(f"row.`{c}`").eqNullSafe(F.lit(c)) for c in columns])
-    other = rows.where("is_header").select("file", parsed).where(~same).select("file").take(1)
-    if other:
-        raise ValueError(f"CSV header of {other[0]['file']} is not {', '.join(columns)}")
-    body = rows.where("NOT is_header").select(parsed, "source_file_name")
-    return body.select("row.*", "source_file_name"), sequential
-
-
-def csv_scan_raw(
-    spark: SparkSession, paths: str | Sequence[str], split_bytes: int = 128 << 20
-) -> DataFrame:
+def csv_scan_raw(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Rows of one or more CSV files with a header line, every column as text.
 
-    A reader that follows quotes across line breaks cannot split a file, which would
-    put a large file into one task. So files without such breaks are read line by line,
-    in splits; files with them that are larger than ``split_bytes`` are put together
-    from split reads; only small ones, and those with stray quotes, are read as a
-    whole. The rows are the same each way. The column ``source_file_name`` names the
-    file of each row."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    open_quotes = files_with_open_quotes(spark, paths)
-
-    def scan(across_lines: bool, keep: Column | None = None) -> DataFrame:
-        reader = spark.read.options(**FORMAT).option("multiLine", str(across_lines).lower())
-        rows = reader.csv(paths)
-        rows = rows if keep is None else rows.where(keep)
-        return rows.select("*", F.col("_metadata.file_name").alias("source_file_name"))
-
-    if not open_quotes:
-        return scan(False)
-    parts = [scan(False, ~F.col(_FILE).isin(*open_quotes))]
-    small = [f for f, size in open_quotes.items() if size <= split_bytes]
-    large = [f for f, size in open_quotes.items() if size > split_bytes]
-    if large:
-        columns = scan(True).drop("source_file_name").columns
-        framed, sequential = _scan_in_splits(spark, paths, large, columns)
-        parts.append(framed)
-        small += sequential
-    if small:
-        parts.append(scan(True, F.col(_FILE).isin(*small)))
-    return reduce(DataFrame.unionByName, parts)
+    Quotes are followed across line breaks in every file, whatever its size or content,
+    so a file is one task's work, and the number of files is what spreads a feed over
+    tasks. The column ``source_file_name`` names the file of each row."""
+    rows = spark.read.options(**FORMAT).csv(paths if isinstance(paths, str) else list(paths))
+    return rows.select("*", F.col("_metadata.file_name").alias("source_file_name"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,16 +38,25 @@ def _hash_listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size and modification time of the files; contents are not read. Empty files
-    hold nothing to load and are left out."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .select(
-            F.col("path").alias("file_path"),
-            F.col("length").alias("file_size_bytes"),
-            F.col("modificationTime").alias("last_modified_at"),
+    """Path, size and modification time of the files; contents are not read.
+
+    Spark's scan leaves out empty files, though its listing has them: they are added from
+    there, with size 0 and no modification time."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    found = files.select(
+        F.col("path").alias("file_path"),
+        F.col("length").alias("file_size_bytes"),
+        F.col("modificationTime").alias("last_modified_at"),
+    )
+    # A scan writes file:/x where the listing writes file:///x.
+    names = [(re.sub("^file:/+", "file:/", unquote(n)),) for n in files.inputFiles()]
+    listed = spark.createDataFrame(names, "file_path string")
+    empty = listed.join(found.select("file_path"), "file_path", "left_anti")
+    return found.unionByName(
+        empty.select(
+            "file_path",
+            F.lit(0).cast("bigint").alias("file_size_bytes"),
+            F.lit(None).cast("timestamp").alias("last_modified_at"),
         )
     )
 
