@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 
 def dedup_by_completeness(
-    df: DataFrame, keys: str | Sequence[str], tiebreak: Sequence[str] | None = None
+    df: DataFrame,
+    keys: str | Sequence[str],
+    tiebreak: Sequence[str] | None = None,
+    newest: str | None = None,
 ) -> DataFrame:
-    """One row per key: the one with the fewest NULLs outside the key.
+    """One row per key: the one with the fewest NULLs outside the key. With ``newest``,
+    only rows with their key's highest value there compete, and that column is dropped.
 
     Equally complete rows are ordered by ``tiebreak`` (every remaining column when not
     given), ascending with NULLs last, so the same row wins on every run and every
@@ -20,16 +24,17 @@ def dedup_by_completeness(
     with a NULL key form one group, of which one row is kept for the contract to judge.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in df.columns if c not in (*keys, newest)]
     gaps = sum((F.col(c).isNull().cast("int") for c in rest), F.lit(0))
-    order = [F.col("_gaps").asc()]
+    order = [F.col(newest).desc_nulls_last()] if newest else []
+    order += [F.col("_gaps").asc()]
     order += [F.col(c).asc_nulls_last() for c in (rest if tiebreak is None else tiebreak)]
     best_first = Window.partitionBy(*keys).orderBy(*order)
     return (
         df.withColumn("_gaps", gaps)
         .withColumn("_nth", F.row_number().over(best_first))
         .where("_nth = 1")
-        .drop("_gaps", "_nth")
+        .select(*[c for c in df.columns if c != newest])
     )
 
 

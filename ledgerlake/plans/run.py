@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -19,12 +20,14 @@ from ledgerlake.sources.files import (
     MANIFEST,
     changed_files,
     file_fingerprint,
+    file_names,
     list_files,
     manifest_upsert,
-    require_sources,
 )
 from ledgerlake.sources.tables import BatchTable, KeyedTable, VersionedTable
 
+log = logging.getLogger(__name__)
+
 # Source entities and the raw table each one fills.
 ENTITIES = {
     "products": "raw_product_master",
@@ -72,16 +75,19 @@ def batch_id_of(batch_ts: str) -> str:
     return "b" + "".join(c for c in batch_ts if c.isdigit())
 
 
-def ingest(lake: Lake, entity: str, folder: str, batch_ts: str) -> int:
+def ingest(
+    lake: Lake, entity: str, folder: str, batch_ts: str, expected: Sequence[str] = ()
+) -> int:
     """Take in the new and changed CSV files of an entity; the number of files loaded.
 
+    It is an error if a file named in ``expected`` is not there or, without such names,
+    if no file is. An empty file is recorded and brings no rows.
     The manifest is written last: a run that dies before it repeats the load, and a
     load under the same timestamp replaces its own batch."""
     spark, table = lake.spark, ENTITIES[entity]
-    found = list_files(spark, folder, "*.csv")
-    expected = spark.createDataFrame([(entity,)], "entity string")
-    seen = found.limit(1).select(F.lit(entity).alias("entity"))
-    require_sources(expected, seen, "entity")
+    found = file_names(spark, folder, "*.csv")
+    if missing := sorted(set(expected) - found) or ([] if found else [entity]):
+        raise FileNotFoundError(f"source files not found: {', '.join(missing)}")
 
     name = F.element_at(F.split("file_path", "/"), -1)
     keyed = file_fingerprint(spark, folder, "*.csv").withColumns(
@@ -96,13 +102,14 @@ def ingest(lake: Lake, entity: str, folder: str, batch_ts: str) -> int:
     todo = f"{lake.root}/changed/{entity}/{batch_id}"
     changed_files(keyed, manifest).select(*columns).write.mode("overwrite").parquet(todo)
     loaded = spark.read.parquet(todo)
-    paths = [r["file_path"] for r in loaded.select("file_path").collect()]
-    if not paths:
+    sizes = {r["file_path"]: r["file_size_bytes"] for r in loaded.collect()}
+    if not sizes:
         return 0
 
-    rows = csv_scan_raw(spark, paths)
-    stamped = add_audit_columns(rows, batch_ts, F.col("source_file_name"))
-    lake.raw(table).append(stamped, batch_id)
+    if paths := [p for p, size in sizes.items() if size]:
+        rows = csv_scan_raw(spark, paths)
+        stamped = add_audit_columns(rows, batch_ts, F.col("source_file_name"))
+        lake.raw(table).append(stamped, batch_id)
 
     now = list_files(spark, folder, "*.csv").select(
         "file_path", F.col("file_size_bytes").alias("_size"), F.col("last_modified_at").alias("_at")
@@ -115,58 +122,112 @@ def ingest(lake: Lake, entity: str, folder: str, batch_ts: str) -> int:
         raise RuntimeError(f"{moved[0]['file_path']} changed while it was being loaded")
 
     lake.manifest.replace(manifest_upsert(manifest, loaded, batch_ts))
-    return len(paths)
+    return len(sizes)
 
 
-def load(lake: Lake, name: str, rows: DataFrame, parents: Mapping[str, DataFrame] | None = None):
+def load(
+    lake: Lake,
+    name: str,
+    rows: DataFrame,
+    parents: Mapping[str, DataFrame] | None = None,
+    consumed: Sequence[tuple[str, str]] = (),
+):
     """Merge rows into table ``name`` if they keep its contract; otherwise nothing changes."""
 
     def check(batch: DataFrame) -> None:
         raise_on_fail(enforce_contract(batch, lake.contracts[name], parents))
 
-    return lake.keyed(name).merge(rows, check)
+    return lake.keyed(name).merge(rows, check, consumed)
+
+
+NOTHING = {"rows": 0, "touched_buckets": 0}
 
 
 def gate(lake: Lake, name: str) -> None:
-    """Stop the run if a stored table has a bad key or is empty."""
+    """Stop the run if a stored table has a bad key or is empty. Looks at the buckets that
+    the last merge wrote; the others were looked at after the merge that wrote them."""
     table = lake.keyed(name)
-    raise_on_fail(dq_gate(table.read(), table.key, name))
+    rows = table.rewritten()
+    if rows is not None:
+        raise_on_fail(dq_gate(rows, table.key, name))
+    elif table.read().isEmpty():
+        raise ValueError(f"{name}: row_count = 0")
+
+
+def _load_store(lake: Lake, raw_name: str, name: str, build, batch_ts: str, parents=None):
+    """Take in every raw batch that table ``name`` has not: the newest row of each key.
+
+    A batch that was refused, or whose run died, stays due until a version has it; one that
+    can never be taken in has to be withdrawn (`BatchTable.withdraw`)."""
+    raw, seen = lake.raw(raw_name), lake.keyed(name).consumed(raw_name)
+    entries = raw.entries()
+    if not entries:
+        raise FileNotFoundError(f"no batch at {raw.root}")
+    due = [e for e in entries if e not in seen]
+    if not due:
+        return NOTHING
+    rows = raw.load(due)
+    stored = build(rows, lake.contracts[name], batch_ts)
+    report = load(lake, name, stored, parents, [(raw_name, e) for e in due])
+    if dropped := rows.count() - report["rows"]:
+        log.warning("%s: %d rows dropped for their keys came again", name, dropped)
+    return {**report, "rows_dropped": dropped}
 
 
 def load_store_product(lake: Lake, batch_ts: str):
-    name = "store_product_master"
-    raw = lake.raw("raw_product_master").latest()
-    return load(lake, name, store.store_product(raw, lake.contracts[name], batch_ts))
+    return _load_store(
+        lake, "raw_product_master", "store_product_master", store.store_product, batch_ts
+    )
 
 
 def load_store_header(lake: Lake, batch_ts: str):
-    name = "store_sales_order_header"
-    raw = lake.raw("raw_sales_order_header").latest()
-    return load(lake, name, store.store_header(raw, lake.contracts[name], batch_ts))
+    return _load_store(
+        lake, "raw_sales_order_header", "store_sales_order_header", store.store_header, batch_ts
+    )
 
 
 def load_store_detail(lake: Lake, batch_ts: str):
     """Needs the products and headers of the run in place, for its foreign keys."""
-    name = "store_sales_order_detail"
-    raw = lake.raw("raw_sales_order_detail").latest()
     parents = {
         p: lake.keyed(p).read() for p in ("store_sales_order_header", "store_product_master")
     }
-    return load(lake, name, store.store_detail(raw, lake.contracts[name], batch_ts), parents)
+    return _load_store(
+        lake,
+        "raw_sales_order_detail",
+        "store_sales_order_detail",
+        store.store_detail,
+        batch_ts,
+        parents,
+    )
+
+
+def _due_versions(lake: Lake, source: str, name: str) -> list[int]:
+    """Versions of ``source`` whose rows table ``name`` has not taken in."""
+    seen = lake.keyed(name).consumed(source)
+    return [v for v in lake.keyed(source).versions() if str(v) not in seen]
 
 
 def load_publish_product(lake: Lake, batch_ts: str):
-    newest = lake.keyed("store_product_master").latest_batch()
-    return load(lake, "publish_product", publish.publish_product(newest, batch_ts, lake.rules))
+    source, name = "store_product_master", "publish_product"
+    due = _due_versions(lake, source, name)
+    if not due:
+        return NOTHING
+    rows = publish.publish_product(lake.keyed(source).changed_in(due), batch_ts, lake.rules)
+    return load(lake, name, rows, consumed=[(source, str(v)) for v in due])
 
 
 def load_publish_orders(lake: Lake, batch_ts: str):
-    """The newest detail batch with all headers. A header that comes again without its
-    lines leaves their published rows as they were."""
-    detail = lake.keyed("store_sales_order_detail").latest_batch()
+    """The detail rows that are not published yet, with all headers. A header that comes
+    again without its lines leaves their published rows as they were."""
+    source, name = "store_sales_order_detail", "publish_orders"
+    due = _due_versions(lake, source, name)
+    if not due:
+        return NOTHING
+    detail = lake.keyed(source).changed_in(due)
     header = lake.keyed("store_sales_order_header").read()
     hot = hot_keys(detail, "sales_order_id")
-    return load(lake, "publish_orders", publish.publish_orders(detail, header, batch_ts, hot))
+    rows = publish.publish_orders(detail, header, batch_ts, hot)
+    return load(lake, name, rows, consumed=[(source, str(v)) for v in due])
 
 
 def load_analysis(lake: Lake) -> None:
@@ -189,12 +250,17 @@ def all_tables(lake: Lake) -> dict[str, DataFrame]:
 
 
 def run_all(
-    lake: Lake, folders: Mapping[str, str], batch_ts: str, expected_returns: int = 2
+    lake: Lake,
+    folders: Mapping[str, str],
+    batch_ts: str,
+    expected_returns: int = 2,
+    expected_files: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Every layer in order; the validation report. ``folders`` maps entities to where
-    their CSV files are. An unchanged file is not loaded again, later steps still run."""
+    their CSV files are, ``expected_files`` to the names that must be there. An unchanged
+    file is not loaded again; later steps take in whatever they have not yet."""
     for entity in ENTITIES:
-        ingest(lake, entity, folders[entity], batch_ts)
+        ingest(lake, entity, folders[entity], batch_ts, (expected_files or {}).get(entity, ()))
     load_store_product(lake, batch_ts)
     gate(lake, "store_product_master")
     load_publish_product(lake, batch_ts)

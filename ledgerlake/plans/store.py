@@ -27,7 +27,8 @@ def store_rows(
 ) -> DataFrame:
     """Raw columns renamed and typed in contract order, stamped, one row per key.
 
-    ``computed`` replaces the plain conversion of a column."""
+    ``computed`` replaces the plain conversion of a column. Where ``raw`` holds several
+    batches (``batch_id``), a key's rows of the newest batch stand for it."""
     computed = {"etl_created_at": F.lit(batch_ts).cast("timestamp"), **(computed or {})}
     columns = []
     for f in contract.fields:
@@ -35,7 +36,10 @@ def store_rows(
         if value is None:
             value = _conform(f) if f.raw else F.col(f.name)
         columns.append(value.alias(f.name))
-    return dedup_by_completeness(raw.select(*columns), contract.key)
+    if "batch_id" not in raw.columns:
+        return dedup_by_completeness(raw.select(*columns), contract.key)
+    columns.append(F.col("batch_id").cast("string").alias("_batch"))
+    return dedup_by_completeness(raw.select(*columns), contract.key, newest="_batch")
 
 
 def store_product(raw: DataFrame, contract: TableContract, batch_ts: str) -> DataFrame:

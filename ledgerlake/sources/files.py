@@ -37,37 +37,55 @@ def _hash_listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield files.assign(file_hash=[_md5_of(p) for p in files["file_path"]])
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size and modification time of the files; contents are not read.
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+
+
+def _listed(files: DataFrame) -> list[str]:
+    """Paths as Spark's own listing on the driver has them, empty files among them. A scan
+    writes file:/x where the listing writes file:///x."""
+    return [re.sub("^file:/+", "file:/", unquote(n)) for n in files.inputFiles()]
+
+
+def file_names(spark: SparkSession, path: str, pattern: str = "*") -> set[str]:
+    """Names of the files there, without a job."""
+    return {n.rsplit("/", 1)[-1] for n in _listed(_files(spark, path, pattern))}
+
 
-    Spark's scan leaves out empty files, though its listing has them: they are added from
-    there, with size 0 and no modification time."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    found = files.select(
+def _scanned(files: DataFrame) -> DataFrame:
+    return files.select(
         F.col("path").alias("file_path"),
         F.col("length").alias("file_size_bytes"),
         F.col("modificationTime").alias("last_modified_at"),
     )
-    # A scan writes file:/x where the listing writes file:///x.
-    names = [(re.sub("^file:/+", "file:/", unquote(n)),) for n in files.inputFiles()]
-    listed = spark.createDataFrame(names, "file_path string")
-    empty = listed.join(found.select("file_path"), "file_path", "left_anti")
-    return found.unionByName(
-        empty.select(
-            "file_path",
-            F.lit(0).cast("bigint").alias("file_size_bytes"),
-            F.lit(None).cast("timestamp").alias("last_modified_at"),
-        )
+
+
+def _empty(files: DataFrame) -> DataFrame:
+    """Files that are listed and that a scan leaves out, which are those without content."""
+    listed = files.sparkSession.createDataFrame([(n,) for n in _listed(files)], "file_path string")
+    return listed.join(_scanned(files).select("file_path"), "file_path", "left_anti").select(
+        "file_path",
+        F.lit(0).cast("bigint").alias("file_size_bytes"),
+        F.lit(None).cast("timestamp").alias("last_modified_at"),
     )
 
 
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Path, size and modification time of the files; contents are not read. Empty files
+    have size 0 and no modification time."""
+    files = _files(spark, path, pattern)
+    return _scanned(files).unionByName(_empty(files))
+
+
 def file_fingerprint(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """MD5 of the whole content, size and modification time of every file.
 
     Spark deals the files out to tasks by size; a task reads each of its files in
     chunks, so memory does not grow with the file. MD5 is sequential, so one file is
     always one task's work."""
-    return list_files(spark, path, pattern).mapInPandas(_hash_listed, FINGERPRINT)
+    files = _files(spark, path, pattern)
+    hashed = _scanned(files).mapInPandas(_hash_listed, FINGERPRINT)
+    return hashed.unionByName(_empty(files).withColumn("file_hash", F.md5(F.lit(b""))))
 
 
 def changed_files(fingerprints: DataFrame, manifest: DataFrame) -> DataFrame:

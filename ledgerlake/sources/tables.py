@@ -1,8 +1,9 @@
 """Parquet tables that a reader never sees half-written.
 
 A table's folder has ``data/``, where every write goes to a directory of its own, and
-``versions/``, a small Parquet table listing the directories of each version. A write
-becomes visible by appending one file to ``versions/``, after its data is complete.
+``versions/``, a small Parquet table listing the directories of each version and what the
+version took in from other tables. A write becomes visible by appending one file to
+``versions/``, after its data is complete.
 A run that dies before that leaves nothing visible, and the next run overwrites what
 it left. One writer at a time; earlier versions stay readable.
 """
@@ -10,16 +11,23 @@ it left. One writer at a time; earlier versions stay readable.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlake.functions.typing import nan_to_null
 from ledgerlake.operators.quality import key_summary
 from ledgerlake.operators.upsert import upsert_by_key
 
-_VERSIONS = "version int, directory string, bucket int, buckets int"
+# A row names a directory of the version or, with ``source``, an entry that it took in.
+_VERSIONS = (
+    "version int, directory string, bucket int, buckets int, source string, entry string"
+)
+# The source of the row that says whether a version's batch had all columns.
+_INCOMING, _WHOLE = "incoming", "whole"
 
 
 def _rows_or_none(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
@@ -38,39 +46,66 @@ def _append_log(spark: SparkSession, rows: Sequence[tuple], schema: str, path: s
 
 
 class BatchTable:
-    """An append-only table: a directory per batch, and a log of the finished ones."""
+    """An append-only table: a directory per batch and attempt, and a log of the finished ones."""
 
-    _LOG = "batch_id string"
+    _LOG = "batch_id string, attempt int, directory string"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def batches(self) -> list[str]:
-        """Names of the finished batches, one short text per batch, oldest first."""
+    def _finished(self) -> list:
+        """Last finished attempt of each batch, oldest batch first; one short row per batch."""
         log = _rows_or_none(self.spark, self._LOG, f"{self.root}/batches")
-        return sorted(r["batch_id"] for r in log.distinct().collect()) if log else []
+        if log is None:
+            return []
+        last = log.groupBy("batch_id").agg(
+            F.max_by("directory", "attempt").alias("directory"), F.max("attempt").alias("attempt")
+        )
+        return sorted(last.collect(), key=lambda r: r["batch_id"])
+
+    def batches(self) -> list[str]:
+        """Names of the finished batches, oldest first."""
+        return [r["batch_id"] for r in self._finished() if r["directory"]]
+
+    def entries(self) -> list[str]:
+        """Directories of the finished batches, oldest first. A batch that was added again
+        is a new entry."""
+        return [r["directory"] for r in self._finished() if r["directory"]]
+
+    def _log(self, batch_id: str, attempt: int, directory: str | None) -> None:
+        _append_log(
+            self.spark, [(batch_id, attempt, directory)], self._LOG, f"{self.root}/batches"
+        )
+
+    def _next_attempt(self, batch_id: str) -> int:
+        return 1 + max((r["attempt"] for r in self._finished() if r["batch_id"] == batch_id), default=0)
 
     def append(self, df: DataFrame, batch_id: str) -> None:
         """Add a batch. Adding the same batch again replaces it, so a repeated run does
-        not duplicate rows."""
-        df.write.mode("overwrite").parquet(f"{self.root}/data/batch_id={batch_id}")
-        if batch_id not in self.batches():
-            _append_log(self.spark, [(batch_id,)], self._LOG, f"{self.root}/batches")
+        not duplicate rows; until that is complete, readers have the batch as it was."""
+        attempt = self._next_attempt(batch_id)
+        directory = f"data/batch_id={batch_id}/attempt={attempt}"
+        df.write.mode("overwrite").parquet(f"{self.root}/{directory}")
+        self._log(batch_id, attempt, directory)
+
+    def withdraw(self, batch_id: str) -> None:
+        """Take back a batch, such as one that a later step refuses for good."""
+        self._log(batch_id, self._next_attempt(batch_id), None)
 
-    def _load(self, batches: Sequence[str]) -> DataFrame:
-        if not batches:
+    def load(self, entries: Sequence[str]) -> DataFrame:
+        """The rows of some entries, with their ``batch_id``."""
+        if not entries:
             raise FileNotFoundError(f"no batch at {self.root}")
-        data = f"{self.root}/data"
-        paths = [f"{data}/batch_id={b}" for b in batches]
-        return self.spark.read.option("basePath", data).parquet(*paths)
+        paths = [f"{self.root}/{e}" for e in entries]
+        return self.spark.read.option("basePath", f"{self.root}/data").parquet(*paths).drop("attempt")
 
     def read(self) -> DataFrame:
-        return self._load(self.batches())
+        return self.load(self.entries())
 
     def latest(self) -> DataFrame:
         """The newest batch; only its directory is opened."""
-        return self._load(self.batches()[-1:])
+        return self.load(self.entries()[-1:])
 
 
 class VersionedTable:
@@ -80,13 +115,24 @@ class VersionedTable:
         self.spark = spark
         self.root = root.rstrip("/")
 
+    def _versions(self) -> DataFrame | None:
+        return _rows_or_none(self.spark, _VERSIONS, f"{self.root}/versions")
+
     def _entries(self) -> list:
         """Directories of the current version; their number is the number of buckets."""
-        versions = _rows_or_none(self.spark, _VERSIONS, f"{self.root}/versions")
+        versions = self._versions()
         if versions is None:
             return []
-        current = versions.select(F.max("version")).scalar()
-        return versions.where(F.col("version") == current).collect()
+        held = versions.where("directory IS NOT NULL")
+        return held.where(F.col("version") == held.select(F.max("version")).scalar()).collect()
+
+    def consumed(self, source: str) -> set[str]:
+        """Entries of ``source`` that this table's versions took in."""
+        versions = self._versions()
+        if versions is None:
+            return set()
+        taken = versions.where(F.col("source") == source).select("entry").distinct()
+        return {r["entry"] for r in taken.collect()}
 
     def _load(self, directories: Iterable[str]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.root}/{d}" for d in directories])
@@ -114,7 +160,7 @@ class VersionedTable:
         version = self.version + 1
         directory = f"data/version={version}"
         df.write.mode("overwrite").parquet(f"{self.root}/{directory}")
-        self._commit([(version, directory, None, None)])
+        self._commit([(version, directory, None, None, None, None)])
 
 
 class KeyedTable(VersionedTable):
@@ -142,14 +188,19 @@ class KeyedTable(VersionedTable):
             )
 
     def merge(
-        self, source: DataFrame, check: Callable[[DataFrame], None] | None = None
+        self,
+        source: DataFrame,
+        check: Callable[[DataFrame], None] | None = None,
+        consumed: Sequence[tuple[str, str]] = (),
     ) -> dict[str, int]:
         """Insert new keys, overwrite known ones, keep the rest.
 
         The batch is written once under ``incoming/``; everything after reads that, so
         an expensive source is computed one time and a lost executor costs a re-read.
         ``check`` sees the written batch before anything changes and raises to refuse
-        it; it must cover the key, as the default `check_key` does.
+        it; it must cover the key, as the default `check_key` does. ``consumed`` names, as
+        (source, entry), what the batch was made of: it is recorded with the version, so
+        that either both are there or neither.
         """
         entries = self._entries()
         version = max((e["version"] for e in entries), default=0) + 1
@@ -182,7 +233,9 @@ class KeyedTable(VersionedTable):
         for b in touched:
             merged = b in old or partial
             now[b] = f"{f'data/version={version}' if merged else incoming}/bucket={b}"
-        self._commit([(version, directory, b, buckets) for b, directory in sorted(now.items())])
+        held = [(version, d, b, buckets, None, None) for b, d in sorted(now.items())]
+        taken = [(_INCOMING, "part" if partial else _WHOLE), *consumed]
+        self._commit([*held, *[(version, None, None, None, *t) for t in taken]])
         rows = sum(touched.values())
         return {"version": version, "rows": rows, "touched_buckets": len(touched)}
 
@@ -191,12 +244,41 @@ class KeyedTable(VersionedTable):
         evened = df.hint("rebalance", F.col("bucket"))
         evened.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{directory}")
 
-    def latest_batch(self) -> DataFrame:
-        """The rows that the last merge brought in, read from where it left them rather
-        than searched for in the whole table."""
+    def versions(self) -> list[int]:
+        """Numbers of all versions that hold rows, oldest first."""
+        versions = self._versions()
+        if versions is None:
+            return []
+        held = versions.where("directory IS NOT NULL").select("version").distinct()
+        return sorted(r["version"] for r in held.collect())
+
+    def changed_in(self, versions: Sequence[int]) -> DataFrame:
+        """The rows that the merges of ``versions`` brought in, as they are now.
+
+        Those of the current version alone are read from where its merge left them. For
+        several, or for a batch that lacked columns, their keys are looked up in the table."""
         entries = self._entries()
-        if not entries:
-            raise FileNotFoundError(f"no table at {self.root}")
+        if not entries or not versions:
+            raise FileNotFoundError(f"no such version at {self.root}")
         schema = self._load([entries[0]["directory"]]).schema
-        incoming = f"{self.root}/incoming/version={entries[0]['version']}"
-        return self.spark.read.schema(schema).parquet(incoming).drop("bucket")
+        if list(versions) == [entries[0]["version"]]:
+            log = self._versions().where((F.col("version") == versions[0]) & (F.col("source") == _INCOMING))
+            if [r["entry"] for r in log.collect()] == [_WHOLE]:
+                path = f"{self.root}/incoming/version={versions[0]}"
+                return self.spark.read.schema(schema).parquet(path).drop("bucket")
+        keys = StructType([schema[k] for k in self.key])
+        paths = [f"{self.root}/incoming/version={v}" for v in versions]
+        parts = [self.spark.read.schema(keys).parquet(p).select(*self.key) for p in paths]
+        touched = reduce(DataFrame.unionByName, parts)
+        return self.read().join(touched, self.key, "left_semi")
+
+    def latest_batch(self) -> DataFrame:
+        """The rows that the last merge brought in."""
+        return self.changed_in(self.versions()[-1:])
+
+    def rewritten(self) -> DataFrame | None:
+        """The buckets that the last merge wrote, None if it wrote none. A key is in one
+        bucket only, so what holds for the others still does."""
+        entries = self._entries()
+        new = [e["directory"] for e in entries if f"/version={e['version']}/" in e["directory"]]
+        return self._load(new) if new else None

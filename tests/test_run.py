@@ -156,3 +156,86 @@ def test_critical_findings_raise_together(state):
     tables["raw_product_master"] = tables["raw_product_master"].limit(0)
     with pytest.raises(ValueError, match="(?s)color filled in = .*not empty = 0"):
         validation.assert_no_critical(validation.validation_report(tables))
+
+
+HEAD = PRODUCTS.splitlines()[0] + "\n"
+
+
+def product(key, color="Red"):
+    return f"{key},Thing,T-{key},True,{color},4,3,1,2,,,,,Clothing,Socks\n"
+
+
+@pytest.fixture
+def lake(spark, tmp_path):
+    return run.Lake(spark, str(tmp_path / "lake"), buckets=2)
+
+
+def deliver(lake, folder, name, text, batch_ts):
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
+        f.write(text)
+    return run.ingest(lake, "products", str(folder), batch_ts)
+
+
+def colors(lake, name):
+    return {r["product_id"]: r["color"] for r in lake.keyed(name).read().collect()}
+
+
+def test_raw_batches_wait_until_the_store_has_them(lake, tmp_path):
+    folder = tmp_path / "in"
+    deliver(lake, folder, "a.csv", HEAD + product(1) + product(2), FIRST)
+    deliver(lake, folder, "b.csv", HEAD + product(2, "Blue") + product(3), SECOND)
+    report = run.load_store_product(lake, SECOND)
+    assert report["rows"] == 3 and report["rows_dropped"] == 1
+    assert colors(lake, "store_product_master") == {1: "Red", 2: "Blue", 3: "Red"}
+    version = lake.keyed("store_product_master").version
+    assert run.load_store_product(lake, THIRD) == run.NOTHING
+    assert lake.keyed("store_product_master").version == version
+
+
+def test_store_versions_wait_until_they_are_published(lake, tmp_path):
+    folder = tmp_path / "in"
+    for n, ts in enumerate((FIRST, SECOND), 1):
+        deliver(lake, folder, f"{n}.csv", HEAD + product(n) + product(9, f"c{n}"), ts)
+        run.load_store_product(lake, ts)
+    run.load_publish_product(lake, SECOND)
+    assert colors(lake, "publish_product") == {1: "Red", 2: "Red", 9: "c2"}
+    deliver(lake, folder, "3.csv", HEAD + product(3), THIRD)
+    run.load_store_product(lake, THIRD)
+    assert run.load_publish_product(lake, THIRD)["rows"] == 1
+    assert sorted(colors(lake, "publish_product")) == [1, 2, 3, 9]
+    assert run.load_publish_product(lake, THIRD) == run.NOTHING
+
+
+def test_a_refused_batch_is_not_hidden_by_the_next(lake, tmp_path):
+    folder = tmp_path / "in"
+    deliver(lake, folder, "a.csv", HEAD + product(1) + product("x"), FIRST)
+    for name, ts in (("b.csv", SECOND), ("c.csv", THIRD)):
+        deliver(lake, folder, name, HEAD + product(len(name) + ord(name[0])), ts)
+        with pytest.raises(ValueError, match="not null product_id = 1"):
+            run.load_store_product(lake, ts)
+    lake.raw("raw_product_master").withdraw(run.batch_id_of(FIRST))
+    assert run.load_store_product(lake, THIRD)["rows"] == 2
+
+
+def test_named_and_empty_files(lake, tmp_path):
+    folder = tmp_path / "in"
+    assert deliver(lake, folder, "empty.csv", "", FIRST) == 1
+    assert lake.raw("raw_product_master").entries() == []
+    assert deliver(lake, folder, "a.csv", HEAD + product(1), SECOND) == 1
+    hashes = {r["file_key"]: r["file_size_bytes"] for r in lake.manifest_rows().collect()}
+    assert hashes["products/empty.csv"] == 0 and hashes["products/a.csv"] > 0
+    with pytest.raises(FileNotFoundError, match="z.csv"):
+        run.ingest(lake, "products", str(folder), THIRD, ["a.csv", "empty.csv", "z.csv"])
+
+
+def test_the_gate_looks_at_what_was_written(lake, tmp_path):
+    folder = tmp_path / "in"
+    deliver(lake, folder, "a.csv", HEAD + "".join(map(product, range(20))), FIRST)
+    run.load_store_product(lake, FIRST)
+    run.gate(lake, "store_product_master")
+    deliver(lake, folder, "b.csv", HEAD + product(5, "Blue"), SECOND)
+    run.load_store_product(lake, SECOND)
+    written = lake.keyed("store_product_master").rewritten()
+    assert 0 < written.count() < 20 and written.where("product_id = 5").count() == 1
+    run.gate(lake, "store_product_master")

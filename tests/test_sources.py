@@ -148,6 +148,30 @@ def test_append_is_repeatable(spark, folder):
     assert table.latest().count() == 7
 
 
+def test_a_failed_second_attempt_leaves_the_batch(spark, folder):
+    table = BatchTable(spark, f"{folder}/t")
+    table.append(spark.range(5), "b1")
+    failing = spark.range(9).select(F.when(F.col("id") < 8, F.col("id")).otherwise(F.raise_error(F.lit("no"))).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        table.append(failing, "b1")
+    assert table.read().count() == 5
+    table.append(spark.range(6), "b1")
+    assert table.read().count() == 6
+    assert table.read().columns == ["id", "batch_id"]
+    table.withdraw("b1")
+    assert table.batches() == []
+
+
+def test_rows_of_several_versions_and_partial_batches(spark, folder):
+    table = KeyedTable(spark, f"{folder}/t", "k", buckets=3)
+    table.merge(spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, w int"))
+    table.merge(spark.createDataFrame([(2, "c")], "k int, v string"), consumed=[("raw", "x")])
+    assert rows(table.latest_batch()) == [(2, "c", 2)]
+    assert rows(table.changed_in([1, 2])) == [(1, "a", 1), (2, "c", 2)]
+    assert table.consumed("raw") == {"x"} and table.consumed("other") == set()
+    assert table.versions() == [1, 2]
+
+
 def test_versioned_table_replaces_itself(spark, folder):
     table = VersionedTable(spark, f"{folder}/t")
     with pytest.raises(FileNotFoundError):
