@@ -49,8 +49,12 @@ def rule_enrichment(current: Column, probe: Column, rules: Sequence[Rule]) -> Co
 
 def line_total(quantity: Column, unit_price: Column, unit_discount: Column) -> Column:
     """Money on one order line. The discount is an amount per unit, and a negative
-    quantity gives a credit. Typed as the stored column, so an overflow is an error."""
-    return (quantity * (unit_price - unit_discount)).cast("decimal(18,6)")
+    quantity gives a credit. Typed as the stored column; an overflow is an error, with
+    ANSI mode on or off. A NULL part gives NULL."""
+    exact = quantity * (unit_price - unit_discount)
+    total = exact.try_cast("decimal(18,6)")
+    too_large = total.isNull() & exact.isNotNull()
+    return F.when(too_large, F.raise_error(F.lit("line total too large"))).otherwise(total)
 
 
 def exact_average(total: Column, count: Column, digits: int = 2) -> Column:

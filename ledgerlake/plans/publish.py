@@ -7,11 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.contracts import sales_contracts
 from ledgerlake.functions.calendars import business_days_between
 from ledgerlake.functions.enrich import CATEGORY_RULES, NO_COLOR, Rule, line_total, rule_enrichment
 from ledgerlake.operators.joins import join_on_key
 
 
+_CONTRACTS = sales_contracts()
+
+
+def _own(table: str) -> list[str]:
+    """Columns of a store table that come from its source."""
+    return [f.name for f in _CONTRACTS[table].fields if f.raw]
+
+
 def publish_product(
     store: DataFrame, batch_ts: str, rules: Sequence[Rule] = CATEGORY_RULES
 ) -> DataFrame:
@@ -32,42 +41,18 @@ def publish_orders(
     """Order lines with their order's columns, the line total and the lead time.
 
     ``hot`` names orders with very many lines (`hot_keys(detail, "sales_order_id")`)."""
-    orders = header.select(
-        "sales_order_id",
-        "order_date",
-        "ship_date",
-        "online_order_flag",
-        "account_number",
-        "customer_id",
-        "sales_person_id",
-        F.col("freight").alias("total_order_freight"),
-    )
-    lines = detail.select(
-        "sales_order_detail_id",
-        "sales_order_id",
-        "order_qty",
-        "product_id",
-        "unit_price",
-        "unit_price_discount",
-    )
-    total = line_total(F.col("order_qty"), F.col("unit_price"), F.col("unit_price_discount"))
-    return join_on_key(lines, orders, "sales_order_id", hot=hot).select(
-        "sales_order_detail_id",
-        "sales_order_id",
-        "order_qty",
-        "product_id",
-        "unit_price",
-        "unit_price_discount",
-        total.alias("total_line_extended_price"),
-        "order_date",
-        "ship_date",
-        "online_order_flag",
-        "account_number",
-        "customer_id",
-        "sales_person_id",
-        "total_order_freight",
-        business_days_between(F.col("order_date"), F.col("ship_date")).alias(
-            "lead_time_in_business_days"
+    lines = detail.select(*_own("store_sales_order_detail"))
+    orders = header.select(*_own("store_sales_order_header"))
+    computed = {
+        "total_line_extended_price": line_total(
+            F.col("order_qty"), F.col("unit_price"), F.col("unit_price_discount")
         ),
-        F.lit(batch_ts).cast("timestamp").alias("etl_created_at"),
+        "total_order_freight": F.col("freight"),
+        "lead_time_in_business_days": business_days_between(
+            F.col("order_date"), F.col("ship_date")
+        ),
+        "etl_created_at": F.lit(batch_ts).cast("timestamp"),
+    }
+    return join_on_key(lines, orders, "sales_order_id", hot=hot).select(
+        *[computed.get(c, F.col(c)).alias(c) for c in _CONTRACTS["publish_orders"].columns]
     )

@@ -105,6 +105,18 @@ def test_business_days_equal_counting_day_by_day(spark):
     assert wrong.count() == 0
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_line_total_that_does_not_fit_is_an_error(spark, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.sql("SELECT 2000000000 AS q, 999999999999.0BD AS p, 0.0BD AS d")
+        total = line_total(F.col("q"), F.col("p").cast("decimal(18,6)"), F.col("d").cast("decimal(18,6)"))
+        with pytest.raises(Exception, match="line total too large"):
+            df.select(total).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_line_total_and_credit(spark):
     df = spark.createDataFrame(
         [(2, Decimal("10.5"), Decimal("0.5")), (-1, Decimal("5.70"), Decimal("0"))],
