@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-grams as seeds, local alignment (Smith-Waterman) as the judge.
+"""Benchmark decontamination: word pairs as seeds, local alignment (Smith-Waterman) as the judge.
 
-The benchmark is a query set, taken in blocks of bounded size against all documents. Per block: count
-in how many documents each n-gram of its items occurs, make the rarest of each item its seeds, and
-align an item with the passage around every seed found in a document. Documents never move between
-machines; what is sent to every task is one block.
+The benchmark is a query set, taken in blocks of bounded size against all documents. Every pair of
+words of an item, neighbours or with one word between, is a seed. An alignment that scores enough
+holds so many seeds within so few words that counting them loses none of them (see `Seeds`); only
+passages with that many are aligned. Documents never move between machines; what is sent to every
+task is one block.
 """
 
 from __future__ import annotations
@@ -15,17 +16,19 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import wordhash
 
-#: Words of a seed.
-GRAM = 3
-#: Seeds per item, the rarest first. A copy with every third word changed keeps over a quarter of
-#: its 3-grams.
-SEEDS = 24
+#: An item of fewer words says too little to be a leak.
+LEAST = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Score of the best alignment as a share of the score of the whole item.
 LEAK = 0.4
 #: Characters of benchmark text in a block.
 BLOCK = 8 << 20
-_FILTER_BITS = 22
+#: Words of items whose seeds are looked up at once: bounds what is found in a run of texts.
+_GROUP = 1 << 16
+#: Words of passages aligned at once.
+_CELLS = 1 << 15
+_FILTER_BITS = 20
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 RESULT = "item_id long, score double, first_word long, last_word long, item_words long"
 
@@ -83,116 +86,144 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-class Block:
-    """Items of the benchmark with the n-grams they hold."""
-
-    def __init__(self, items: list[tuple[int, str]], gram: int = GRAM):
-        self.ids = [i for i, _ in items]
-        self.words = [wordhash.words(wordhash.normal(t))[0] for _, t in items]
-        self.gram = gram
-        grams, owners, places = [], [], []
-        for k, own in enumerate(self.words):
-            found = self.grams(own)
-            grams.append(found)
-            owners.append(np.full(len(found), k))
-            places.append(np.arange(len(found)))
-        self.hashes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.owners = np.concatenate(owners).astype(np.int64) if grams else np.zeros(0, np.int64)
-        self.places = np.concatenate(places).astype(np.int64) if grams else np.zeros(0, np.int64)
-
-    def grams(self, own: np.ndarray) -> np.ndarray:
-        """An item of fewer words than a seed has no seeds: it says too little to be a leak."""
-        return wordhash.grams(own, self.gram)
-
-    def seeds(self, documents: dict[int, int], most: int) -> np.ndarray:
-        """Places in ``hashes`` of each item's rarest n-grams; ties go to the first in the item."""
-        often = np.array([documents.get(int(h), 0) for h in self.hashes], np.int64)
-        order = np.lexsort((self.places, often, self.owners))
-        rank = np.arange(len(order)) - np.searchsorted(self.owners[order], self.owners[order])
-        return np.sort(order[rank < most])
-
-
-def _document_grams(texts: list, gram: int):
-    """(hash, first word, text) of each n-gram that lies in one text; the words and their texts."""
-    hashes, owners = wordhash.joined_words(texts)
-    found = wordhash.grams(hashes, gram)
-    whole = np.flatnonzero(owners[: len(found)] == owners[gram - 1 :]) if len(found) else np.zeros(0, int)
-    return found[whole], whole, hashes, owners
-
-
-def _frequencies(docs: DataFrame, text_col: str, block: Block) -> dict[int, int]:
-    """In how many documents each n-gram of the block occurs."""
-    lookup = Lookup(block.hashes)
-
-    def run(batches):
-        total = np.zeros(len(lookup.values), np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in wordhash.together(texts):
-                found, whole, _, owners = _document_grams([texts[i] for i in part], block.gram)
-                at, place = lookup.find(found)
-                pairs = np.unique(np.stack([owners[whole[at]], place]), axis=1)
-                total += np.bincount(pairs[1], minlength=len(total))
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lookup.values[met].view(np.int64)), pa.array(total[met])], ["gram", "n"]
-        )
-
-    part = docs.select(text_col).mapInArrow(run, "gram long, n long")
-    rows = part.groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return {r.gram % 2**64: r.n for r in rows}
-
-
-def _windows(hits: list[tuple[int, int]], size: int, length: int) -> list[tuple[int, int]]:
-    """Stretches of a document around the places where an item would begin, overlaps merged."""
-    pad = size // 2 + 2
-    spans = sorted((max(0, w - p - pad), min(length, w - p + size + pad)) for w, p in hits)
-    out = [spans[0]]
-    for start, end in spans[1:]:
-        if start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
+def best_scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Score of the best local alignment of each (item, passage), many at a time."""
+    sizes = np.array([[len(a), len(b)] for a, b in pairs], np.int64).reshape(-1, 2)
+    out = np.zeros(len(pairs), np.int64)
+    order = np.argsort(sizes[:, 1], kind="stable")
+    at = 0
+    while at < len(order):
+        take = max(1, int(np.searchsorted(sizes[order[at:], 1] * np.arange(1, len(order) - at + 1), _CELLS)))
+        now = order[at : at + take]
+        at += take
+        length, width = sizes[now].max(axis=0)
+        items, passages = np.zeros((take, length), np.uint64), np.zeros((take, width), np.uint64)
+        for k, place in enumerate(now.tolist()):
+            a, b = pairs[place]
+            items[k, : len(a)], passages[k, : len(b)] = a, b
+        inside = np.arange(width) < sizes[now, 1:]
+        steps = np.arange(width + 1, dtype=np.int32) * -GAP
+        row, best = np.zeros((take, width + 1), np.int32), np.zeros(take, np.int32)
+        for r in range(length):
+            same = (passages == items[:, r : r + 1]) & inside & (r < sizes[now, :1])
+            value = np.maximum(row + GAP, 0)
+            np.maximum(value[:, 1:], row[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), out=value[:, 1:])
+            row = np.maximum.accumulate(value + steps, axis=1) - steps
+            best = np.maximum(best, row.max(axis=1))
+        out[now] = best
     return out
 
 
-class Judge:
-    """Leaks of a block's items in texts."""
-
-    def __init__(self, block: Block, seeds: np.ndarray, leak: float):
-        self.block, self.leak = block, leak
-        self.lookup = Lookup(block.hashes[seeds])
-        at = np.searchsorted(self.lookup.values, block.hashes[seeds])
+def _pairs(hashes: np.ndarray, apart: int) -> np.ndarray:
+    """Hash of each word with the word ``apart`` places later."""
+    count = max(0, len(hashes) - apart)
+    return wordhash.mix(hashes[:count] * _SPREAD + hashes[apart:])
+
+
+class Seeds:
+    """Word pairs of some items, and the passages that hold enough of them.
+
+    An alignment of m matches and c other columns scores 2m - c. Between two matches that follow each
+    other lie none of these columns (a pair of neighbours in both texts, worth 2), one (a pair with a
+    word between in one text or both, worth 1) or more (worth 0). So the m - 1 steps are worth at
+    least 2(m - 1) - c, which is the score less 2. The alignment covers at most m + c words of the
+    document, which is 3m less the score, and m is at most the item's size n: an alignment of score s
+    has seeds worth s - 2 within 3n - s words. Each step starts at another word of the document."""
+
+    def __init__(self, items: list[np.ndarray], leak: float):
+        sizes = np.array([len(own) for own in items], np.int64)
+        scores = np.ceil(leak * MATCH * sizes - 1e-9).astype(np.int64)
+        self.need, self.span = scores - 2, 3 * sizes - scores
+        pairs, owners, worth = [], [], []
+        for k, own in enumerate(items):
+            for apart in (1, 2):
+                pairs.append(np.unique(_pairs(own, apart)))
+                owners.append(np.full(len(pairs[-1]), k))
+                worth.append(np.full(len(pairs[-1]), 3 - apart))
+        hashes = np.concatenate(pairs)
+        self.lookup = Lookup(hashes)
+        at = np.searchsorted(self.lookup.values, hashes)
         order = np.argsort(at, kind="stable")
-        self.sources = seeds[order]
+        self.owners, self.worth = np.concatenate(owners)[order], np.concatenate(worth)[order]
         self.bounds = np.searchsorted(at[order], np.arange(len(self.lookup.values) + 1))
 
+    def passages(self, hashes: np.ndarray, owners: np.ndarray, ends: np.ndarray):
+        """(item, first word, end) of each stretch in which alignments of enough score can lie, from
+        the words of texts, their texts and where these end; in order, overlaps merged."""
+        size, found = len(hashes), []
+        for apart in (1, 2):
+            at, slot = self.lookup.find(_pairs(hashes, apart))
+            same = owners[at] == owners[at + apart]
+            at, slot = at[same], slot[same]
+            counts = self.bounds[slot + 1] - self.bounds[slot]
+            first = np.cumsum(counts) - counts
+            entry = np.arange(counts.sum()) + np.repeat(self.bounds[slot] - first, counts)
+            worth = self.worth[entry] if apart == 1 else 1
+            found.append((self.owners[entry] * size + np.repeat(at, counts)) * 4 + worth)
+        keyed = np.sort(np.concatenate(found))
+        keys = keyed >> 2
+        last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if len(keys) else keys
+        keys, worth = keys[last], keyed[last] & 3
+        item, word = np.divmod(keys, max(size, 1))
+        end = np.minimum(word + self.span[item], ends[owners[word]])
+        total = np.concatenate([[0], np.cumsum(worth)])
+        held = total[np.searchsorted(keys, item * size + end)] - total[:-1]
+        out: list[list[int]] = []
+        for k in np.flatnonzero(held >= self.need[item]).tolist():
+            i, start, stop = int(item[k]), int(word[k]), int(end[k])
+            if out and out[-1][0] == i and start < out[-1][2] and owners[start] == owners[out[-1][1]]:
+                out[-1][2] = max(out[-1][2], stop)
+            else:
+                out.append([i, start, stop])
+        return out
+
+
+class Judge:
+    """Leaks of a block's items in texts: those that aligning every item with every text finds."""
+
+    def __init__(self, items: list[tuple[int, str]], leak: float):
+        if leak * MATCH * LEAST <= MATCH:
+            raise ValueError("a single word of the shortest items would be a leak")
+        self.leak = leak
+        self.groups: list[tuple[list[tuple[int, np.ndarray]], Seeds]] = []
+        group, size = [], 0
+        for item, text in items:
+            own = wordhash.words(wordhash.normal(text))[0]
+            if len(own) < LEAST:
+                continue
+            group.append((item, own))
+            size += len(own)
+            if size >= _GROUP:
+                self._add(group)
+                group, size = [], 0
+        if group:
+            self._add(group)
+
+    def _add(self, group: list[tuple[int, np.ndarray]]) -> None:
+        self.groups.append((group, Seeds([own for _, own in group], self.leak)))
+
     def leaks(self, texts: list[str | None]) -> list[tuple]:
         """(text, item, score, first and last word in the text, words of the item)."""
         out = []
         for part in wordhash.together(texts):
-            found, whole, hashes, owners = _document_grams([texts[i] for i in part], self.block.gram)
-            at, seed = self.lookup.find(found)
-            if not len(at):
-                continue
+            hashes, owners = wordhash.joined_words([texts[i] for i in part])
             first = np.searchsorted(owners, np.arange(len(part) + 1))
-            met: dict[tuple[int, int], list] = {}
-            for word, s in zip(whole[at].tolist(), seed.tolist(), strict=True):
-                doc = int(owners[word])
-                for k in self.sources[self.bounds[s] : self.bounds[s + 1]]:
-                    key = doc, int(self.block.owners[k])
-                    met.setdefault(key, []).append((word - int(first[doc]), int(self.block.places[k])))
-            for (doc, item), hits in met.items():
-                own = hashes[first[doc] : first[doc + 1]]
-                words = self.block.words[item]
-                best = (0, 0, -1)
-                for start, end in _windows(hits, len(words), len(own)):
-                    score, a, b = align(words, own[start:end])
-                    if score > best[0]:
-                        best = (score, a + start, b + start)
-                share = best[0] / (MATCH * len(words))
-                if share >= self.leak:
-                    out.append((part[doc], self.block.ids[item], share, best[1], best[2], len(words)))
+            for group, seeds in self.groups:
+                best: dict[tuple[int, int], tuple[int, int, int]] = {}
+                met = seeds.passages(hashes, owners, first[1:])
+                scores = best_scores([(group[k][1], hashes[start:end]) for k, start, end in met])
+                for m in np.flatnonzero(scores >= seeds.need[[k for k, _, _ in met]] + 2).tolist():
+                    k, start, end = met[m]
+                    score, a, b = align(group[k][1], hashes[start:end])
+                    key = int(owners[start]), k
+                    if score > best.get(key, (0, 0, -1))[0]:
+                        shift = start - int(first[key[0]])
+                        best[key] = score, a + shift, b + shift
+                for (doc, k), (score, a, b) in best.items():
+                    item, own = group[k]
+                    share = score / (MATCH * len(own))
+                    if share >= self.leak:
+                        out.append((part[doc], item, share, a, b, len(own)))
         return out
 
 
@@ -208,20 +239,12 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int = BLOCK):
             yield found
 
 
-def _judges(docs: DataFrame, benchmark: DataFrame, text_col: str, leak: float, seeds: int):
-    for items in blocks(benchmark, "item_id", "text"):
-        block = Block(items)
-        chosen = block.seeds(_frequencies(docs, text_col, block), seeds)
-        yield Judge(block, chosen, leak)
-
-
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     leak: float = LEAK,
-    seeds: int = SEEDS,
 ) -> DataFrame:
     """A row per document and item that it leaks: ``id``, ``item_id``, ``score`` (share of the
     item's own score reached by the best alignment), ``first_word`` and ``last_word`` of the passage
@@ -247,7 +270,8 @@ def leaks(
         return docs.select(id_col, text_col).mapInArrow(run, schema)
 
     out = docs.sparkSession.createDataFrame([], schema)
-    for judge in _judges(docs, benchmark, text_col, leak, seeds):
+    for items in blocks(benchmark, "item_id", "text"):
+        judge = Judge(items, leak)
         out = out.unionByName(with_judge(judge))
     return out
 
@@ -257,11 +281,11 @@ def without_leaks(
     benchmark: DataFrame,
     text_col: str = "text",
     leak: float = LEAK,
-    seeds: int = SEEDS,
 ) -> DataFrame:
     """The documents that leak no item, with all their columns, in one pass per block."""
     out = docs
-    for judge in _judges(docs, benchmark, text_col, leak, seeds):
+    for items in blocks(benchmark, "item_id", "text"):
+        judge = Judge(items, leak)
 
         def run(batches, judge=judge):
             for batch in batches:

@@ -164,6 +164,51 @@ def test_leaks_whole_edited_and_none(spark):
     assert decontaminate.leaks(docs.limit(0), benchmark).collect() == []
 
 
+def edited(words, rng):
+    """Copies of an item with more and more words replaced, put in, left out, and parts of it."""
+    n = len(words)
+    yield [w if k % 3 else f"r{k}" for k, w in enumerate(words)]
+    yield [w for k in range(n) for w in (words[k], *[f"p{k}"] * (k % 4 != 3))]
+    yield words[n // 2 :]
+    yield words[: n // 2]
+    for share in (0.1, 0.2, 0.3, 0.4, 0.5):
+        yield [f"r{rng.randrange(900)}" if rng.random() < share else w for w in words]
+        yield [w for w in words if rng.random() >= share]
+        yield [x for w in words for x in ([w, f"p{rng.randrange(900)}"] if rng.random() < share else [w])]
+
+
+def test_edited_leaks_without_a_verbatim_copy(spark):
+    rng = random.Random(12)
+    items = [(k, [f"w{rng.randrange(60)}" for _ in range(n)]) for k, n in enumerate((3, 4, 5, 9, 15, 30, 40, 59))]
+    rows, place = [], 100
+    for _, words in items:
+        for copy in edited(words, rng):
+            around = [f"w{rng.randrange(60)}" for _ in range(80)]
+            rows.append((place, " ".join(around[:40] + copy + around[40:]), "en"))
+            place += 1
+    want = {}
+    for doc, text, _ in rows:
+        for k, words in items:
+            best = smith_waterman(words, text.split()) / (decontaminate.MATCH * len(words))
+            if best >= decontaminate.LEAK:
+                want[doc, k] = best
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    found = decontaminate.leaks(documents(spark, rows), benchmark).collect()
+    assert {(r.id, r.item_id): r.score for r in found} == want
+    assert len(want) == len(found)
+
+
+def test_scores_of_many_alignments_at_once(monkeypatch):
+    rng = random.Random(13)
+    pairs = []
+    for _ in range(60):
+        a, b = (rng.choices(range(5), k=rng.randrange(1, m)) for m in (12, 40))
+        pairs.append((np.array(a, np.uint64), np.array(b, np.uint64)))
+    monkeypatch.setattr(decontaminate, "_CELLS", 100)
+    assert decontaminate.best_scores(pairs).tolist() == [smith_waterman(a.tolist(), b.tolist()) for a, b in pairs]
+    assert decontaminate.best_scores([]).tolist() == []
+
+
 # ---- toxicity
 
 
