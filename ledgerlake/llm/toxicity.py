@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are TF-IDF vectors over the words that tell toxic from other documents. The exact nearest
-ones by cosine come from an inverted index in blocks: a block's largest weight per word bounds every
+Examples of both labels are TF-IDF vectors over all their words, where words that tell toxic from
+other documents weigh more. The exact nearest ones by cosine come from an inverted index in blocks: a block's largest weight per word bounds every
 cosine in it, so blocks that cannot reach the nearest found so far are passed over. Their votes,
 weighted by distance, make the score.
 """
@@ -9,6 +9,7 @@ weighted by distance, make the score.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,14 +23,15 @@ from ledgerlake.llm.telling import telling_words
 
 #: Learned from at most this many documents of each label.
 SAMPLE = 2500
-#: Choice of the vocabulary (see `telling`): words of one language are rare among all toxic texts.
+#: Choice of the telling words (see `telling`): words of one language are rare among all toxic texts.
 WORDS, DEVIATIONS, CONTEXTS = 1000, 4.0, 5
+#: Their weight, as a multiple of that of other words.
+TELLING = 6.0
 NEAREST = 15
 BLOCK = 64
 #: Weight of the base rate against the votes.
 PRIOR = 0.05
 THRESHOLD = 0.3
-_KNOWN = 1 << 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TABLE = bytes(
     32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256)
@@ -53,84 +55,97 @@ class Example:
     vector: dict[int, float]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places from each start on."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 class Index:
     """Postings per word, cut into blocks of examples with the largest weight of each block."""
 
     def __init__(self, examples: list[Example], size: int, block: int = BLOCK):
-        self.examples = sorted((e for e in examples if e.vector), key=lambda e: (min(e.vector), e.id))
-        self.block = block
-        count = -(-len(self.examples) // block)
-        self.largest = np.zeros((size, count))
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for place, example in enumerate(self.examples):
-            for word, weight in example.vector.items():
-                postings.setdefault((word, place // block), []).append((place % block, weight))
-        self.postings = {}
-        for (word, at), entries in postings.items():
-            places, weights = zip(*entries, strict=True)
-            self.postings[word, at] = np.array(places), np.array(weights)
-            self.largest[word, at] = max(weights)
+        held = [e for e in examples if e.vector]
+        held.sort(key=lambda e: (max(e.vector, key=e.vector.__getitem__), e.id))
+        self.ids = np.array([e.id for e in held], np.int64)
+        #: Their vectors are in the postings.
+        self.examples = [Example(e.id, e.label, e.weight, {}) for e in held]
+        self.count = -(-len(held) // block)
+        entries = sum(len(e.vector) for e in held)
+        words = np.fromiter((k for e in held for k in e.vector), np.int64, entries)
+        values = np.fromiter((v for e in held for v in e.vector.values()), float, entries)
+        places = np.repeat(np.arange(len(held)), [len(e.vector) for e in held])
+        order = np.lexsort((places, words))
+        words, self.places, self.values = words[order], places[order], values[order]
+        piece = words * max(1, self.count) + self.places // block
+        self.starts = np.flatnonzero(np.diff(piece, prepend=-1))
+        self.sizes = np.diff(self.starts, append=entries)
+        self.blocks = self.places[self.starts] // block
+        self.largest = np.maximum.reduceat(self.values, self.starts) if entries else self.values
+        self.bounds = np.searchsorted(words[self.starts], np.arange(size + 1))
 
     def nearest(self, query: dict[int, float], most: int) -> list[tuple[float, int]]:
         """(cosine, place) of the ``most`` nearest examples with a cosine over zero, nearest first;
         ties go to the smaller id."""
-        bounds = sum((w * self.largest[word] for word, w in query.items()), np.zeros(self.largest.shape[1]))
+        words, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
+        pieces = self.bounds[words + 1] - self.bounds[words]
+        at, weights = _ranges(self.bounds[words], pieces), np.repeat(weights, pieces)
+        blocks = self.blocks[at]
+        bounds = np.bincount(blocks, weights * self.largest[at], minlength=self.count)
+        order = np.argsort(-bounds, kind="stable")
         found: list[tuple[float, int, int]] = []
-        for at in np.argsort(-bounds, kind="stable"):
-            if bounds[at] <= 0 or len(found) >= most and bounds[at] < -found[most - 1][0] - 1e-9:
+        done, take = 0, 4
+        while done < self.count:
+            now = order[done : done + take]
+            least = max(1e-300, -found[most - 1][0] - 1e-9) if len(found) >= most else 1e-300
+            now = now[bounds[now] >= least]
+            if not len(now):
                 break
-            scores = np.zeros(self.block)
-            for word, w in query.items():
-                if (word, at) in self.postings:
-                    places, weights = self.postings[word, at]
-                    scores[places] += w * weights
-            for k in np.flatnonzero(scores):
-                place = int(at) * self.block + int(k)
-                found.append((-round(float(scores[k]), 9), self.examples[place].id, place))
+            chosen = np.zeros(self.count, bool)
+            chosen[now] = True
+            mine = chosen[blocks]
+            sizes = self.sizes[at[mine]]
+            entry = _ranges(self.starts[at[mine]], sizes)
+            scores = np.bincount(self.places[entry], np.repeat(weights[mine], sizes) * self.values[entry])
+            met = np.flatnonzero(scores)
+            near = np.round(scores[met], 9)
+            if len(met) > most:
+                enough = near >= np.partition(near, -most)[-most]
+                met, near = met[enough], near[enough]
+            found += zip((-near).tolist(), self.ids[met].tolist(), met.tolist(), strict=True)
             found.sort()
             del found[most:]
+            done, take = done + take, take * 4
         return [(-score, place) for score, _, place in found]
 
 
 @dataclass
 class Model:
     words: dict[bytes, int]
-    idf: list[float]
+    weights: list[float]
     examples: list[Example]
     rate: float
 
-    def vector(self, own: list[bytes]) -> dict[int, float]:
-        counts: dict[int, int] = {}
-        for w in own:
-            if w in self.words:
-                k = self.words[w]
-                counts[k] = counts.get(k, 0) + 1
-        raw = {k: (1 + math.log(n)) * self.idf[k] for k, n in sorted(counts.items())}
+    def counted(self, own: list[bytes]) -> dict[int, int]:
+        return {self.words[w]: n for w, n in Counter(own).items() if w in self.words}
+
+    def vector(self, counts: dict[int, int]) -> dict[int, float]:
+        raw = {k: (1 + math.log(n)) * self.weights[k] for k, n in sorted(counts.items()) if self.weights[k] > 0}
         norm = math.sqrt(sum(v * v for v in raw.values()))
         return {k: v / norm for k, v in raw.items()} if norm else {}
 
 
 class Judge:
     def __init__(self, model: Model, most: int = NEAREST):
-        self.model, self.most = model, most
         self.index = Index(model.examples, len(model.words))
         empty = [e for e in model.examples if not e.vector]
         total = sum(e.weight for e in empty)
         self.blank = sum(e.weight * e.label for e in empty) / total if total else model.rate
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
+        self.model, self.most = Model(model.words, model.weights, [], model.rate), most
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        """(chance of label 1, ids of the examples that voted). A text without any telling word is
+        """(chance of label 1, ids of the examples that voted). A text without any known word is
         like the examples without any."""
-        query = self.model.vector(plain_words(text))
-        key = tuple(query.items())
-        if key not in self.known:
-            if len(self.known) > _KNOWN:
-                self.known.clear()
-            self.known[key] = self._voted(query)
-        return self.known[key]
-
-    def _voted(self, query: dict[int, float]) -> tuple[float, list[int]]:
+        query = self.model.vector(self.model.counted(plain_words(text)))
         near = self.index.nearest(query, self.most) if query else []
         if not near:
             return round(self.blank, 6), []
@@ -152,7 +167,8 @@ def _document_frequencies(docs: DataFrame, text_col: str, listed: list[bytes]) -
                 for w in places.keys() & plain_words(text.as_py()):
                     total[places[w]] += 1
                 total[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total)], ["k", "n"])
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met])], ["k", "n"])
 
     rows = docs.select(text_col).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     counts = {r.k: r.n for r in rows.collect()}
@@ -160,8 +176,8 @@ def _document_frequencies(docs: DataFrame, text_col: str, listed: list[bytes]) -
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Examples from at most ``sample`` documents of each label outside the held-out fold; the inverse
-    document frequencies come from all documents. None without a labelled text."""
+    """Examples from at most ``sample`` documents of each label outside the held-out fold, with
+    all their words; the inverse document frequencies come from all documents. None without a labelled text."""
     usable = labels.where(fold(F.col("doc_id")).isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {label: usable.where(F.col("toxic") == label).select("doc_id").distinct().count() for label in (0, 1)}
     ids = None
@@ -170,22 +186,28 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         ids = own if ids is None else ids.unionByName(own)
     ids = written(ids, "examples")
     found = telling_words(docs, ids, ["0", "1"], words, WORDS, DEVIATIONS, CONTEXTS)
-    listed = sorted(w.encode() for w in found.odds)
-    often, total = _document_frequencies(docs, "text", listed)
+    telling = {w.encode() for w in found.odds}
     met = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    own = words(F.col("text"))
-    kept = F.filter(own, lambda w: w.isin(sorted(found.odds))) if found.odds else F.slice(own, 1, 0)
-    rows = sorted(map(tuple, met.select("doc_id", F.col("class").cast("int"), kept).collect()))
+    met = written(met.select("doc_id", F.col("class").cast("int"), "text"), "examples")
+    model = Model({}, [], [], sizes[1] / max(1, sizes[0] + sizes[1]))
+    rows = []
+    for doc, label, text in met.toLocalIterator():
+        own = plain_words(text)
+        for w in own:
+            model.words.setdefault(w, len(model.words))
+        counts = model.counted(own)
+        rows.append((doc, label, np.fromiter(counts, np.int32), np.fromiter(counts.values(), np.int32)))
     if not rows:
         return None
+    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+    often, total = _document_frequencies(docs, "text", list(model.words))
+    for w, n in zip(model.words, often, strict=True):
+        model.weights.append(math.log((1 + total) / (1 + n)) * (TELLING if w in telling else 1.0))
     taken = {label: max(1, sum(r[1] == label for r in rows)) for label in (0, 1)}
-    idf = [math.log((1 + total) / (1 + n)) for n in often]
-    rate = sizes[1] / max(1, sizes[0] + sizes[1])
-    model = Model({w: k for k, w in enumerate(listed)}, idf, [], rate)
     scale = {label: sizes[label] / taken[label] for label in (0, 1)}
     least = min(s for s in scale.values() if s > 0)
-    for doc, label, own_words in rows:
-        vector = model.vector([w.encode() for w in own_words])
+    for doc, label, known, counts in rows:
+        vector = model.vector(dict(zip(known.tolist(), counts.tolist(), strict=True)))
         model.examples.append(Example(doc, label, scale[label] / least, vector))
     return model
 
@@ -193,12 +215,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``held_out``, ``score``, ``predicted`` and ``nearest`` (the examples that voted) per row.
 
-    NULL and empty texts get the rate of examples without telling words; without a model every score
+    NULL and empty texts get the rate of examples without words; without a model every score
     is 0. Repeated rows stay."""
     kind = docs.schema[id_col].dataType.simpleString()
+    judge = Judge(model) if model else None
 
     def run(batches):
-        judge = Judge(model) if model else None
         for batch in batches:
             found = [judge.score(t.as_py()) if judge else (0.0, []) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(

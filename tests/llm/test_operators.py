@@ -252,6 +252,34 @@ def test_toxicity_of_odd_rows(spark):
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
+def test_a_copy_of_any_example_finds_it(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels))
+    rows = scored.join(labels, scored.id == labels.doc_id).join(docs.select("doc_id", "text"), "doc_id").collect()
+    texts = {r.id: r.text for r in rows}
+    learned = [r for r in rows if not r.held_out and toxicity.plain_words(r.text)]
+    assert {r.toxic for r in learned} == {0, 1}
+    for r in learned:
+        found = {texts[i] for i in r.nearest}
+        assert r.id in r.nearest or {" ".join(t.split()).lower() for t in found} == {" ".join(r.text.split()).lower()}
+
+
+def test_toxicity_on_the_held_out_fold_by_language(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    assert all(e.vector for e in model.examples)
+    held = labels.join(docs.select("doc_id", "text", "lang"), "doc_id")
+    scored = toxicity.score(held, model, "doc_id").where("held_out").withColumnRenamed("id", "doc_id")
+    rows = scored.join(held, "doc_id").collect()
+    for lang, least in {"en": 0.9, "de": 0.9, "fr": 0.9}.items():
+        toxic = [r.predicted for r in rows if r.toxic and r.lang == lang]
+        assert toxic and sum(toxic) >= least * len(toxic), lang
+    clean = [r.predicted for r in rows if not r.toxic]
+    assert sum(clean) <= 0.03 * len(clean)
+
+
 # ---- quality rules
 
 
