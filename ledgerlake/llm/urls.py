@@ -13,6 +13,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.tables import written
+
 #: Verdict, host, path.
 RULES = [
     ("block", "net", "/"),
@@ -20,7 +22,8 @@ RULES = [
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 ]
-#: A mined rule has at most this many tokens, holds for this many bad pages and this share.
+#: A mined rule holds for this many bad pages and this share. One of more than ``TOKENS`` tokens is
+#: kept if no shorter rule is part of it.
 TOKENS = 2
 SUPPORT = 30
 CONFIDENCE = 0.75
@@ -70,13 +73,14 @@ def mine(
     labels: DataFrame,
     id_col: str = "page_id",
     url_col: str = "url",
-    most: int = TOKENS,
+    plain: int = TOKENS,
     support: int = SUPPORT,
     confidence: float = CONFIDENCE,
 ) -> DataFrame:
     """``rule`` (sorted tokens), ``bad``, ``pages``, ``confidence``, ``under`` (its rarest token).
 
-    A page is bad if the labels of its id say low quality or toxic; a page labelled twice is bad if
+    All sets of enough support and confidence, whatever their size, but those of more than ``plain``
+    tokens that hold a shorter rule. A page is bad if the labels of its id say low quality or toxic; a page labelled twice is bad if
     one of them does."""
     bad = F.coalesce((F.min("quality") == 0) | (F.max("toxic") == 1), F.lit(False))
     marked = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(bad.alias("bad"))
@@ -90,12 +94,12 @@ def mine(
     grown = FPGrowth(itemsCol="items", minSupport=min(1.0, (support - 0.5) / total), minConfidence=1.0)
     sets = grown.fit(baskets).freqItemsets.select(F.sort_array("items").alias("items"), "freq")
     is_bad = F.array_contains("items", f"label={_BAD}")
-    with_bad = sets.where(is_bad & F.size("items").between(2, most + 1)).select(
+    with_bad = sets.where(is_bad & (F.size("items") > 1)).select(
         F.array_remove("items", f"label={_BAD}").alias("rule"), F.col("freq").alias("bad")
     )
-    bare = sets.where(F.size("items") <= most).select(F.col("items").alias("rule"), F.col("freq").alias("pages"))
+    bare = sets.select(F.col("items").alias("rule"), F.col("freq").alias("pages"))
     rules = with_bad.join(bare, "rule").withColumn("confidence", F.col("bad") / F.col("pages"))
-    rules = rules.where(F.col("confidence") >= confidence)
+    rules = written(rules.where(F.col("confidence") >= confidence), "rules")
     single = bare.where(F.size("rule") == 1).select(F.get("rule", F.lit(0)).alias("token"), F.col("pages").alias("often"))
     rarest = (
         rules.select("rule", F.explode("rule").alias("token"))
@@ -103,17 +107,23 @@ def mine(
         .groupBy("rule")
         .agg(F.min(F.struct("often", "token"))["token"].alias("under"))
     )
-    return rules.join(rarest, "rule")
+    rules = written(rules.join(rarest, "rule"), "rules")
+    holds = rules.where(F.size("rule") > plain).select("rule", F.explode("rule").alias("under"))
+    part = rules.select(F.col("rule").alias("part"), "under")
+    within = (F.size("part") < F.size("rule")) & (F.size(F.array_except("part", "rule")) == 0)
+    implied = holds.join(part, "under").where(within).select("rule").distinct()
+    return rules.join(implied, "rule", "left_anti")
 
 
 def matched(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """``url`` and ``mined`` (the first of the mined rules that fit, as text), for different urls
-    that any fits."""
+    """``url`` and ``mined`` (the first of the mined rules that fit, as text; one of more than
+    ``TOKENS`` tokens only if no other fits), for different urls that any fits."""
     urls = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url")).distinct()
     listed = urls.select("url", tokens(F.col("url")).alias("t"))
     under = listed.select("url", "t", F.explode_outer("t").alias("under"))
     fits = under.join(rules.select("rule", "under"), "under").where(F.size(F.array_except("rule", "t")) == 0)
-    return fits.groupBy("url").agg(F.min(F.array_join("rule", " ")).alias("mined"))
+    ranked = F.struct(F.greatest(F.size("rule"), F.lit(TOKENS)), F.array_join("rule", " ").alias("mined"))
+    return fits.groupBy("url").agg(F.min(ranked)["mined"].alias("mined"))
 
 
 def judge(

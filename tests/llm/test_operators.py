@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -587,6 +588,30 @@ def test_mined_rules(spark):
     assert got == {k for k in range(240) if k % 3 == 0 and k % 2}
 
 
+def test_mined_rules_of_three_and_four_tokens(spark):
+    rows, labels = [], []
+    for k in range(1200):
+        bits = [k >> b & 1 for b in range(4)]
+        host, path, query, end = (n + "xy"[b] for n, b in zip("hpqe", bits, strict=True))
+        rows.append((k, f"http://{host}/{path}/{end}x?{query}=1"))
+        labels.append((k, int(not (bits[:3] == [1, 1, 1] or bits == [0, 0, 0, 0])), 0))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    marked = spark.createDataFrame(labels, LABELS)
+    tokens = [(sorted(r.t), labels[r.page_id][1] == 0) for r in pages.select("page_id", urls.tokens(F.col("url")).alias("t")).collect()]
+    bad, seen = collections.Counter(), collections.Counter()
+    for own, is_bad in tokens:
+        for size in range(1, len(own) + 1):
+            for part in itertools.combinations(own, size):
+                seen[part] += 1
+                bad[part] += is_bad
+    holds = {p for p in seen if bad[p] >= urls.SUPPORT and bad[p] / seen[p] >= urls.CONFIDENCE}
+    want = {p: (bad[p], seen[p]) for p in holds if len(p) <= 2 or not any(set(q) < set(p) for q in holds)}
+    assert {len(p) for p in want} == {3, 4}
+    assert {tuple(r.rule): (r.bad, r.pages) for r in urls.mine(pages, marked).collect()} == want
+    got = {r.id for r in urls.judge(pages, marked).collect() if r.verdict == "block"}
+    assert got == {k for k, quality, _ in labels if quality == 0}
+
+
 # ---- registered queries
 
 
