@@ -11,15 +11,19 @@ from ledgerlake.llm import (
     decontaminate,
     language,
     mixing,
+    phrases,
     quality,
     secrets,
+    spelling,
     suffixes,
+    tokens,
     toxicity,
     urls,
     warc,
 )
 from ledgerlake.llm.simhash import near_duplicates
 from ledgerlake.llm.tables import given, held_out
+from ledgerlake.sources.scratch import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +97,20 @@ def _(spark, folder):
 @query("op9_warc", warc.SQL)
 def _(spark, folder):
     return warc.round_trip(given(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("op11_phrase_collocations", phrases.SQL)
+def _(spark, folder):
+    return phrases.collocations(given(spark, folder, "documents"))
+
+
+@query("op12_token_ids")
+def _(spark, folder):
+    path = new_folder(spark, "tokens")
+    tokens.write(given(spark, folder, "documents"), path)
+    return tokens.digests(tokens.read(spark, path)).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_spelling_variants")
+def _(spark, folder):
+    return spelling.variants(given(spark, folder, "documents"))
