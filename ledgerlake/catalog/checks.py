@@ -15,6 +15,8 @@ from ledgerlake.contracts import Field, ForeignKey, TableContract
 from ledgerlake.operators import profiling, quality
 from ledgerlake.operators.joins import hot_keys, join_on_key, orphan_count
 from ledgerlake.plans import analysis, validation
+from ledgerlake.sources.scratch import new_folder
+from ledgerlake.sources.tables import KeyedTable
 
 
 def _union(parts):
@@ -230,17 +232,17 @@ _OFF_SQL = """SELECT CASE WHEN abs(CAST(order_qty * unit_price AS DECIMAL(18,6))
     FROM detail"""
 
 
-def _off_formula(spark, folder):
-    lines = view(spark, folder, "detail").withColumn(
+def _off_lines(spark, folder):
+    return view(spark, folder, "detail").withColumn(
         "total_line_extended_price",
         (F.col("order_qty") * F.col("unit_price")).cast("decimal(18,6)"),
     )
-    return lines.agg(F.count_if(validation.formula_violation()).alias("violations"))
 
 
 @query("dq_formula_check", f"SELECT CAST(sum(off) AS BIGINT) AS violations FROM ({_OFF_SQL}) x")
 def _(spark, folder):
-    return _off_formula(spark, folder)
+    lines = _off_lines(spark, folder)
+    return lines.agg(F.count_if(validation.formula_violation()).alias("violations"))
 
 
 @query(
@@ -248,8 +250,9 @@ def _(spark, folder):
     f"SELECT CAST(least(sum(off), 1000) AS BIGINT) AS violations FROM ({_OFF_SQL}) x",
 )
 def _(spark, folder):
-    counted = _off_formula(spark, folder)
-    return counted.select(validation.capped(F.col("violations")).alias("violations"))
+    """Stops reading once there are a thousand."""
+    found = quality.capped_violations(_off_lines(spark, folder), validation.formula_violation(), 1000)
+    return spark.createDataFrame([(found,)], "violations bigint")
 
 
 @query(
@@ -414,6 +417,20 @@ def _(spark, folder):
     return quality.enforce_contract(described, _LINE_CONTRACT, parents)
 
 
+@query("enforce_contract_stored_parents", _contract_sql())
+def _(spark, folder):
+    """The same, with stored parents of which only the buckets that the lines fall into are read."""
+    names = view(spark, folder, "product").select("product_id", "product_desc")
+    lines = view(spark, folder, "detail")
+    described = join_on_key(lines, names, "product_id", "left", hot_keys(lines, "product_id"))
+    parents = {}
+    for fk in _LINE_CONTRACT.foreign_keys:
+        parent = KeyedTable(spark, new_folder(spark, fk.parent), fk.parent_column, buckets=4)
+        parent.merge(view(spark, folder, fk.parent))
+        parents[fk.parent] = parent.holding(lines.select(F.col(fk.column).alias(fk.parent_column)))
+    return quality.enforce_contract(described, _LINE_CONTRACT, parents)
+
+
 # ---- profiles
 
 

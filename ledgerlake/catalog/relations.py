@@ -314,6 +314,21 @@ def _(spark, folder):
     return store.store_detail(raw, _CONTRACTS["store_sales_order_detail"], BATCH_TS).drop(*_LINEAGE)
 
 
+def flow_tables(spark, folder):
+    """Lines and products as the layers publish them."""
+    product = store.store_product(
+        _named(product_feed(spark, folder)), _CONTRACTS["store_product_master"], BATCH_TS
+    )
+    header = store.store_header(
+        _named(view(spark, folder, "header_text")), _CONTRACTS["store_sales_order_header"], BATCH_TS
+    )
+    detail = store.store_detail(
+        _named(view(spark, folder, "detail_text")), _CONTRACTS["store_sales_order_detail"], BATCH_TS
+    )
+    lines = publish.publish_orders(detail, header, BATCH_TS, hot_keys(detail, "sales_order_id"))
+    return lines, publish.publish_product(product, BATCH_TS, RULES)
+
+
 @query("publish_product", "SELECT * FROM published")
 def _(spark, folder):
     return published_products(spark, folder)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ledgerlake.catalog import relations
 from ledgerlake.catalog.registry import query
 from ledgerlake.catalog.views import BATCH_TS, RULES, given, product_feed, view
-from ledgerlake.plans import run
+from ledgerlake.plans import analysis, publish, run
+from ledgerlake.sources.bucketed import BucketedTable, join_colocated
 from ledgerlake.sources.csv import csv_scan_raw
 from ledgerlake.sources.files import (
     changed_files,
@@ -20,7 +21,7 @@ from ledgerlake.sources.files import (
     missing_sources,
 )
 from ledgerlake.sources.scratch import new_folder
-from ledgerlake.sources.tables import BatchTable, KeyedTable, VersionedTable
+from ledgerlake.sources.tables import BatchTable, BucketSummary, KeyedTable, VersionedTable
 
 LATER_TS = "2026-01-16 06:00:00"
 
@@ -127,6 +128,94 @@ def _(spark, folder):
     return table.read()
 
 
+@query(
+    "agg_row_count_on_write",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("orders", "lineitem")),
+)
+def _(spark, folder):
+    """Counted by the write itself."""
+    counts = [
+        (t, VersionedTable(spark, new_folder(spark, t)).replace(given(spark, folder, t)))
+        for t in ("orders", "lineitem")
+    ]
+    return spark.createDataFrame(counts, "table_name string, n bigint")
+
+
+@query(
+    "batches_with_other_columns",
+    """SELECT o_orderkey, o_totalprice, CAST(NULL AS VARCHAR) AS o_orderstatus, 'b1' AS batch_id FROM orders
+    UNION ALL SELECT o_orderkey, NULL, o_orderstatus, 'b2' FROM orders""",
+)
+def _(spark, folder):
+    """A batch lacks a column of an earlier one and adds another."""
+    orders = given(spark, folder, "orders")
+    table = BatchTable(spark, new_folder(spark, "columns"))
+    table.append(orders.select("o_orderkey", "o_totalprice"), "b1")
+    table.append(orders.select("o_orderkey", "o_orderstatus"), "b2")
+    return table.read()
+
+
+def _by_order(spark, folder):
+    """Headers and lines, stored in equally many buckets of the order's key."""
+    tables = []
+    for name in ("header", "detail"):
+        table = BucketedTable(spark, new_folder(spark, name), "sales_order_id", buckets=8)
+        table.replace(view(spark, folder, name))
+        tables.append(table)
+    return tables
+
+
+@query(
+    "join_colocated",
+    """SELECT d.sales_order_detail_id, d.sales_order_id, d.order_qty, h.customer_id, h.order_date
+    FROM detail d JOIN header h ON d.sales_order_id = h.sales_order_id""",
+)
+def _(spark, folder):
+    header, detail = _by_order(spark, folder)
+    joined = join_colocated(detail, header)
+    return joined.select("sales_order_detail_id", "sales_order_id", "order_qty", "customer_id", "order_date")
+
+
+@query("publish_orders_colocated", "SELECT * FROM lines")
+def _(spark, folder):
+    """As `publish_orders`, from stored sides that no shuffle moves."""
+    header, lines = _by_order(spark, folder)
+    detail = lines.read().drop("ship_date")
+    joined = detail.join(header.read(), "sales_order_id")
+    return publish.published_lines(joined, BATCH_TS).drop("etl_created_at")
+
+
+def _kept_sums(spark, folder):
+    """Sums of published lines after two deliveries, and products. The first has wrong totals and lead times in
+    lines of over ten pieces and lacks lines of one piece; the second replaces and adds these."""
+    table = KeyedTable(spark, new_folder(spark, "lines"), "sales_order_detail_id", buckets=4)
+    sums = BucketSummary(table, new_folder(spark, "sums"), analysis.line_sums)
+    lines, products = relations.flow_tables(spark, folder)
+    wrong = F.col("order_qty") > 10
+    price, lead = F.col("total_line_extended_price"), F.col("lead_time_in_business_days")
+    table.merge(
+        lines.where("order_qty <> 1").withColumns(
+            {
+                "total_line_extended_price": F.when(wrong, price + 1).otherwise(price).cast("decimal(18,6)"),
+                "lead_time_in_business_days": F.when(wrong, lead + 1).otherwise(lead),
+            }
+        )
+    )
+    sums.refresh()
+    table.merge(lines.where(wrong | (F.col("order_qty") == 1)))
+    return sums.refresh(), products
+
+
+@query("q1_kept_up_to_date", relations.FLOW_Q1)
+def _(spark, folder):
+    return analysis.top_color_of(*_kept_sums(spark, folder))
+
+
+@query("q2_kept_up_to_date", relations.FLOW_Q2)
+def _(spark, folder):
+    return analysis.lead_time_of(*_kept_sums(spark, folder))
+
+
 # ---- file sets
 
 

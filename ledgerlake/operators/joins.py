@@ -75,6 +75,12 @@ def hot_keys(df: DataFrame, keys: str | Sequence[str], share: float = 0.01) -> l
     return [t["item"] for t in found["top"] or [] if t["count"] >= share * found["n"]]
 
 
+def is_hot(df: DataFrame, keys: str | Sequence[str], hot: Sequence[int]) -> Column:
+    """Whether a row's key is one of `hot_keys`; not if it is NULL."""
+    keys = _as_list(keys)
+    return F.coalesce(_key_hash(df, keys).isin(*hot) & ~_any_null(keys), F.lit(False))
+
+
 def _spread_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str, hot: Sequence[int]
 ) -> DataFrame:

@@ -81,6 +81,15 @@ def raise_on_fail(report: DataFrame) -> None:
         raise ValueError("quality checks failed:\n" + "\n".join(sorted(lines)))
 
 
+def capped_violations(rows: DataFrame, violated: Column, cap: int = 1000) -> int:
+    """How many rows violate a rule, counted up to ``cap``.
+
+    Tasks are started a few at a time and no more once ``cap`` is reached, so where violations are
+    many, little is read. At most ``cap`` rows without content come to the driver. Where several rules
+    look at one table, `key_summary` counts them all in one scan."""
+    return len(rows.where(violated).select(F.lit(True)).take(cap))
+
+
 def enforce_contract(
     df: DataFrame, contract: TableContract, parents: Mapping[str, DataFrame] | None = None
 ) -> DataFrame:

@@ -43,6 +43,11 @@ def publish_orders(
     ``hot`` names orders with very many lines (`hot_keys(detail, "sales_order_id")`)."""
     lines = detail.select(*_own("store_sales_order_detail"))
     orders = header.select(*_own("store_sales_order_header"))
+    return published_lines(join_on_key(lines, orders, "sales_order_id", hot=hot), batch_ts)
+
+
+def published_lines(joined: DataFrame, batch_ts: str) -> DataFrame:
+    """Joined lines and orders as published."""
     computed = {
         "total_line_extended_price": line_total(
             F.col("order_qty"), F.col("unit_price"), F.col("unit_price_discount")
@@ -53,6 +58,6 @@ def publish_orders(
         ),
         "etl_created_at": F.lit(batch_ts).cast("timestamp"),
     }
-    return join_on_key(lines, orders, "sales_order_id", hot=hot).select(
+    return joined.select(
         *[computed.get(c, F.col(c)).alias(c) for c in _CONTRACTS["publish_orders"].columns]
     )

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.joins import orphan_count
 from ledgerlake.operators.quality import key_summary, rows_from
-from ledgerlake.plans.analysis import lead_time_by_category, top_color_by_year
+from ledgerlake.plans.analysis import lead_time_of, line_measures, top_color_of
+from ledgerlake.sources.scratch import new_folder
 
 # The tables of the report, and the key of each that has one.
 RAW = ("raw_product_master", "raw_sales_order_header", "raw_sales_order_detail")
@@ -60,12 +60,65 @@ def _count_row(table: str):
     return _row("row counts", "not empty", table, F.col("rows"), F.col("rows") == 0)
 
 
+def _total(c: Column) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+
+
+def _by_key(df: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFrame:
+    """A row per key: its rows, ``n``, and how many of them meet each rule."""
+    hits = [F.count_if(c).alias(name) for name, c in rules.items()]
+    return df.groupBy(key).agg(F.count("*").alias("n"), *hits)
+
+
+def _measures(by_key: DataFrame, key: str, rules: Iterable[str]) -> DataFrame:
+    return by_key.agg(
+        _total(F.col("n")).alias("rows"),
+        F.count_if(F.col("n") > 1).alias("duplicate_keys"),
+        _total(F.when(F.col(key).isNull(), F.col("n"))).alias("null_keys"),
+        *[_total(F.col(name)).alias(name) for name in rules],
+    )
+
+
+def _by_key_and_other(
+    df: DataFrame, key: str, other: Sequence[str], rules: Mapping[str, Column], sums: Mapping[str, Column]
+) -> DataFrame:
+    """One scan grouped two ways: ``own`` marks the row with what concerns the key, with the columns
+    of `_measures`; the other rows have the number of rows and the sums per ``other``."""
+    hits = {name: F.count_if(c) for name, c in rules.items()}
+    grouped = df.groupingSets([[key], list(other)], key, *other).agg(
+        (F.grouping(key) == 0).alias("own"),
+        F.count("*").alias("n"),
+        *[c.alias(name) for name, c in (*hits.items(), *sums.items())],
+    )
+    # All rows of the first kind meet in one group: each task folds its own into one row.
+    null_key = F.when(F.col("own") & F.col(key).isNull(), F.col("n"))
+    return grouped.groupBy("own", *other).agg(
+        _total(F.col("n")).alias("rows"),
+        F.count_if(F.col("own") & (F.col("n") > 1)).alias("duplicate_keys"),
+        _total(null_key).alias("null_keys"),
+        *[F.sum(name).alias(name) for name in (*hits, *sums)],
+    )
+
+
+def _own(counted: DataFrame, rules: Iterable[str]) -> DataFrame:
+    """The row on the key; zeros if the table has no rows."""
+    names = ("rows", "duplicate_keys", "null_keys", *rules)
+    return counted.where("own").agg(*[_total(F.col(n)).alias(n) for n in names])
+
+
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def validation_report(
     tables: Mapping[str, DataFrame], expected_returns: int = 2, formula_cap: int = 1000
 ) -> DataFrame:
     """One row per check: section, check, table, severity, measure, status.
 
-    ``tables`` maps the ten names above to DataFrames."""
+    ``tables`` maps the ten names above to DataFrames. Each is scanned once: counts per key, and per
+    the key of the table that it refers to, are written down, and every check is made from these."""
     rules: dict[str, dict[str, Column]] = {
         "publish_product": {"null_color": F.col("color").isNull()},
         "store_sales_order_header": {"bad_dates": date_order_violation()},
@@ -111,31 +164,53 @@ def validation_report(
         ],
     }
 
+    keys = {
+        name: _kept(_by_key(tables[name], KEYED[name], rules.get(name, {})), name)
+        for name in ("store_product_master", "store_sales_order_header")
+    }
+    product_columns = tables["publish_product"].select("product_id", "color", "product_category_name")
+    products = _kept(product_columns, "publish_product")
+    detail = _by_key_and_other(
+        tables["store_sales_order_detail"], KEYED["store_sales_order_detail"], ["sales_order_id"], {}, {}
+    )
+    detail = _kept(detail, "store_sales_order_detail")
+    dated = tables["publish_orders"].withColumn("year", F.year("order_date"))
+    lines = _by_key_and_other(
+        dated, KEYED["publish_orders"], ["product_id", "year"], rules["publish_orders"], line_measures()
+    )
+    lines = _kept(lines, "publish_orders")
+    measures = {
+        **{n: _measures(k, KEYED[n], rules.get(n, {})) for n, k in keys.items()},
+        "publish_product": key_summary(products, "product_id", rules["publish_product"]),
+        "store_sales_order_detail": _own(detail, ()),
+        "publish_orders": _own(lines, rules["publish_orders"]),
+    }
+
     parts = []
     for name in (*RAW, *ANALYSIS):
         parts.append(rows_from(tables[name].agg(F.count("*").alias("rows")), COLUMNS, [_count_row(name)]))
-    for name, key in KEYED.items():
+    for name in KEYED:
         rows = [
             _count_row(name),
             _row("duplicate keys", "unique key", name, *some("duplicate_keys")),
             _row("null keys", "key filled in", name, *some("null_keys")),
             *business.get(name, []),
         ]
-        parts.append(rows_from(key_summary(tables[name], key, rules.get(name)), COLUMNS, rows))
+        parts.append(rows_from(measures[name], COLUMNS, rows))
 
     orphans = (
-        ("store_sales_order_detail", "store_sales_order_header", "sales_order_id", False),
-        ("publish_orders", "store_product_master", "product_id", True),
+        ("store_sales_order_detail", detail, "store_sales_order_header", "sales_order_id", False),
+        ("publish_orders", lines, "store_product_master", "product_id", True),
     )
-    for child, parent, key, warn in orphans:
-        counted = orphan_count(tables[child], tables[parent], key)
+    for child, counted, parent, key, warn in orphans:
+        alone = counted.where("NOT own").join(keys[parent].select(key), key, "left_anti")
         row = _row("orphans", f"{key} in {parent}", child, *some("violations"), warn=warn)
-        parts.append(rows_from(counted, COLUMNS, [row]))
+        parts.append(rows_from(alone.agg(_total(F.col("rows")).alias("violations")), COLUMNS, [row]))
 
-    orders, products = tables["publish_orders"], tables["publish_product"]
+    sums = lines.where("NOT own").withColumnRenamed("rows", "lines")
     answers = {
-        "revenue by color and year": top_color_by_year(orders, products),
-        "lead time by category": lead_time_by_category(orders, products),
+        "revenue by color and year": top_color_of(sums, products),
+        "lead time by category": lead_time_of(sums, products),
     }
     for name, answer in answers.items():
         row = _row("analysis", name, "publish_orders", F.col("rows"), F.col("rows") == 0)

@@ -10,13 +10,14 @@ it left. One writer at a time; earlier versions stay readable.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ledgerlake.functions.typing import nan_to_null
 from ledgerlake.operators.quality import key_summary
@@ -45,10 +46,26 @@ def _append_log(spark: SparkSession, rows: Sequence[tuple], schema: str, path: s
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` and the number of its rows, ``rows``, as soon as it was written once: no second scan.
+
+    Exact where the rows go straight into files; below a shuffle, a task that is repeated after a
+    lost executor counts again."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def _write_counted(df: DataFrame, path: str) -> int:
+    rows, seen = counted(df)
+    rows.write.mode("overwrite").parquet(path)
+    return seen.get["rows"]
+
+
 class BatchTable:
-    """An append-only table: a directory per batch and attempt, and a log of the finished ones."""
+    """An append-only table: a directory per batch and attempt, and a log of the finished ones with
+    their columns. A batch may add columns or lack some; readers have the columns of all."""
 
-    _LOG = "batch_id string, attempt int, directory string"
+    _LOG = "batch_id string, attempt int, directory string, columns string"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -60,9 +77,9 @@ class BatchTable:
         if log is None:
             return []
         last = log.groupBy("batch_id").agg(
-            F.max_by("directory", "attempt").alias("directory"), F.max("attempt").alias("attempt")
+            F.max_by(F.struct("directory", "columns"), "attempt").alias("last"), F.max("attempt").alias("attempt")
         )
-        return sorted(last.collect(), key=lambda r: r["batch_id"])
+        return sorted(last.select("batch_id", "attempt", "last.*").collect(), key=lambda r: r["batch_id"])
 
     def batches(self) -> list[str]:
         """Names of the finished batches, oldest first."""
@@ -73,32 +90,58 @@ class BatchTable:
         is a new entry."""
         return [r["directory"] for r in self._finished() if r["directory"]]
 
-    def _log(self, batch_id: str, attempt: int, directory: str | None) -> None:
-        _append_log(
-            self.spark, [(batch_id, attempt, directory)], self._LOG, f"{self.root}/batches"
-        )
+    def _log(self, batch_id: str, attempt: int, directory: str | None, columns: str | None = None) -> None:
+        _append_log(self.spark, [(batch_id, attempt, directory, columns)], self._LOG, f"{self.root}/batches")
+
+    def _check_types(self, schema: StructType, batch_id: str) -> None:
+        """Refuse a column that has another type in another batch."""
+        for other in self._finished():
+            if other["directory"] and other["columns"] and other["batch_id"] != batch_id:
+                known = {f.name: f.dataType for f in StructType.fromJson(json.loads(other["columns"]))}
+                for f in schema:
+                    if known.get(f.name, f.dataType) != f.dataType:
+                        raise ValueError(
+                            f"{self.root}: {f.name} is {f.dataType.simpleString()} in batch {batch_id} and "
+                            f"{known[f.name].simpleString()} in batch {other['batch_id']}"
+                        )
 
     def _next_attempt(self, batch_id: str) -> int:
         return 1 + max((r["attempt"] for r in self._finished() if r["batch_id"] == batch_id), default=0)
 
-    def append(self, df: DataFrame, batch_id: str) -> None:
-        """Add a batch. Adding the same batch again replaces it, so a repeated run does
-        not duplicate rows; until that is complete, readers have the batch as it was."""
+    def append(self, df: DataFrame, batch_id: str) -> int:
+        """Add a batch; the number of its rows. Adding the same batch again replaces it, so a
+        repeated run does not duplicate rows; until that is complete, readers have the batch as it
+        was. A column whose type differs from that in another batch is refused."""
+        plain = StructType([StructField(f.name, f.dataType) for f in df.schema])
+        self._check_types(plain, batch_id)
         attempt = self._next_attempt(batch_id)
         directory = f"data/batch_id={batch_id}/attempt={attempt}"
-        df.write.mode("overwrite").parquet(f"{self.root}/{directory}")
-        self._log(batch_id, attempt, directory)
+        rows = _write_counted(df, f"{self.root}/{directory}")
+        self._log(batch_id, attempt, directory, plain.json())
+        return rows
 
     def withdraw(self, batch_id: str) -> None:
         """Take back a batch, such as one that a later step refuses for good."""
         self._log(batch_id, self._next_attempt(batch_id), None)
 
     def load(self, entries: Sequence[str]) -> DataFrame:
-        """The rows of some entries, with their ``batch_id``."""
+        """The rows of some entries with the columns of all of them and their ``batch_id``. A batch
+        without a column has NULL there."""
         if not entries:
             raise FileNotFoundError(f"no batch at {self.root}")
-        paths = [f"{self.root}/{e}" for e in entries]
-        return self.spark.read.option("basePath", f"{self.root}/data").parquet(*paths).drop("attempt")
+        columns = {r["directory"]: r["columns"] for r in self._finished()}
+        alike: dict[str | None, list[str]] = {}
+        for e in entries:
+            alike.setdefault(columns.get(e), []).append(f"{self.root}/{e}")
+        parts = []
+        for schema, paths in alike.items():
+            reader = self.spark.read.option("basePath", f"{self.root}/data")
+            if schema:
+                own = StructType.fromJson(json.loads(schema))
+                reader = reader.schema(own.add("batch_id", StringType()).add("attempt", IntegerType()))
+            parts.append(reader.parquet(*paths).drop("attempt"))
+        whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return whole.select(*[c for c in whole.columns if c != "batch_id"], "batch_id")
 
     def read(self) -> DataFrame:
         return self.load(self.entries())
@@ -155,12 +198,13 @@ class VersionedTable:
             raise FileNotFoundError(f"no table at {self.root}")
         return self.spark.createDataFrame([], empty)
 
-    def replace(self, df: DataFrame) -> None:
-        """Make ``df`` the whole content. ``df`` may read from this same table."""
+    def replace(self, df: DataFrame) -> int:
+        """Make ``df`` the whole content; the number of its rows. ``df`` may read from this same table."""
         version = self.version + 1
         directory = f"data/version={version}"
-        df.write.mode("overwrite").parquet(f"{self.root}/{directory}")
+        rows = _write_counted(df, f"{self.root}/{directory}")
         self._commit([(version, directory, None, None, None, None)])
+        return rows
 
 
 class KeyedTable(VersionedTable):
@@ -276,9 +320,62 @@ class KeyedTable(VersionedTable):
         """The rows that the last merge brought in."""
         return self.changed_in(self.versions()[-1:])
 
+    def holding(self, keys: DataFrame) -> DataFrame:
+        """The buckets that may hold some of ``keys`` (columns named like the table's key). What comes
+        to the driver is the numbers of these buckets; no other bucket is opened."""
+        entries = self._entries()
+        if not entries:
+            raise FileNotFoundError(f"no table at {self.root}")
+        schema = self._load([entries[0]["directory"]]).schema
+        typed = keys.select(*[F.col(k).cast(schema[k].dataType).alias(k) for k in self.key])
+        numbers = typed.select(self._bucket(entries[0]["buckets"]).alias("b")).distinct()
+        touched = {r["b"] for r in numbers.collect()}
+        chosen = [e["directory"] for e in entries if e["bucket"] in touched]
+        return self._load(chosen) if chosen else self.spark.createDataFrame([], schema)
+
     def rewritten(self) -> DataFrame | None:
         """The buckets that the last merge wrote, None if it wrote none. A key is in one
         bucket only, so what holds for the others still does."""
         entries = self._entries()
         new = [e["directory"] for e in entries if f"/version={e['version']}/" in e["directory"]]
         return self._load(new) if new else None
+
+
+class BucketSummary(VersionedTable):
+    """What a function makes of each bucket of a `KeyedTable`, kept up to date bucket by bucket.
+
+    Each entry records the directory of the source's bucket that it was made of. A merge gives every
+    bucket it touches a new directory, so what is out of date shows by itself, after any number of
+    merges and after a run that died; rows that a merge replaced are gone with their bucket's old
+    summary."""
+
+    def __init__(self, source: KeyedTable, root: str, build: Callable[[DataFrame, list[str]], DataFrame]):
+        super().__init__(source.spark, root)
+        self.source, self.build = source, build
+
+    def stale(self) -> dict[int, str]:
+        """Buckets of the source that are not summed up yet, with their directories."""
+        known = {e["bucket"]: e["entry"] for e in self._entries()}
+        now = {e["bucket"]: e["directory"] for e in self.source._entries()}
+        return {b: d for b, d in now.items() if known.get(b) != d}
+
+    def stale_rows(self) -> DataFrame | None:
+        """The rows to be read for the next refresh, with their ``bucket``."""
+        due = self.stale()
+        if not due:
+            return None
+        buckets = self.source._entries()[0]["buckets"]
+        return self.source._load(due.values()).withColumn("bucket", self.source._bucket(buckets))
+
+    def refresh(self) -> DataFrame:
+        """Sum up the buckets that changed, and no others; the summaries of all."""
+        due, rows = self.stale(), self.stale_rows()
+        if rows is not None:
+            version = self.version + 1
+            made = self.build(rows, ["bucket"]).hint("rebalance", F.col("bucket"))
+            made.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/version={version}")
+            kept = [e for e in self._entries() if e["bucket"] not in due]
+            same = [(version, e["directory"], e["bucket"], None, None, e["entry"]) for e in kept]
+            new = [(version, f"data/version={version}/bucket={b}", b, None, None, d) for b, d in due.items()]
+            self._commit([*same, *new])
+        return self.read()
