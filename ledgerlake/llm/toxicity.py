@@ -29,6 +29,8 @@ WORDS, DEVIATIONS, CONTEXTS = 1000, 4.0, 5
 TELLING = 6.0
 NEAREST = 15
 BLOCK = 64
+#: Words in the matrix; texts that meet it at once.
+COMMON, TOGETHER = 512, 64
 #: Weight of the base rate against the votes.
 PRIOR = 0.05
 THRESHOLD = 0.3
@@ -47,12 +49,17 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_TABLE).split() if text else []
 
 
+#: Numbers of words, ascending, and their weights.
+Vector = tuple[np.ndarray, np.ndarray]
+NO_WORDS: Vector = (np.zeros(0, np.int64), np.zeros(0))
+
+
 @dataclass
 class Example:
     id: int
     label: int
     weight: float
-    vector: dict[int, float]
+    vector: Vector
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -61,39 +68,62 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Postings per word, cut into blocks of examples with the largest weight of each block."""
+    """Postings per word, cut into blocks of examples with the largest weight of each block. Words that
+    very many examples have are columns of a matrix instead: many queries meet them at once, and a
+    block's bound holds their exact share."""
 
-    def __init__(self, examples: list[Example], size: int, block: int = BLOCK):
-        held = [e for e in examples if e.vector]
-        held.sort(key=lambda e: (max(e.vector, key=e.vector.__getitem__), e.id))
+    def __init__(self, examples: list[Example], size: int, block: int = BLOCK, common: int = COMMON):
+        held = [e for e in examples if len(e.vector[0])]
+        held.sort(key=lambda e: (e.vector[0][e.vector[1].argmax()], e.id))
         self.ids = np.array([e.id for e in held], np.int64)
         #: Their vectors are in the postings.
-        self.examples = [Example(e.id, e.label, e.weight, {}) for e in held]
+        self.examples = [Example(e.id, e.label, e.weight, NO_WORDS) for e in held]
         self.count = -(-len(held) // block)
-        entries = sum(len(e.vector) for e in held)
-        words = np.fromiter((k for e in held for k in e.vector), np.int64, entries)
-        values = np.fromiter((v for e in held for v in e.vector.values()), float, entries)
-        places = np.repeat(np.arange(len(held)), [len(e.vector) for e in held])
+        self.edges = np.arange(0, len(held), block)
+        words, values = (np.concatenate([NO_WORDS[i], *[e.vector[i] for e in held]]) for i in (0, 1))
+        places = np.repeat(np.arange(len(held)), [len(e.vector[0]) for e in held])
+        often = np.bincount(words, minlength=size)
+        top = np.argsort(-often, kind="stable")[:common]
+        #: Place of each common word in the matrix, -1 for others.
+        self.column = np.full(size, -1, np.int64)
+        self.column[top] = np.arange(len(top))
+        self.matrix = np.zeros((len(top), len(held)))
+        rare = self.column[words] < 0
+        self.matrix[self.column[words[~rare]], places[~rare]] = values[~rare]
+        words, values, places = words[rare], values[rare], places[rare]
         order = np.lexsort((places, words))
         words, self.places, self.values = words[order], places[order], values[order]
         piece = words * max(1, self.count) + self.places // block
         self.starts = np.flatnonzero(np.diff(piece, prepend=-1))
-        self.sizes = np.diff(self.starts, append=entries)
+        self.sizes = np.diff(self.starts, append=len(words))
         self.blocks = self.places[self.starts] // block
-        self.largest = np.maximum.reduceat(self.values, self.starts) if entries else self.values
+        self.largest = np.maximum.reduceat(self.values, self.starts) if len(words) else self.values
         self.bounds = np.searchsorted(words[self.starts], np.arange(size + 1))
 
-    def nearest(self, query: dict[int, float], most: int) -> list[tuple[float, int]]:
-        """(cosine, place) of the ``most`` nearest examples with a cosine over zero, nearest first;
-        ties go to the smaller id."""
-        words, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
+    def nearest(self, queries: list[Vector], most: int) -> list[list[tuple[float, int]]]:
+        """Per query the (cosine, place) of the ``most`` nearest examples with a cosine over zero,
+        nearest first; ties go to the smaller id."""
+        if not self.count:
+            return [[] for _ in queries]
+        shares = np.zeros((len(queries), len(self.matrix)))
+        for row, (words, weights) in zip(shares, queries, strict=True):
+            column = self.column[words]
+            row[column[column >= 0]] = weights[column >= 0]
+        return [self._nearest(q, base, most) for q, base in zip(queries, shares @ self.matrix, strict=True)]
+
+    def _nearest(self, query: Vector, base: np.ndarray, most: int) -> list[tuple[float, int]]:
+        words, weights = query
+        rare = self.column[words] < 0
+        words, weights = words[rare], weights[rare]
         pieces = self.bounds[words + 1] - self.bounds[words]
         at, weights = _ranges(self.bounds[words], pieces), np.repeat(weights, pieces)
         blocks = self.blocks[at]
-        bounds = np.bincount(blocks, weights * self.largest[at], minlength=self.count)
+        bounds = np.maximum.reduceat(base, self.edges)
+        bounds = bounds + np.bincount(blocks, weights * self.largest[at], minlength=self.count)
         order = np.argsort(-bounds, kind="stable")
+        size = self.edges[1] if self.count > 1 else len(base)
         found: list[tuple[float, int, int]] = []
-        done, take = 0, 4
+        done, take = 0, 8
         while done < self.count:
             now = order[done : done + take]
             least = max(1e-300, -found[most - 1][0] - 1e-9) if len(found) >= most else 1e-300
@@ -105,9 +135,13 @@ class Index:
             mine = chosen[blocks]
             sizes = self.sizes[at[mine]]
             entry = _ranges(self.starts[at[mine]], sizes)
-            scores = np.bincount(self.places[entry], np.repeat(weights[mine], sizes) * self.values[entry])
-            met = np.flatnonzero(scores)
-            near = np.round(scores[met], 9)
+            scores = np.bincount(
+                self.places[entry], np.repeat(weights[mine], sizes) * self.values[entry], minlength=len(base)
+            )
+            met = (now[:, None] * size + np.arange(size)).ravel()
+            met = met[met < len(base)]
+            near = np.round(scores[met] + base[met], 9)
+            met, near = met[near > 0], near[near > 0]
             if len(met) > most:
                 enough = near >= np.partition(near, -most)[-most]
                 met, near = met[enough], near[enough]
@@ -125,28 +159,39 @@ class Model:
     examples: list[Example]
     rate: float
 
-    def counted(self, own: list[bytes]) -> dict[int, int]:
-        return {self.words[w]: n for w, n in Counter(own).items() if w in self.words}
+    def __post_init__(self):
+        self.factors = np.array(self.weights)
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {k: (1 + math.log(n)) * self.weights[k] for k, n in sorted(counts.items()) if self.weights[k] > 0}
-        norm = math.sqrt(sum(v * v for v in raw.values()))
-        return {k: v / norm for k, v in raw.items()} if norm else {}
+    def counted(self, own: list[bytes]) -> Vector:
+        """Known words and how often each is there."""
+        known = Counter(map(self.words.get, own))
+        known.pop(None, None)
+        words = np.sort(np.fromiter(known, np.int64, len(known)))
+        return words, np.fromiter(map(known.__getitem__, words.tolist()), float, len(words))
+
+    def vector(self, counted: Vector) -> Vector:
+        """Of length one, or without words."""
+        words, counts = counted
+        raw = (1 + np.log(counts)) * self.factors[words]
+        words, raw = words[raw > 0], raw[raw > 0]
+        return words, raw / np.sqrt(raw @ raw) if len(raw) else raw
 
 
 class Judge:
     def __init__(self, model: Model, most: int = NEAREST):
         self.index = Index(model.examples, len(model.words))
-        empty = [e for e in model.examples if not e.vector]
+        empty = [e for e in model.examples if not len(e.vector[0])]
         total = sum(e.weight for e in empty)
         self.blank = sum(e.weight * e.label for e in empty) / total if total else model.rate
         self.model, self.most = Model(model.words, model.weights, [], model.rate), most
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        """(chance of label 1, ids of the examples that voted). A text without any known word is
-        like the examples without any."""
-        query = self.model.vector(self.model.counted(plain_words(text)))
-        near = self.index.nearest(query, self.most) if query else []
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """(chance of label 1, ids of the examples that voted) per text. A text without any known word
+        is like the examples without any."""
+        queries = [self.model.vector(self.model.counted(plain_words(t))) for t in texts]
+        return [self._voted(near) for near in self.index.nearest(queries, self.most)]
+
+    def _voted(self, near: list[tuple[float, int]]) -> tuple[float, list[int]]:
         if not near:
             return round(self.blank, 6), []
         voters = [(self.index.examples[place], cosine) for cosine, place in near]
@@ -163,10 +208,13 @@ def _document_frequencies(docs: DataFrame, text_col: str, listed: list[bytes]) -
     def run(batches):
         total = np.zeros(len(places) + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                for w in places.keys() & plain_words(text.as_py()):
-                    total[places[w]] += 1
-                total[-1] += 1
+            for start in range(0, batch.num_rows, 512):
+                often: Counter[bytes] = Counter()
+                for text in batch.column(0).slice(start, 512):
+                    often.update(set(plain_words(text.as_py())))
+                for w in places.keys() & often.keys():
+                    total[places[w]] += often[w]
+            total[-1] += batch.num_rows
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met])], ["k", "n"])
 
@@ -195,8 +243,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         own = plain_words(text)
         for w in own:
             model.words.setdefault(w, len(model.words))
-        counts = model.counted(own)
-        rows.append((doc, label, np.fromiter(counts, np.int32), np.fromiter(counts.values(), np.int32)))
+        known, counts = model.counted(own)
+        rows.append((doc, label, known.astype(np.int32), counts.astype(np.float32)))
     if not rows:
         return None
     rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
@@ -206,8 +254,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     taken = {label: max(1, sum(r[1] == label for r in rows)) for label in (0, 1)}
     scale = {label: sizes[label] / taken[label] for label in (0, 1)}
     least = min(s for s in scale.values() if s > 0)
+    model.factors = np.array(model.weights)
     for doc, label, known, counts in rows:
-        vector = model.vector(dict(zip(known.tolist(), counts.tolist(), strict=True)))
+        vector = model.vector((known, counts.astype(float)))
         model.examples.append(Example(doc, label, scale[label] / least, vector))
     return model
 
@@ -222,7 +271,10 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     def run(batches):
         for batch in batches:
-            found = [judge.score(t.as_py()) if judge else (0.0, []) for t in batch.column(1)]
+            texts, found = batch.column(1), []
+            for start in range(0, len(texts), TOGETHER):
+                part = texts.slice(start, TOGETHER).to_pylist()
+                found += judge.score(part) if judge else [(0.0, [])] * len(part)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
