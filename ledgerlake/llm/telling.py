@@ -66,7 +66,9 @@ def telling_words(
     texts = written(texts.dropDuplicates(["class", "h"]), "sample")
     sizes = {r["class"]: r["n"] for r in texts.groupBy("class").agg(F.count("*").alias("n")).collect()}
     read = [sizes.get(c, 0) for c in classes]
-    before = F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
+    # What stands before the first word is another thing in each text.
+    start = F.array(F.concat(F.lit(" "), F.col("h").cast("string")))
+    before = F.concat(start, F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
     pairs = F.arrays_zip(F.col("w").alias("word"), before.alias("before"))
     contexts = texts.select("class", F.explode_outer(pairs).alias("p")).select("class", "p.*").distinct()
     per_class = contexts.groupBy("class", "word").agg(F.count("*").alias("c"))
