@@ -103,4 +103,6 @@ def judge(
         "score", F.when(F.size("f") > 0, F.round(total / F.size("f"), 9))
     )
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))
-    return scored.withColumn("kept", kept).drop("f", "weights")
+    # Written down: a filter or a column that a caller puts on top would be drawn into the counting,
+    # which then is done once per word.
+    return written(scored.withColumn("kept", kept).drop("f", "weights"), "judged")
