@@ -1,9 +1,9 @@
 """Phrases that stand out, mined shard by shard.
 
-A shard is the text that one task reads, up to a bound. A phrase that is frequent in the corpus is,
-in at least one shard, as frequent as that shard's share of the text asks for. So the first pass mines
-every shard completely at that lowered support, phrases of k words from those of k - 1, and unites
-what it finds as 64-bit keys in a bit table of bounded size. The second pass counts every phrase
+A shard is part of the text that one task reads, of bounded size. A phrase that is frequent in the
+corpus is, in at least one shard, as frequent as that shard's share of the text asks for. So the first
+pass mines every shard completely at that lowered support, phrases of k words from those of k - 1, and
+unites what it finds as 64-bit keys in a bit table of bounded size. The second pass counts every phrase
 whose key is in the table, in every shard, and the counts add up exactly: a key that two phrases
 share, or a bit set by others, only adds a phrase to be counted.
 
@@ -31,9 +31,11 @@ SUPPORT = 100
 TOP = 2000
 #: A phrase goes if a longer one has this share (per cent) of its occurrences.
 ABSORBED = 100
-#: Bytes of text that tasks are to have, and that a shard has at most; below LEAST_SHARDS tasks the
-#: text is not put together any further.
-TASK, SHARD, LEAST_SHARDS = 24 << 20, 48 << 20, 16
+#: Bytes of text that tasks are to have, at least if there are fewer than MANY tasks.
+TASK, MANY = 24 << 20, 16
+#: Bytes of text of a shard: about this share of all text, so that the lowered support stays the same
+#: while the text grows, and never more than one task holds in memory. Beyond SHARDS * SHARD it falls.
+SHARDS, SHARD = 32, 48 << 20
 #: Bits of the table of candidates: at least so many per candidate, and never more than 32 MB of them.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 _BLOCK = 1 << 15
@@ -78,6 +80,14 @@ class _Shard:
         self.parts.setdefault(lang, []).extend([ids[ids != _NONE], np.array([_END], np.int32)])
         self.size += sum(map(len, texts))
 
+    def absorb(self, other: _Shard) -> None:
+        """Take over another shard's texts under this one's numbers."""
+        number = np.fromiter(map(self.words.__getitem__, other.words.list), np.int32, len(other.words.list))
+        for lang, parts in other.parts.items():
+            own = [np.where(ids >= 0, number[np.maximum(ids, 0)], ids) if len(number) else ids for ids in parts]
+            self.parts.setdefault(lang, []).extend(own)
+        self.size += other.size
+
     def hashes(self) -> np.ndarray:
         return np.fromiter(map(xxhash.xxh64_intdigest, self.words.list), np.uint64, len(self.words.list))
 
@@ -99,7 +109,22 @@ def _cut(text: bytes) -> Iterator[bytes]:
 
 
 def _shards(batches, most: int) -> Iterator[_Shard]:
-    """Batches of (language, text as bytes) as shards of about ``most`` bytes."""
+    """Shards of about ``most`` bytes; a small rest of a task goes to the shard before it, for the lowered
+    support of a small shard would be one."""
+    before = None
+    for shard in _runs(batches, most):
+        if before is not None and 2 * shard.size < most:
+            before.absorb(shard)
+            continue
+        if before is not None:
+            yield before
+        before = shard
+    if before is not None:
+        yield before
+
+
+def _runs(batches, most: int) -> Iterator[_Shard]:
+    """Batches of (language, text as bytes) in runs of ``most`` bytes or a little more."""
     shard = _Shard()
     for batch in batches:
         waiting: dict[str, list[bytes]] = {}
@@ -163,16 +188,26 @@ def _seed(lang: str) -> int:
 
 
 def _candidates(rows: DataFrame, total: int, support: int, longest: int, most: int) -> DataFrame:
-    """Keys of the phrases that are frequent in some shard, each once."""
+    """Keys of the phrases that may have the support, each once.
+
+    A shard that does not report a phrase has less than its lowered support of it. So what a shard
+    reports is by how much the phrase exceeds that bound, and a phrase has the support only if these
+    amounts and the bounds of all shards together reach it. The row without a key sums up the bounds."""
 
     def run(batches):
         for shard in _shards(batches, most):
-            least, hashes = -(-support * shard.size // max(1, total)), shard.hashes()
+            least, hashes = max(1, -(-support * shard.size // max(1, total))), shard.hashes()
+            bound = pa.array([least - 1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), bound], ["key", "over"])
             for lang, ids in shard.texts():
-                for *_, keys in grams(ids, hashes, _seed(lang), lambda _, n: n >= least, longest):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+                for _, _, counts, keys in grams(ids, hashes, _seed(lang), lambda _, n, t=least: n >= t, longest):
+                    over = pa.array((counts - (least - 1)).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), over], ["key", "over"])
 
-    return written(rows.mapInArrow(run, "key long").distinct(), "candidates")
+    summed = rows.mapInArrow(run, "key long, over long").groupBy("key").agg(F.sum("over").alias("over"))
+    reported = written(summed, "candidates")
+    bounds = reported.where("key IS NULL").first()
+    return reported.where(F.col("key").isNotNull() & (F.col("over") >= support - (bounds["over"] if bounds else 0)))
 
 
 def _table(candidates: DataFrame) -> np.ndarray:
@@ -255,9 +290,10 @@ def frequent(
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    fewer = rows.coalesce(max(LEAST_SHARDS, -(-total // task)))
-    table = _table(_candidates(fewer, total, support, longest, shard))
-    return _counts(fewer, table, support, longest, shard)
+    fewer = rows.coalesce(max(MANY, -(-total // task)))
+    size = max(1, min(shard, -(-total // SHARDS)))
+    table = _table(_candidates(fewer, total, support, longest, size))
+    return _counts(fewer, table, support, longest, size)
 
 
 def _joined(words: Column, start, size) -> Column:
