@@ -14,6 +14,8 @@ import os
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,16 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Closes every document.
 END = 2
 #: Bytes of text of a shard, and the number of shards that is never passed: beyond it they grow.
-SHARD, MOST_SHARDS = 64 << 20, 1 << 16
+SHARD, MOST_SHARDS = 32 << 20, 1 << 16
 STRIPE, INDEX_ROWS = 8 << 20, 1000
-#: Parts of texts whose ids a task remembers; characters cut into parts at a time.
-_KNOWN, _STEP = 1 << 20, 1 << 22
+#: Parts of texts whose ids a process remembers; characters cut into parts at a time; words per text
+#: that is made of words.
+_KNOWN, _STEP, _LINES = 600_000, 1 << 22, 500
 #: Of this kind are the vocabularies whose texts may be cut before a blank, see `Encoder`.
 _CUTTABLE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _BLANK = re.compile(r" (?<=\S )")
+#: Latin letters, a sign, and the rest. An apostrophe may go with letters; what else may is left whole.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?].*)", re.DOTALL)
 
 
 def vocabulary_file(name: str = VOCABULARY) -> str:
@@ -42,9 +47,9 @@ def vocabulary_file(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of whole texts. A byte-level vocabulary never has a token that goes on from another
-    character into white space, so a text is cut before each blank that follows such a character;
-    each different part is encoded once."""
+    """Ids of whole texts. A byte-level vocabulary has no token that goes on from another character
+    into white space, or from a letter into a sign, so a text is cut there; each different part is
+    encoded once, as long as it is remembered."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -59,34 +64,83 @@ class Encoder:
             and all(kind.get(k) == v for k, v in _CUTTABLE.items())
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in parts["added_tokens"])
         )
-        #: Ids of a part that follows a blank, blank included, as bytes.
+        #: Ids as bytes of parts that follow a blank, blank included, and of signs after letters.
         self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0] if self.cuttable else None
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _run(self, text: str, start: int, end: int) -> bytes:
-        first, *others = _BLANK.split(text[start:end])
-        new = [p for p in set(others) if p not in self.known]
-        if len(self.known) + len(new) > _KNOWN:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a blank. Those of letters alone are encoded many at a time, a line each:
+        a line end next to a blank is a token of its own, which is in no word."""
+        lines = [w for w in words if w.isalpha()]
+        texts = ["".join([f" {w}\n" for w in lines[i : i + _LINES]]) for i in range(0, len(lines), _LINES)]
+        out: dict[str, bytes] = {}
+        for k, found in enumerate(self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            ends, raw = 4 * np.flatnonzero(ids == self.line_end), ids.tobytes()
+            own = [raw[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+            out.update(zip(lines[k * _LINES : (k + 1) * _LINES], own, strict=True))
+        others = [w for w in words if w not in out]
+        out.update(zip(others, self._encoded([" " + w for w in others]), strict=True))
+        return [out[w] for w in words]
+
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        """Parts that are not known: words among them once, however many signs follow them."""
+        cut = {p: m.groups() if (m := _WORD.match(p)) else (p, "") for p in parts}
+        words = list({w for w, _ in cut.values() if w not in self.known})
+        signs = list({s for _, s in cut.values() if s not in self.signs})
+        if len(self.signs) > _KNOWN:
+            self.signs.clear()
+            signs = list({s for _, s in cut.values()})
+        self.signs.update(zip(signs, self._encoded(signs), strict=True))
+        found = dict(zip(words, self._words(words), strict=True))
+        whole = {p: (found.get(w) or self.known[w]) + self.signs[s] for p, (w, s) in cut.items()}
+        return found | whole
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit integers, without the end."""
+        if not self.cuttable:
+            return self._encoded([t or "" for t in texts])
+        slices = [(i, s) for i, t in enumerate(texts) for s in _slices(t or "")]
+        cut = [s.split(" ") for _, s in slices]
+        wanted = set().union(*cut)
+        if any(not p or p[-1].isspace() for p in wanted):
+            # Blanks that may follow white space: those do not cut.
+            cut = [_BLANK.split(s) for _, s in slices]
+            wanted = set().union(*[parts[1:] for parts in cut])
+        firsts = self._encoded([parts[0] for parts in cut])
+        missing = [p for p in wanted if p not in self.known]
+        if 2 * len(missing) > len(wanted) and len(self.known) + len(missing) > _KNOWN:
+            # Other text than before.
             self.known.clear()
-            new = list(set(others))
-        self.known.update(zip(new, self._encoded([" " + p for p in new]), strict=True))
-        return self._encoded([first])[0] + b"".join(map(self.known.__getitem__, others))
+            missing = list(wanted)
+        new = self._new(missing)
+        self.known.update(new)
+        out = [b""] * len(texts)
+        for (i, _), first, (_, *others) in zip(slices, firsts, cut, strict=True):
+            out[i] += first + b"".join(map(self.known.__getitem__, others))
+        if len(self.known) > _KNOWN:
+            for p in new:
+                del self.known[p]
+        return out
 
-    def ids(self, text: str | None) -> bytes:
-        """The ids as unsigned 32-bit integers, without the end."""
-        text = text or ""
-        if not self.cuttable:
-            return self._encoded([text])[0]
-        out, start = [], 0
-        while start < len(text):
-            cut = _BLANK.search(text, start + _STEP)
-            end = cut.start() if cut else len(text)
-            out.append(self._run(text, start, end))
-            start = end
-        return b"".join(out)
+
+def _slices(text: str) -> Iterator[str]:
+    start = 0
+    while len(text) - start > _STEP and (cut := _BLANK.search(text, start + _STEP)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
+@lru_cache(maxsize=1)
+def _encoder(definition: str) -> Encoder:
+    """One per Python process, for all its tasks."""
+    return Encoder(definition)
 
 
 def _shards(size: int, shard: int) -> int:
@@ -119,11 +173,11 @@ def write(
     last = array("I", [] if end is None else [end]).tobytes()
 
     def run(batches):
-        encoder, before = Encoder(definition), 0
+        encoder, before = _encoder(definition), 0
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for chosen in together(texts):
-                found = [encoder.ids(texts[i]) + last for i in chosen]
+            for chosen in together(texts, _STEP):
+                found = [ids + last for ids in encoder.encode([texts[i] for i in chosen])]
                 sizes = np.array([len(f) // 4 for f in found], np.int64)
                 ends = np.cumsum(sizes)
                 values = pa.array(np.frombuffer(b"".join(found), np.int32))
@@ -146,6 +200,7 @@ def write(
     options = {
         "orc.bloom.filter.columns": "id",
         "orc.create.index": "true",
+        "compression": "snappy",
         "orc.row.index.stride": str(INDEX_ROWS),
         "orc.stripe.size": str(stripe),
         # A stripe may be full after a few long documents.

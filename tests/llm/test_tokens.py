@@ -18,7 +18,7 @@ DOCS = "doc_id long, text string, id long, shard int, place long, ids array<int>
 ODD = [
     "", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n\n a\n", "don't  we'll  I'm", "x   y", "tab\t one",
     "<|endoftext|> in <|endoftext|>text", "a <|endoftext|>", " wide   blanks ", "\U0001f600 \U0001f600‍",
-    "12 345  6", "\x1c x \x1f y", "\u0085 next", "été 中文 中", "!!  ?? ..", " 's 's", "\r\n \r\n",
+    "w.\nNext, (in) x's. 'q' e-f é.É a;\n\nb a.\n\n b <a> to.<|endoftext|> c", "12 345  6", "\x1c x \x1f y", "\u0085 next", "été 中文 中", "!!  ?? ..", " 's 's", "\r\n \r\n",
 ]
 
 
@@ -40,10 +40,13 @@ def plain(library, text):
 def test_ids_are_those_of_the_whole_text(library, encoder, monkeypatch):
     assert encoder.cuttable
     whole = " \n".join(ODD) + "  ".join(ODD) + " ".join(ODD)
-    for step in (1, 7, tokens._STEP):
+    texts = [*ODD, whole, None, " ".join(f"w{i}. x{i}" for i in range(3000)), whole]
+    want = [plain(library, text) for text in texts]
+    for step, known in ((1, 10), (7, 0), (tokens._STEP, tokens._KNOWN), (50, 2000)):
         monkeypatch.setattr(tokens, "_STEP", step)
-        for text in [*ODD, whole]:
-            assert array("I", encoder.ids(text)).tolist() == plain(library, text), (step, text)
+        monkeypatch.setattr(tokens, "_KNOWN", known)
+        assert [array("I", ids).tolist() for ids in encoder.encode(texts)] == want
+        assert [array("I", encoder.encode([text])[0]).tolist() for text in texts] == want
 
 
 def test_a_vocabulary_that_cannot_be_cut_gets_whole_texts():
@@ -52,7 +55,7 @@ def test_a_vocabulary_that_cannot_be_cut_gets_whole_texts():
     encoder, own = tokens.Encoder(definition), Tokenizer.from_str(definition)
     assert not encoder.cuttable
     for text in ("Two  words", " a b", ""):
-        assert array("I", encoder.ids(text)).tolist() == own.encode(text, add_special_tokens=False).ids
+        assert array("I", encoder.encode([text])[0]).tolist() == own.encode(text, add_special_tokens=False).ids
 
 
 def documents(spark, rows):
