@@ -32,7 +32,7 @@ SHARD, MOST_SHARDS = 32 << 20, 1 << 16
 STRIPE, INDEX_ROWS = 8 << 20, 1000
 #: Parts of texts whose ids a process remembers; characters cut into parts at a time; words per text
 #: that is made of words.
-_KNOWN, _STEP, _LINES = 600_000, 1 << 22, 500
+_KNOWN, _STEP, _LINES = 400_000, 1 << 21, 500
 #: Of this kind are the vocabularies whose texts may be cut before a blank, see `Encoder`.
 _CUTTABLE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _BLANK = re.compile(r" (?<=\S )")
@@ -200,7 +200,6 @@ def write(
     options = {
         "orc.bloom.filter.columns": "id",
         "orc.create.index": "true",
-        "compression": "snappy",
         "orc.row.index.stride": str(INDEX_ROWS),
         "orc.stripe.size": str(stripe),
         # A stripe may be full after a few long documents.
