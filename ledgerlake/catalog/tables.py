@@ -219,20 +219,23 @@ def _(spark, folder):
 # ---- file sets
 
 
+_FILES = 64
+
+
 @query(
     "file_fingerprint",
-    """SELECT s_suppkey, CAST(strlen(s_name) + 1 AS BIGINT) AS file_size_bytes,
-    md5(s_name || chr(10)) AS file_hash FROM supplier""",
+    f"""SELECT doc_id % {_FILES} AS part, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS file_size_bytes,
+    md5(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS file_hash FROM documents GROUP BY 1""",
 )
 def _(spark, folder):
-    """A text file per supplier, its name and a line end."""
+    """The whole texts of the documents in files, each with a line end, in order of their numbers."""
     path = new_folder(spark, "text")
-    names = given(spark, folder, "supplier").select("s_suppkey", "s_name")
-    names.write.partitionBy("s_suppkey").text(path)
-    key = F.regexp_extract("file_path", r"s_suppkey=(\d+)/", 1).cast("bigint")
-    return file_fingerprint(spark, path, "*.txt").select(
-        key.alias("s_suppkey"), "file_size_bytes", "file_hash"
-    )
+    text = F.coalesce("text", F.lit("")).alias("text")
+    parts = given(spark, folder, "documents").select((F.col("doc_id") % _FILES).alias("part"), "doc_id", text)
+    ordered = parts.repartition("part").sortWithinPartitions("part", "doc_id")
+    ordered.select("part", "text").write.partitionBy("part").text(path)
+    key = F.regexp_extract("file_path", r"part=(\d+)/", 1).cast("bigint")
+    return file_fingerprint(spark, path, "*.txt").select(key.alias("part"), "file_size_bytes", "file_hash")
 
 
 def _document_files(spark, folder):

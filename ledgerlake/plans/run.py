@@ -20,9 +20,9 @@ from ledgerlake.sources.files import (
     MANIFEST,
     changed_files,
     file_fingerprint,
-    file_names,
     list_files,
     manifest_upsert,
+    require_sources,
 )
 from ledgerlake.sources.tables import BatchTable, BucketSummary, KeyedTable, VersionedTable, counted
 
@@ -85,10 +85,6 @@ def ingest(
     The manifest is written last: a run that dies before it repeats the load, and a
     load under the same timestamp replaces its own batch."""
     spark, table = lake.spark, ENTITIES[entity]
-    found = file_names(spark, folder, "*.csv")
-    if missing := sorted(set(expected) - found) or ([] if found else [entity]):
-        raise FileNotFoundError(f"source files not found: {', '.join(missing)}")
-
     name = F.element_at(F.split("file_path", "/"), -1)
     keyed = file_fingerprint(spark, folder, "*.csv").withColumns(
         {"file_name": name, "file_key": F.concat(F.lit(f"{entity}/"), name)}
@@ -99,9 +95,15 @@ def ingest(
     # Hashed once and written down: what goes into the manifest is what was compared,
     # and only the names of the changed files come to the driver, for the reader.
     manifest, batch_id = lake.manifest_rows(), batch_id_of(batch_ts)
-    todo = f"{lake.root}/changed/{entity}/{batch_id}"
-    changed_files(keyed, manifest).select(*columns).write.mode("overwrite").parquet(todo)
-    loaded = spark.read.parquet(todo)
+    seen = f"{lake.root}/seen/{entity}/{batch_id}"
+    keyed.select(*columns).write.mode("overwrite").parquet(seen)
+    there = spark.read.parquet(seen)
+    if expected:
+        named = spark.createDataFrame([(n,) for n in expected], "file_name string")
+        require_sources(named, there, "file_name")
+    elif there.isEmpty():
+        raise FileNotFoundError(f"source files not found: {entity}")
+    loaded = changed_files(there, manifest).select(*columns)
     sizes = {r["file_path"]: r["file_size_bytes"] for r in loaded.collect()}
     if not sizes:
         return 0

@@ -1,30 +1,56 @@
-"""Sets of source files: fingerprints, what changed, what is missing, the manifest."""
+"""Sets of source files: fingerprints, what changed, what is missing, the manifest.
+
+Folders are listed by tasks, level by level, and what they find is a written table: neither the paths
+nor the names of the files come to the driver."""
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
-from urllib.parse import unquote, urlsplit
+from collections.abc import Callable, Iterator
+from fnmatch import fnmatchcase
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.sources.scratch import new_folder
+
 _CHUNK = 1 << 20
+#: Bytes that a task hashes, about.
+_SHARE = 256 << 20
 
-FINGERPRINT = (
-    "file_path string, file_size_bytes bigint, last_modified_at timestamp, file_hash string"
-)
+LISTED = "file_path string, file_size_bytes bigint, last_modified_at timestamp"
+FINGERPRINT = f"{LISTED}, file_hash string"
+
+# Schemes of Hadoop's connectors for which Arrow has another name.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_address(path: str) -> tuple[str, str]:
+    """The address of the store that Arrow opens for a path, and the path inside it. A local path has
+    no address."""
+    scheme, mark, rest = path.partition("://")
+    if not mark or scheme == "file":
+        return "", "/" + path.removeprefix("file:").lstrip("/")
+    store, _, inside = rest.partition("/")
+    return f"{ARROW_SCHEMES.get(scheme, scheme)}://{store}/", f"/{inside}"
 
 
-def _md5_of(path: str) -> str:
+def open_store(path: str):
+    """Arrow's file system for a path, and the path's name in it. The names are not read as URLs, so
+    any character may occur in them."""
     from pyarrow import fs
 
-    if urlsplit(path).scheme in ("", "file"):
-        filesystem, name = fs.LocalFileSystem(), path.removeprefix("file:")
-    else:
-        filesystem, name = fs.FileSystem.from_uri(path)
+    address, inside = arrow_address(path)
+    if not address:
+        return fs.LocalFileSystem(), inside
+    filesystem, root = fs.FileSystem.from_uri(address)
+    return filesystem, root.rstrip("/") + inside
+
+
+def _md5_of(path: str, opener: Callable) -> str:
+    filesystem, name = opener(path)
     digest = hashlib.md5()
     with filesystem.open_input_stream(name) as stream:
         while chunk := stream.read(_CHUNK):
@@ -32,60 +58,85 @@ def _md5_of(path: str) -> str:
     return digest.hexdigest()
 
 
-def _hash_listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for files in batches:
-        yield files.assign(file_hash=[_md5_of(p) for p in files["file_path"]])
-
-
-def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-
-
-def _listed(files: DataFrame) -> list[str]:
-    """Paths as Spark's own listing on the driver has them, empty files among them. A scan
-    writes file:/x where the listing writes file:///x."""
-    return [re.sub("^file:/+", "file:/", unquote(n)) for n in files.inputFiles()]
+def _written_as_scans_do(path: str) -> str:
+    address, inside = arrow_address(path.rstrip("/"))
+    return path.rstrip("/") if address else f"file:{inside}"
 
 
-def file_names(spark: SparkSession, path: str, pattern: str = "*") -> set[str]:
-    """Names of the files there, without a job."""
-    return {n.rsplit("/", 1)[-1] for n in _listed(_files(spark, path, pattern))}
-
-
-def _scanned(files: DataFrame) -> DataFrame:
-    return files.select(
-        F.col("path").alias("file_path"),
-        F.col("length").alias("file_size_bytes"),
-        F.col("modificationTime").alias("last_modified_at"),
-    )
-
-
-def _empty(files: DataFrame) -> DataFrame:
-    """Files that are listed and that a scan leaves out, which are those without content."""
-    listed = files.sparkSession.createDataFrame([(n,) for n in _listed(files)], "file_path string")
-    return listed.join(_scanned(files).select("file_path"), "file_path", "left_anti").select(
-        "file_path",
-        F.lit(0).cast("bigint").alias("file_size_bytes"),
-        F.lit(None).cast("timestamp").alias("last_modified_at"),
-    )
-
-
-def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size and modification time of the files; contents are not read. Empty files
-    have size 0 and no modification time."""
-    files = _files(spark, path, pattern)
-    return _scanned(files).unionByName(_empty(files))
+def _content(folder: str, pattern: str, opener: Callable) -> pd.DataFrame:
+    """Files and folders right below a folder."""
+    from pyarrow import fs
 
+    filesystem, name = opener(folder)
+    rows = []
+    for info in filesystem.get_file_info(fs.FileSelector(name)):
+        own, inner = info.base_name, info.type == fs.FileType.Directory
+        if own.startswith((".", "_")) or not ("=" in own if inner else fnmatchcase(own, pattern)):
+            continue
+        # To the millisecond, as a scan has it.
+        at = None if inner or info.mtime is None else pd.Timestamp(info.mtime).floor("ms").tz_convert(None)
+        rows.append((f"{folder}/{own}", None if inner else info.size, at))
+    found = pd.DataFrame(rows, columns=["file_path", "file_size_bytes", "last_modified_at"])
+    return found.astype({"file_size_bytes": "Int64", "last_modified_at": "datetime64[ns]"})
+
+
+def list_files(
+    spark: SparkSession, path: str, pattern: str = "*", opener: Callable = open_store
+) -> DataFrame:
+    """Path, size and modification time of the files, empty ones too; contents are not read.
+
+    As in a scan, folders named ``key=value`` are entered, and names that start with ``_`` or ``.``
+    are left out. Each level of folders is listed by one job, a task for some of its folders, and
+    written down. ``opener`` makes Arrow's file system of a path, for stores that need
+    credentials of their own."""
+    from pyarrow import fs
 
-def file_fingerprint(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    root = _written_as_scans_do(path)
+    filesystem, name = opener(root)
+    if filesystem.get_file_info(name).type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    # Times are stored without a zone: tasks and the session need not agree on one.
+    schema = LISTED.replace("timestamp", "timestamp_ntz")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for folders in batches:
+            for folder in folders["file_path"]:
+                yield _content(folder, pattern, opener)
+
+    levels, folders = [], spark.createDataFrame([(root,)], "file_path string")
+    while True:
+        level, seen = new_folder(spark, "listing"), Observation()
+        below = folders.mapInPandas(run, schema)
+        inner = F.count_if(F.col("file_size_bytes").isNull()).alias("folders")
+        below.observe(seen, inner).write.parquet(level)
+        levels.append(spark.read.schema(schema).parquet(level))
+        if not seen.get["folders"]:
+            break
+        folders = levels[-1].where("file_size_bytes IS NULL").select("file_path")
+        folders = folders.repartition(spark.sparkContext.defaultParallelism, "file_path")
+    at = F.convert_timezone(F.lit("UTC"), F.current_timezone(), "last_modified_at").cast("timestamp")
+    files = reduce(DataFrame.unionByName, levels).where("file_size_bytes IS NOT NULL")
+    return files.withColumn("last_modified_at", at)
+
+
+def file_fingerprint(
+    spark: SparkSession, path: str, pattern: str = "*", opener: Callable = open_store
+) -> DataFrame:
     """MD5 of the whole content, size and modification time of every file.
 
-    Spark deals the files out to tasks by size; a task reads each of its files in
+    Files are dealt out to as many tasks as their bytes ask for; a task reads each of its files in
     chunks, so memory does not grow with the file. MD5 is sequential, so one file is
     always one task's work."""
-    files = _files(spark, path, pattern)
-    hashed = _scanned(files).mapInPandas(_hash_listed, FINGERPRINT)
-    return hashed.unionByName(_empty(files).withColumn("file_hash", F.md5(F.lit(b""))))
+    files = list_files(spark, path, pattern, opener)
+    held = files.agg(F.count("*").alias("n"), F.sum("file_size_bytes").alias("size")).first()
+    wanted = max(spark.sparkContext.defaultParallelism, (held["size"] or 0) // _SHARE)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in batches:
+            yield found.assign(file_hash=[_md5_of(p, opener) for p in found["file_path"]])
+
+    tasks = max(1, min(held["n"], wanted))
+    return files.repartition(tasks, "file_path").mapInPandas(run, FINGERPRINT)
 
 
 def changed_files(fingerprints: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -90,6 +90,44 @@ def test_fingerprints(spark, folder):
     assert set(map(tuple, df.select(name, "file_size_bytes", "file_hash").collect())) == want
 
 
+def test_schemes_that_arrow_names_otherwise():
+    assert files.arrow_address("s3a://bucket/in/a b%20#1.csv") == ("s3://bucket/", "/in/a b%20#1.csv")
+    assert files.arrow_address("hdfs://host:8020/in") == ("hdfs://host:8020/", "/in")
+    assert files.arrow_address("abfss://c@a.dfs.core.windows.net/x/y") == ("abfss://c@a.dfs.core.windows.net/", "/x/y")
+    assert files.arrow_address("file:/a/b") == files.arrow_address("file:///a/b") == files.arrow_address("/a/b") == ("", "/a/b")
+
+
+def test_listing_follows_a_scan(spark, folder):
+    for name in ("a.csv", "b%20 c.csv", "x.txt", "_d.csv", "k=1/e.csv", "k=1/m=2/f.csv", "k=2/.g.csv", "plain/h.csv"):
+        os.makedirs(os.path.dirname(f"{folder}/in/{name}"), exist_ok=True)
+        write(f"{folder}/in/{name}", "" if name == "a.csv" else name)
+    got = files.list_files(spark, f"{folder}/in/", "*.csv").collect()
+    names = ["a.csv", "b%20 c.csv", "k=1/e.csv", "k=1/m=2/f.csv"]
+    assert sorted(r.file_path for r in got) == [f"file:{folder}/in/{n}" for n in names]
+    scanned = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/in/k=1")
+    mine = {(r.file_path, r.file_size_bytes, r.last_modified_at) for r in got if "k=1" in r.file_path}
+    assert {(r.path, r.length, r.modificationTime) for r in scanned.collect()} == mine
+    with pytest.raises(FileNotFoundError):
+        files.list_files(spark, f"{folder}/nowhere")
+    os.makedirs(f"{folder}/empty")
+    assert files.file_fingerprint(spark, f"{folder}/empty").collect() == []
+
+
+def test_files_of_another_store(spark, folder):
+    """A store under a Hadoop scheme, here a folder that stands in for it."""
+    os.makedirs(f"{folder}/bucket/in")
+    write(f"{folder}/bucket/in/a.csv", "a")
+
+    def opener(path):
+        from pyarrow import fs
+
+        address, inside = files.arrow_address(path)
+        return fs.LocalFileSystem(), folder + "/" + address.removeprefix("s3://").rstrip("/") + inside
+
+    got = files.file_fingerprint(spark, "s3a://bucket/in", "*.csv", opener).collect()
+    assert [(r.file_path, r.file_hash) for r in got] == [("s3a://bucket/in/a.csv", hashlib.md5(b"a").hexdigest())]
+
+
 MANIFEST_ROW = "file_key string, file_hash string"
 
 
