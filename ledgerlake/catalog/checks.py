@@ -515,6 +515,40 @@ def _(spark, folder):
     return profiling.profile_min_max(view(spark, folder, "header_text"), columns)
 
 
+_PROFILED = {
+    "header_text": ["SalesOrderID", "OrderDate", "CustomerID", "SalesPersonID"],
+    "product_text": ["Color", "Size", "ProductCategoryName"],
+}
+
+
+def _profile_sql(table, column):
+    value = f'"{column}"'
+    return f"""SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) AS total,
+    count(nullif({value}, '')) AS filled, count(DISTINCT {value}) AS distinct_values, true AS estimate_is_near,
+    min(CASE WHEN regexp_matches({value}, '^[0-9]+$') THEN CAST({value} AS BIGINT) END) AS smallest,
+    max(CASE WHEN regexp_matches({value}, '^[0-9]+$') THEN CAST({value} AS BIGINT) END) AS largest,
+    (SELECT string_agg(l || ':' || n, ',' ORDER BY l) FROM (SELECT length({value}) AS l, count(*) AS n
+        FROM {table} WHERE {value} IS NOT NULL GROUP BY 1) h) AS lengths
+    FROM {table}"""
+
+
+@query("profile_columns", _sql_union([_profile_sql(t, c) for t, names in _PROFILED.items() for c in names]))
+def _(spark, folder):
+    """One scan per table. Estimates are near if they are off by at most 6 %, over four standard errors."""
+
+    def of(table):
+        found = profiling.profile_columns(view(spark, folder, table), _PROFILED[table])
+        off = F.abs(F.col("distinct_estimate") - F.col("distinct_values"))
+        shown = F.transform("lengths", lambda e: F.concat_ws(":", e["text_length"], e["occurrences"]))
+        return found.select(
+            F.lit(table).alias("table_name"), "column_name", "total", "filled", "distinct_values",
+            (off <= 0.06 * F.col("distinct_values")).alias("estimate_is_near"), "smallest", "largest",
+            F.array_join(shown, ",").alias("lengths"),
+        )
+
+    return _union([of(t) for t in _PROFILED])
+
+
 @query(
     "profile_date_gap",
     """SELECT CAST(date_diff('day', order_date, ship_date) AS INT) AS gap_days,

@@ -44,6 +44,7 @@ class Lake:
     root: str
     id_type: str = "int"
     buckets: int = 16
+    rows_per_bucket: int | None = None
     rules: Sequence[Rule] = CATEGORY_RULES
     contracts: dict[str, TableContract] = field(init=False)
 
@@ -52,7 +53,7 @@ class Lake:
 
     def keyed(self, name: str) -> KeyedTable:
         return KeyedTable(
-            self.spark, f"{self.root}/{name}", self.contracts[name].key, self.buckets
+            self.spark, f"{self.root}/{name}", self.contracts[name].key, self.buckets, self.rows_per_bucket
         )
 
     def rebuilt(self, name: str) -> VersionedTable:

@@ -209,19 +209,36 @@ class VersionedTable:
 
 class KeyedTable(VersionedTable):
     """A table with a unique key, kept in hash buckets so that a merge rewrites only
-    the buckets that the batch touches. Choose ``buckets`` so that one bucket is a few
-    gigabytes; it is fixed by the first write."""
+    the buckets that the batch touches. ``buckets`` is the number that the first write makes. With
+    ``rows_per_bucket``, a merge that finds more rows than that in the average bucket splits
+    every bucket by one more bit of its keys' hashes, as often as needed: it rewrites the whole
+    table, which comes once per doubling, so a row is rewritten a bounded number of times for it."""
 
     def __init__(
-        self, spark: SparkSession, root: str, key: str | Sequence[str], buckets: int = 16
+        self,
+        spark: SparkSession,
+        root: str,
+        key: str | Sequence[str],
+        buckets: int = 16,
+        rows_per_bucket: int | None = None,
     ):
         super().__init__(spark, root)
         self.key = [key] if isinstance(key, str) else list(key)
         self.buckets = buckets
+        self.rows_per_bucket = rows_per_bucket
 
     def _bucket(self, buckets: int) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(buckets)).cast("int")
 
+    def _buckets_now(self, entries: Sequence) -> int:
+        """How many buckets the next version has. Rows are counted from the files' footers."""
+        buckets = entries[0]["buckets"] if entries else self.buckets
+        if entries and self.rows_per_bucket:
+            rows = self._load([e["directory"] for e in entries]).count()
+            while rows > buckets * self.rows_per_bucket:
+                buckets *= 2
+        return buckets
+
     def check_key(self, batch: DataFrame) -> None:
         """Refuse a batch in which a key is NULL or occurs twice."""
         found = key_summary(batch, self.key).first()
@@ -248,7 +265,8 @@ class KeyedTable(VersionedTable):
         """
         entries = self._entries()
         version = max((e["version"] for e in entries), default=0) + 1
-        buckets = entries[0]["buckets"] if entries else self.buckets
+        buckets = self._buckets_now(entries)
+        split = bool(entries) and buckets > entries[0]["buckets"]
 
         floats = [n for n, t in source.dtypes if t in ("float", "double")]
         clean = source.withColumns({n: nan_to_null(n) for n in floats}) if floats else source
@@ -265,17 +283,20 @@ class KeyedTable(VersionedTable):
         (check or self.check_key)(batch.drop("bucket"))
 
         touched = {r["bucket"]: r["count"] for r in batch.groupBy("bucket").count().collect()}
-        old = {e["bucket"]: e["directory"] for e in entries if e["bucket"] in touched}
+        old = {e["bucket"]: e["directory"] for e in entries if split or e["bucket"] in touched}
         if old or partial:
             rows = self._load(old.values()) if old else self.spark.createDataFrame([], stored)
             before = rows.withColumn("bucket", self._bucket(buckets))
-            again = batch if partial else batch.where(F.col("bucket").isin(*old))
+            again = batch if partial or split else batch.where(F.col("bucket").isin(*old))
             self._write_buckets(upsert_by_key(before, again, self.key), f"data/version={version}")
 
         # Buckets that held nothing yet are the batch's own files; the rest were merged.
         now = {e["bucket"]: e["directory"] for e in entries}
+        if split:
+            written = self.spark.read.parquet(f"{self.root}/data/version={version}")
+            now = {r["bucket"]: f"data/version={version}/bucket={r['bucket']}" for r in written.select("bucket").distinct().collect()}
         for b in touched:
-            merged = b in old or partial
+            merged = b in old or partial or split
             now[b] = f"{f'data/version={version}' if merged else incoming}/bucket={b}"
         held = [(version, d, b, buckets, None, None) for b, d in sorted(now.items())]
         taken = [(_INCOMING, "part" if partial else _WHOLE), *consumed]

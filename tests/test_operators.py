@@ -7,7 +7,15 @@ from ledgerlake.contracts import Field, ForeignKey, TableContract, sales_contrac
 from ledgerlake.operators import joins
 from ledgerlake.operators.batches import add_audit_columns, latest_batch
 from ledgerlake.operators.dedup import dedup_by_completeness, dedup_report, duplicate_keys
-from ledgerlake.operators.profiling import WHOLE_NUMBER, profile_castability, uncastable_rows
+from ledgerlake.operators.profiling import (
+    LG_K,
+    WHOLE_NUMBER,
+    column_lengths,
+    combined,
+    profile_castability,
+    profile_columns,
+    uncastable_rows,
+)
 from ledgerlake.operators.quality import dq_gate, enforce_contract, key_summary, raise_on_fail
 from ledgerlake.operators.ranking import rank_top1_per_group
 from ledgerlake.operators.upsert import upsert_by_key
@@ -259,6 +267,33 @@ def test_profiles(spark):
     assert uncastable_rows(df, patterns, blank_allowed=True).count() == 2
 
 
+def test_profile_of_many_columns_is_one_scan(spark, folder):
+    texts = [("1", "x"), ("22", ""), (None, "x"), ("a", "x"), ("22", "x"), ("7", None)]
+    spark.createDataFrame(texts, "n string, m string").write.parquet(folder + "/t")
+    df = spark.read.parquet(folder + "/t")
+    want = {
+        "n": (6, 5, 4, 4, 1, 22, [(1, 3), (2, 2)]),
+        "m": (6, 4, 2, 2, None, None, [(0, 1), (1, 4)]),
+    }
+    for exact in (True, False):
+        got = profile_columns(df, ["n", "m"], exact)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+        for r in got.collect():
+            row = (r.total, r.filled, r.distinct_values if exact else want[r.column_name][2])
+            rest = (r.distinct_estimate, r.smallest, r.largest, [tuple(e) for e in r.lengths])
+            assert row + rest == want[r.column_name]
+    assert profile_columns(df.where("n = 'none'"), ["n", "m"]).collect() == []
+
+
+def test_estimates_of_distinct_values(spark):
+    """Within four standard errors, also of two batches that overlap."""
+    first, second = spark.range(60_000), spark.range(30_000, 100_000)
+    parts = [column_lengths(d, ["id"], exact=False) for d in (first, second)]
+    found = combined(parts[0].unionByName(parts[1])).first()
+    assert found.total == 130_000 and found.distinct_values is None
+    assert abs(found.distinct_estimate - 100_000) < 4 * 0.83 / 2 ** (LG_K / 2) * 100_000
+
+
 @pytest.mark.parametrize(
     "a, b",
     [("decimal(18,2)", "decimal(18,4)"), ("bigint", "decimal(18,2)"), ("double", "bigint"), ("double", "double")],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.sources import csv, files, jdbc
 from ledgerlake.sources.scratch import new_folder, shared_folder
-from ledgerlake.sources.tables import BatchTable, KeyedTable, VersionedTable
+from ledgerlake.sources.tables import BatchTable, BucketSummary, KeyedTable, VersionedTable
 
 
 def rows(df):
@@ -253,6 +253,37 @@ def test_merge_rewrites_only_touched_buckets(spark, folder):
     assert table.read().count() == 100
 
 
+def test_buckets_double_as_the_table_grows(spark, folder):
+    rng = random.Random(3)
+    table, model, counts = KeyedTable(spark, f"{folder}/t", "k", buckets=2, rows_per_bucket=20), {}, []
+    for size in (15, 40, 1, 60, 200, 5, 0):
+        batch = {rng.randrange(400): rng.random() for _ in range(size)}
+        table.merge(spark.createDataFrame(list(batch.items()), "k int, v double"))
+        model.update(batch)
+        counts.append(table._entries()[0]["buckets"])
+        assert rows(table.read()) == sorted(model.items(), key=str)
+        assert rows(table.latest_batch()) == sorted(batch.items(), key=str)
+        # Each key is in the bucket that its hash names.
+        wanted = list(model)[:2]
+        held = table.holding(spark.createDataFrame([(k,) for k in wanted], "k int"))
+        assert set(wanted) <= {r.k for r in held.collect()}
+        assert held.inputFiles() and len({f.rsplit("/", 1)[0] for f in held.inputFiles()}) <= 2
+    assert counts == sorted(counts) and counts[0] == 2 and counts[-1] >= 8
+    wide = KeyedTable(spark, f"{folder}/t", "k", rows_per_bucket=3)
+    wide.merge(spark.createDataFrame([(k,) for k in list(model)[:3]], "k int"))
+    assert wide._entries()[0]["buckets"] > counts[-1]
+    assert rows(wide.read()) == sorted(model.items(), key=str)
+
+
+def test_a_summary_follows_a_split(spark, folder):
+    table = KeyedTable(spark, f"{folder}/t", "k", buckets=2, rows_per_bucket=10)
+    sums = BucketSummary(table, f"{folder}/s", lambda df, by: df.groupBy(*by).agg(F.sum("v").alias("v")))
+    for start in (0, 50, 90):
+        table.merge(spark.range(start, start + 60).selectExpr("id AS k", "id AS v"))
+        assert sums.refresh().agg(F.sum("v")).first()[0] == sum(range(start + 60))
+    assert table._entries()[0]["buckets"] > 2
+
+
 def test_empty_batch_changes_no_row(spark, folder):
     table = KeyedTable(spark, f"{folder}/t", "k", buckets=3)
     table.merge(spark.createDataFrame([(1, "a")], "k int, v string"))
