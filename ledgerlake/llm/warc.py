@@ -7,7 +7,10 @@ becomes a revisit, which has no body and names that page.
 
 from __future__ import annotations
 
-import gzip
+import base64
+import re
+import zlib
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +32,7 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _END = "\r\n\r\n"
+_NUMBER, _SHORT = re.compile("[0-9]{1,18}"), re.compile("[0-9]{1,9}")
 
 
 def _text(data: Column) -> Column:
@@ -135,46 +139,103 @@ def write(found: DataFrame, path: str) -> None:
     sink.option("compression", "gzip").text(path)
 
 
+def unzipped(content: bytes) -> tuple[bytes, bool]:
+    """The bytes of all gzip members, as far as they can be read, and whether that is to the end."""
+    out, rest = [], content
+    while rest:
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(rest))
+        except zlib.error:
+            return b"".join(out), False
+        if not member.eof:
+            return b"".join(out), False
+        rest = member.unused_data
+    return b"".join(out), True
+
+
 def parse(content: bytes):
-    """(header fields in lower case, block) of each record of a file."""
+    """(header fields in lower case, block, what is wrong) of each record of a file.
+
+    Of a record that cannot be read, the bytes up to the next line that starts one are the block."""
     at = 0
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        version, *lines = content[at:end].decode("utf-8", "replace").split("\r\n")
-        if version != VERSION:
-            raise ValueError(f"no {VERSION} record at byte {at}")
+        end = content.find(_END.encode(), at)
+        version, *lines = content[at : max(at, end)].decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        size = int(fields["content-length"])
-        yield fields, content[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        size = fields.get("content-length", "")
+        start = end + 4
+        stop = start + int(size) if _NUMBER.fullmatch(size) else -1
+        wrong = None
+        if version != VERSION:
+            wrong = "version"
+        elif stop < 0:
+            wrong = "content-length"
+        elif "warc-type" not in fields or "warc-record-id" not in fields:
+            wrong = "fields"
+        elif not _SHORT.fullmatch(fields.get("warc-segment-number", "0")):
+            wrong = "segment"
+        elif not _NUMBER.fullmatch(fields.get("warc-segment-total-length", "0")):
+            wrong = "segment"
+        elif content[stop : stop + 4] != _END.encode():
+            wrong = "length"
+        if not wrong:
+            yield fields, content[start:stop], None
+            at = stop + 4
+            continue
+        following = content.find(b"\r\n" + VERSION.encode() + b"\r\n", at + 1)
+        following = len(content) if following < 0 else following + 2
+        yield fields, content[at:following], wrong
+        at = following
+
+
+def _sha1_of(stated: str) -> str | None:
+    """A stated SHA-1 in lower-case hex digits; it may be in base 32. None for other digests."""
+    kind, _, value = stated.partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if len(value) == 32:
+        try:
+            return base64.b32decode(value, casefold=True).hex()
+        except ValueError:
+            return None
+    return value.lower() if len(value) == 40 else None
 
 
 READ = (
-    "type string, name string, origin string, segment int, total long, digest string, refers_to string, block binary"
+    "type string, name string, origin string, segment int, total long, digest string, refers_to string, "
+    "block binary, wrong string"
 )
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archive files below ``path``, each as a row."""
+    """The records of all archive files below ``path``, each as a row.
+
+    What cannot be read is a row of type ``broken``, whose ``wrong`` says why (version, content-length,
+    fields, segment, length, or gzip for a file that is cut off or damaged); the records around it are
+    there."""
 
     def run(batches):
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        names = ["type", "name", "origin", "segment", "total", "digest", "refers_to", "block"]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+        names = ["type", "name", "origin", "segment", "total", "digest", "refers_to", "block", "wrong"]
         for batch in batches:
-            for content in batch.column(0):
+            for packed in batch.column(0):
                 out = [[] for _ in names]
-                for fields, block in parse(gzip.decompress(content.as_py())):
-                    name = fields["warc-record-id"].strip("<>")
-                    total = fields.get("warc-segment-total-length")
+                content, complete = unzipped(packed.as_py())
+                found = parse(content) if complete else chain(parse(content), [({}, b"", "gzip")])
+                for fields, block, wrong in found:
+                    name = fields.get("warc-record-id", "").strip("<>")
+                    total = None if wrong else fields.get("warc-segment-total-length")
                     row = (
-                        fields["warc-type"],
-                        name,
-                        fields.get("warc-segment-origin-id", name).strip("<>"),
-                        int(fields.get("warc-segment-number", 0)),
+                        "broken" if wrong else fields["warc-type"],
+                        name or None,
+                        fields.get("warc-segment-origin-id", name).strip("<>") or None,
+                        0 if wrong else int(fields.get("warc-segment-number", 0)),
                         int(total) if total else None,
-                        fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+                        _sha1_of(fields.get("warc-payload-digest", "")),
                         fields.get("warc-refers-to", "").strip("<>") or None,
                         block,
+                        wrong,
                     )
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
@@ -226,15 +287,20 @@ def dechunked(block: bytes) -> bytes | None:
 
 
 def payloads(responses: DataFrame) -> DataFrame:
-    """``name``, ``payload`` (NULL where segments or framing are broken) of each response."""
+    """``name``, ``payload`` (NULL where segments or framing are broken, or where its SHA-1 is not the stated
+    one) of each response."""
 
     def run(batches):
         for batch in batches:
             blocks, whole = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             found = [dechunked(b) if w else None for b, w in zip(blocks, whole, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["name", "payload"])
+            columns = [batch.column(0), pa.array(found, pa.binary()), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "payload", "digest"])
 
-    return responses.select("name", "block", "whole").mapInArrow(run, "name string, payload binary")
+    schema = "name string, payload binary, digest string"
+    found = responses.select("name", "block", "whole", "digest").mapInArrow(run, schema)
+    sound = F.col("digest").isNull() | (F.col("digest") == F.sha1("payload"))
+    return found.select("name", F.when(sound, F.col("payload")).alias("payload"))
 
 
 def round_trip(
