@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,9 @@ _KNOWN, _STEP, _LINES = 400_000, 1 << 21, 500
 _CUTTABLE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _BLANK = re.compile(r" (?<=\S )")
 #: Latin letters, a sign, and the rest. An apostrophe may go with letters; what else may is left whole.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?].*)", re.DOTALL)
+_WORD = r"(?s)^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!\"#$%&()*+,\-./:;<=>?].*)$"
+#: What `str.isspace` says of the last character, or no character.
+_SPACE = r"(?s)^$|[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]$"
 
 
 def vocabulary_file(name: str = VOCABULARY) -> str:
@@ -88,45 +91,80 @@ class Encoder:
         out.update(zip(others, self._encoded([" " + w for w in others]), strict=True))
         return [out[w] for w in words]
 
-    def _new(self, parts: list[str]) -> dict[str, bytes]:
-        """Parts that are not known: words among them once, however many signs follow them."""
-        cut = {p: m.groups() if (m := _WORD.match(p)) else (p, "") for p in parts}
-        words = list({w for w, _ in cut.values() if w not in self.known})
-        signs = list({s for _, s in cut.values() if s not in self.signs})
-        if len(self.signs) > _KNOWN:
-            self.signs.clear()
-            signs = list({s for _, s in cut.values()})
-        self.signs.update(zip(signs, self._encoded(signs), strict=True))
-        found = dict(zip(words, self._words(words), strict=True))
-        whole = {p: (found.get(w) or self.known[w]) + self.signs[s] for p, (w, s) in cut.items()}
-        return found | whole
+    def _known(self, parts: list[str], known: dict[str, bytes], encoded) -> list[bytes]:
+        """Ids of different parts, of which as many are remembered as there is room for."""
+        missing = [p for p in parts if p not in known]
+        if 2 * len(missing) > len(parts) and len(known) + len(missing) > _KNOWN:
+            # Other text than before.
+            known.clear()
+            missing = parts
+        known.update(zip(missing, encoded(missing), strict=True))
+        out = list(map(known.__getitem__, parts))
+        if len(known) > _KNOWN:
+            for p in missing:
+                del known[p]
+        return out
+
+    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids per text), without ends."""
+        if not self.cuttable:
+            found = self._encoded([t or "" for t in texts])
+            sizes = np.array([len(f) // 4 for f in found], np.int64)
+            return np.frombuffer(b"".join(found), np.uint32), sizes
+        slices = [(i, s) for i, t in enumerate(texts) if t for s in _slices(t)]
+        if not slices:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        firsts, begins, parts = _parted([s for _, s in slices])
+        kinds = parts.dictionary_encode()
+        words, signs = (x.dictionary_encode() for x in _cut(kinds.dictionary))
+        first = self._encoded(firsts)
+        word = self._known(words.dictionary.to_pylist(), self.known, self._words)
+        sign = self._known(signs.dictionary.to_pylist(), self.signs, self._encoded)
+        own = [*first, *word, *sign, b""]
+        lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts, held = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(own), np.uint32)
+        # Places in ``own`` of the two halves of each part; a first part has one.
+        halves = np.empty((len(firsts) + len(parts), 2), np.int64)
+        is_first = np.zeros(len(halves), bool)
+        is_first[begins] = True
+        halves[is_first] = np.stack([np.arange(len(first)), np.full(len(first), len(own) - 1)], axis=1)
+        both = np.stack([words.indices.to_numpy(), signs.indices.to_numpy() + len(word)], axis=1) + len(first)
+        halves[~is_first] = both[kinds.indices.to_numpy()]
+        codes = halves.ravel()
+        n = lengths[codes]
+        ends = np.cumsum(n)
+        values = held[np.arange(ends[-1]) + np.repeat(starts[codes] - ends + n, n)]
+        per_slice = np.add.reduceat(n, 2 * begins)
+        sizes = np.zeros(len(texts), np.int64)
+        np.add.at(sizes, [i for i, _ in slices], per_slice)
+        return values, sizes
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as unsigned 32-bit integers, without the end."""
-        if not self.cuttable:
-            return self._encoded([t or "" for t in texts])
-        slices = [(i, s) for i, t in enumerate(texts) for s in _slices(t or "")]
-        cut = [s.split(" ") for _, s in slices]
-        wanted = set().union(*cut)
-        if any(not p or p[-1].isspace() for p in wanted):
-            # Blanks that may follow white space: those do not cut.
-            cut = [_BLANK.split(s) for _, s in slices]
-            wanted = set().union(*[parts[1:] for parts in cut])
-        firsts = self._encoded([parts[0] for parts in cut])
-        missing = [p for p in wanted if p not in self.known]
-        if 2 * len(missing) > len(wanted) and len(self.known) + len(missing) > _KNOWN:
-            # Other text than before.
-            self.known.clear()
-            missing = list(wanted)
-        new = self._new(missing)
-        self.known.update(new)
-        out = [b""] * len(texts)
-        for (i, _), first, (_, *others) in zip(slices, firsts, cut, strict=True):
-            out[i] += first + b"".join(map(self.known.__getitem__, others))
-        if len(self.known) > _KNOWN:
-            for p in new:
-                del self.known[p]
-        return out
+        values, sizes = self.flat(texts)
+        raw, ends = values.tobytes(), 4 * np.cumsum(sizes)
+        return [raw[a:b] for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def _cut(parts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(letters, sign and what follows it) of each part; one of another form is left whole."""
+    found = pc.extract_regex(parts, _WORD)
+    return pc.coalesce(pc.struct_field(found, 0), parts), pc.fill_null(pc.struct_field(found, 1), "")
+
+
+def _parted(slices: list[str]) -> tuple[list[str], np.ndarray, pa.Array]:
+    """(first part of each slice, its place among all parts, all other parts): slices cut before
+    blanks, which the parts do not show."""
+    cut = pc.split_pattern(pa.array(slices, pa.large_string()), " ")
+    parts, begins = cut.values, cut.offsets.to_numpy()[:-1].astype(np.int64)
+    # Blanks next to white space do not cut: such slices are few, but their run is cut anew.
+    if pc.any(pc.match_substring_regex(parts, _SPACE)).as_py():
+        found = [_BLANK.split(s) for s in slices]
+        begins = np.cumsum([0, *[len(f) for f in found[:-1]]])
+        parts = pa.array([p for f in found for p in f], pa.large_string())
+    rest = np.ones(len(parts), bool)
+    rest[begins] = False
+    return parts.take(pa.array(begins)).to_pylist(), begins, parts.filter(pa.array(rest))
 
 
 def _slices(text: str) -> Iterator[str]:
@@ -170,17 +208,17 @@ def write(
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     ranged = named.repartitionByRange(_shards(size, shard), *order).sortWithinPartitions(*order, "text")
     placed = ranged.select("id", F.spark_partition_id().alias("shard"), "text")
-    last = array("I", [] if end is None else [end]).tobytes()
 
     def run(batches):
         encoder, before = _encoder(definition), 0
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for chosen in together(texts, _STEP):
-                found = [ids + last for ids in encoder.encode([texts[i] for i in chosen])]
-                sizes = np.array([len(f) // 4 for f in found], np.int64)
+                ids, sizes = encoder.flat([texts[i] for i in chosen])
+                if end is not None:
+                    ids, sizes = np.insert(ids, np.cumsum(sizes), np.uint32(end)), sizes + 1
                 ends = np.cumsum(sizes)
-                values = pa.array(np.frombuffer(b"".join(found), np.int32))
+                values = pa.array(ids.view(np.int32))
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 part = batch.slice(chosen[0], len(chosen))
                 yield pa.RecordBatch.from_arrays(
