@@ -99,11 +99,15 @@ def _pseudo_inverse(matrix: list[list[float]]) -> np.ndarray:
 
 
 def _rate(steps: list[list[float]]) -> Column:
-    rate = F.lit(1.0)
-    for step in steps:
-        pull = sum((F.get("p", F.lit(d)) * x for d, x in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - pull)
-    return rate
+    """The rate after all steps; the expression does not grow with their number."""
+    if not steps:
+        return F.lit(1.0)
+
+    def after(rate: Column, step: Column) -> Column:
+        pull = sum((F.get("p", F.lit(d)) * F.get(step, F.lit(d)) for d in range(len(steps[0]))), F.lit(0.0))
+        return F.greatest(F.lit(0.0), rate - pull)
+
+    return F.aggregate(F.array(*[F.array(*map(F.lit, step)) for step in steps]), F.lit(1.0), after)
 
 
 def fit(members: DataFrame, targets: list[float], most: int = STEPS, close: float = TOLERANCE):
@@ -114,9 +118,11 @@ def fit(members: DataFrame, targets: list[float], most: int = STEPS, close: floa
     G = sum(n p p') / N. A step takes p' G+ (A r - t) from each rate and lifts negative ones to zero, G+
     the pseudo-inverse: the gradient of the residual's square in the norm of G+, documents weighted by
     their tokens, for which step length 1 is the inverse of the Lipschitz constant. So the square never
-    grows, however alike the chances of two domains are; the descent ends when it hardly shrinks."""
+    grows, however alike the chances of two domains are; the descent ends when it hardly shrinks.
+    Documents of equal chances have equal rates, so the steps read one row for all of them."""
     size = range(len(targets))
     p = [F.get("p", F.lit(d)) for d in size]
+    members = written(members.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "chances")
     gram = [F.sum(F.col("n_tokens") * p[i] * p[j]) for i in size for j in size if j <= i]
     first = members.agg(F.sum("n_tokens"), *gram).first()
     tokens = first[0] or 0

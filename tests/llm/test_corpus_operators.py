@@ -499,6 +499,20 @@ def test_domains_that_cannot_be_told_apart_do_not_break_the_descent(spark, split
     assert 0.04 < residual < 0.06 and max(rates(members(spark, chances), steps)) < 5
 
 
+def test_rates_after_many_steps(spark):
+    rng = random.Random(6)
+    steps = [[rng.uniform(-0.2, 0.2) for _ in range(3)] for _ in range(40)]
+    chances = [[a, b * (1 - a), (1 - b) * (1 - a)] for a, b in ((rng.random(), rng.random()) for _ in range(30))]
+    want = []
+    for p in chances:
+        rate = 1.0
+        for step in steps:
+            rate = max(0.0, rate - sum(a * b for a, b in zip(p, step, strict=True)))
+        want.append(rate)
+    assert rates(members(spark, chances), steps) == pytest.approx(want)
+    assert rates(members(spark, chances), []) == [1.0] * 30
+
+
 def test_targets_out_of_reach_are_met_as_nearly_as_can_be(spark):
     """Alike documents can only be scaled; no document has enough of a domain; one domain is empty."""
     steps, residual = mixing.fit(members(spark, [[0.7, 0.2, 0.1]] * 20), [0.85, 0.1, 0.05])
