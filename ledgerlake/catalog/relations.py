@@ -8,12 +8,15 @@ from ledgerlake.catalog.registry import query
 from ledgerlake.catalog.views import BATCH_TS, RULES, given, product_feed, view
 from ledgerlake.contracts import sales_contracts
 from ledgerlake.functions.enrich import exact_average
+from ledgerlake.functions.typing import typed
 from ledgerlake.operators.batches import latest_batch
 from ledgerlake.operators.dedup import dedup_by_completeness, dedup_report, duplicate_keys
 from ledgerlake.operators.joins import anti_join_orphans, fk_violations, hot_keys, join_on_key
 from ledgerlake.operators.ranking import rank_top1_per_group
 from ledgerlake.operators.upsert import upsert_by_key
 from ledgerlake.plans import analysis, publish, store
+from ledgerlake.sources.scratch import new_folder
+from ledgerlake.sources.tables import VersionedTable
 
 
 def published_orders(spark, folder):
@@ -315,7 +318,7 @@ def _(spark, folder):
 
 
 def flow_tables(spark, folder):
-    """Lines and products as the layers publish them."""
+    """Lines and products as the layers publish them. The lines, which are read again and again, are written down."""
     product = store.store_product(
         _named(product_feed(spark, folder)), _CONTRACTS["store_product_master"], BATCH_TS
     )
@@ -325,7 +328,12 @@ def flow_tables(spark, folder):
     detail = store.store_detail(
         _named(view(spark, folder, "detail_text")), _CONTRACTS["store_sales_order_detail"], BATCH_TS
     )
-    lines = publish.publish_orders(detail, header, BATCH_TS, hot_keys(detail, "sales_order_id"))
+    # Where rows go is all that these steer: they are taken before the lines are moved to find repeated ones.
+    orders = view(spark, folder, "detail_text").select(typed("SalesOrderID", "bigint").alias("sales_order_id"))
+    lines = publish.publish_orders(detail, header, BATCH_TS, hot_keys(orders, "sales_order_id"))
+    published = VersionedTable(spark, new_folder(spark, "published"))
+    published.replace(lines)
+    lines = published.read()
     return lines, publish.publish_product(product, BATCH_TS, RULES)
 
 

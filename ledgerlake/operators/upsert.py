@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def untouched(target: DataFrame, source: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """Target rows whose key is not in ``source``: what a merge keeps as it is."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    typed = source.select(*[F.col(k).cast(target.schema[k].dataType).alias(k) for k in keys])
+    return target.join(typed, keys, "left_anti").select(*target.columns)
+
+
 def upsert_by_key(target: DataFrame, source: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """Target rows whose key is not in ``source``, plus the rows of ``source``.
 
@@ -22,7 +29,7 @@ def upsert_by_key(target: DataFrame, source: DataFrame, keys: str | Sequence[str
         raise ValueError(f"columns unknown to the target: {', '.join(unknown)}")
     absent = [c for c in target.columns if c not in source.columns]
     typed = source.select(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in source.columns])
-    untouched = target.join(typed.select(*keys), keys, "left_anti")
+    kept = untouched(target, source, keys)
     if absent:
         typed = typed.join(target.select(*keys, *absent), keys, "left")
-    return untouched.select(*target.columns).unionByName(typed.select(*target.columns))
+    return kept.unionByName(typed.select(*target.columns))

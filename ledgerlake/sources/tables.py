@@ -21,7 +21,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ledgerlake.functions.typing import nan_to_null
 from ledgerlake.operators.quality import key_summary
-from ledgerlake.operators.upsert import upsert_by_key
+from ledgerlake.operators.upsert import untouched, upsert_by_key
 
 # A row names a directory of the version or, with ``source``, an entry that it took in.
 _VERSIONS = (
@@ -29,6 +29,11 @@ _VERSIONS = (
 )
 # The source of the row that says whether a version's batch had all columns.
 _INCOMING, _WHOLE = "incoming", "whole"
+#: Up to so many buckets, a task writes its rows of each to a file of its own; for more, rows are dealt
+#: out by bucket first, so that files do not become many and small.
+_FEW_BUCKETS = 8
+#: How files are compressed: half the bytes of Spark's default for rows of these tables.
+COMPRESSION = "zstd"
 
 
 def _rows_or_none(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
@@ -57,10 +62,18 @@ def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
 
 def _write_counted(df: DataFrame, path: str) -> int:
     rows, seen = counted(df)
-    rows.write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").parquet(path, compression=COMPRESSION)
     return seen.get["rows"]
 
 
+def write_buckets(df: DataFrame, path: str, buckets: int) -> None:
+    """A directory per value of ``bucket``, of which there are ``buckets`` at most."""
+    if buckets > _FEW_BUCKETS:
+        # Even-sized output files: small buckets share a task, a large one is split.
+        df = df.hint("rebalance", F.col("bucket"))
+    df.write.mode("overwrite").partitionBy("bucket").parquet(path, compression=COMPRESSION)
+
+
 class BatchTable:
     """An append-only table: a directory per batch and attempt, and a log of the finished ones with
     their columns. A batch may add columns or lack some; readers have the columns of all."""
@@ -162,7 +175,8 @@ class VersionedTable:
         return _rows_or_none(self.spark, _VERSIONS, f"{self.root}/versions")
 
     def _entries(self) -> list:
-        """Directories of the current version; their number is the number of buckets."""
+        """Directories of the current version. A bucket that a merge touched has two at most: the batch's rows
+        and those that the batch left alone."""
         versions = self._versions()
         if versions is None:
             return []
@@ -278,37 +292,36 @@ class KeyedTable(VersionedTable):
         partial = len(clean.columns) < len(stored.names)
         staged = clean.withColumn("bucket", self._bucket(buckets))
         incoming = f"incoming/version={version}"
-        self._write_buckets(staged, incoming)
+        write_buckets(staged, f"{self.root}/{incoming}", buckets)
         batch = self.spark.read.schema(staged.schema).parquet(f"{self.root}/{incoming}")
         (check or self.check_key)(batch.drop("bucket"))
 
         touched = {r["bucket"]: r["count"] for r in batch.groupBy("bucket").count().collect()}
-        old = {e["bucket"]: e["directory"] for e in entries if split or e["bucket"] in touched}
+        old = [e for e in entries if split or e["bucket"] in touched]
+        now: dict[int, list[str]] = {}
+        for e in entries:
+            if not split and e["bucket"] not in touched:
+                now.setdefault(e["bucket"], []).append(e["directory"])
+        whole = partial or split
+        if not whole:
+            # The batch's own files are its buckets' new rows; only what they do not replace is written.
+            now |= {b: [f"{incoming}/bucket={b}"] for b in touched}
         if old or partial:
-            rows = self._load(old.values()) if old else self.spark.createDataFrame([], stored)
+            rows = self._load([e["directory"] for e in old]) if old else self.spark.createDataFrame([], stored)
             before = rows.withColumn("bucket", self._bucket(buckets))
-            again = batch if partial or split else batch.where(F.col("bucket").isin(*old))
-            self._write_buckets(upsert_by_key(before, again, self.key), f"data/version={version}")
-
-        # Buckets that held nothing yet are the batch's own files; the rest were merged.
-        now = {e["bucket"]: e["directory"] for e in entries}
-        if split:
-            written = self.spark.read.parquet(f"{self.root}/data/version={version}")
-            now = {r["bucket"]: f"data/version={version}/bucket={r['bucket']}" for r in written.select("bucket").distinct().collect()}
-        for b in touched:
-            merged = b in old or partial or split
-            now[b] = f"{f'data/version={version}' if merged else incoming}/bucket={b}"
-        held = [(version, d, b, buckets, None, None) for b, d in sorted(now.items())]
+            kept = upsert_by_key(before, batch, self.key) if whole else untouched(before, batch, self.key)
+            written = f"data/version={version}"
+            write_buckets(kept, f"{self.root}/{written}", buckets)
+            found = self.spark.read.schema(before.schema).parquet(f"{self.root}/{written}").select("bucket")
+            for r in found.distinct().collect():
+                now.setdefault(r["bucket"], []).append(f"{written}/bucket={r['bucket']}")
+
+        held = [(version, d, b, buckets, None, None) for b, ds in sorted(now.items()) for d in ds]
         taken = [(_INCOMING, "part" if partial else _WHOLE), *consumed]
         self._commit([*held, *[(version, None, None, None, *t) for t in taken]])
         rows = sum(touched.values())
         return {"version": version, "rows": rows, "touched_buckets": len(touched)}
 
-    def _write_buckets(self, df: DataFrame, directory: str) -> None:
-        # Even-sized output files: small buckets share a task, a large one is split.
-        evened = df.hint("rebalance", F.col("bucket"))
-        evened.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{directory}")
-
     def versions(self) -> list[int]:
         """Numbers of all versions that hold rows, oldest first."""
         versions = self._versions()
@@ -365,8 +378,8 @@ class KeyedTable(VersionedTable):
 class BucketSummary(VersionedTable):
     """What a function makes of each bucket of a `KeyedTable`, kept up to date bucket by bucket.
 
-    Each entry records the directory of the source's bucket that it was made of. A merge gives every
-    bucket it touches a new directory, so what is out of date shows by itself, after any number of
+    Each entry records the directories of the source's bucket that it was made of. A merge gives every
+    bucket it touches new directories, so what is out of date shows by itself, after any number of
     merges and after a run that died; rows that a merge replaced are gone with their bucket's old
     summary."""
 
@@ -375,10 +388,12 @@ class BucketSummary(VersionedTable):
         self.source, self.build = source, build
 
     def stale(self) -> dict[int, str]:
-        """Buckets of the source that are not summed up yet, with their directories."""
+        """Buckets of the source that are not summed up yet, with their directories, separated by blanks."""
         known = {e["bucket"]: e["entry"] for e in self._entries()}
-        now = {e["bucket"]: e["directory"] for e in self.source._entries()}
-        return {b: d for b, d in now.items() if known.get(b) != d}
+        now: dict[int, list[str]] = {}
+        for e in self.source._entries():
+            now.setdefault(e["bucket"], []).append(e["directory"])
+        return {b: made for b, ds in now.items() if known.get(b) != (made := " ".join(sorted(ds)))}
 
     def stale_rows(self) -> DataFrame | None:
         """The rows to be read for the next refresh, with their ``bucket``."""
@@ -386,15 +401,16 @@ class BucketSummary(VersionedTable):
         if not due:
             return None
         buckets = self.source._entries()[0]["buckets"]
-        return self.source._load(due.values()).withColumn("bucket", self.source._bucket(buckets))
+        directories = [d for made in due.values() for d in made.split(" ")]
+        return self.source._load(directories).withColumn("bucket", self.source._bucket(buckets))
 
     def refresh(self) -> DataFrame:
         """Sum up the buckets that changed, and no others; the summaries of all."""
         due, rows = self.stale(), self.stale_rows()
         if rows is not None:
             version = self.version + 1
-            made = self.build(rows, ["bucket"]).hint("rebalance", F.col("bucket"))
-            made.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/version={version}")
+            buckets = self.source._entries()[0]["buckets"]
+            write_buckets(self.build(rows, ["bucket"]), f"{self.root}/data/version={version}", buckets)
             kept = [e for e in self._entries() if e["bucket"] not in due]
             same = [(version, e["directory"], e["bucket"], None, None, e["entry"]) for e in kept]
             new = [(version, f"data/version={version}/bucket={b}", b, None, None, d) for b, d in due.items()]

@@ -112,6 +112,35 @@ def test_a_summary_reads_only_buckets_that_changed(spark, folder):
     same()
 
 
+def test_a_merge_writes_the_rows_it_replaces_once(spark, folder):
+    table = KeyedTable(spark, folder + "/t", "k", buckets=4)
+    sums = BucketSummary(table, folder + "/s", lambda df, by: df.groupBy(*by).agg(F.sum("v").alias("v")))
+
+    def same(expected):
+        assert {r.k: r.v for r in table.read().collect()} == expected
+        assert sums.refresh().agg(F.sum("v")).first()[0] == sum(expected.values())
+
+    table.merge(spark.range(100).selectExpr("id AS k", "id AS v"))
+    same({k: k for k in range(100)})
+    table.merge(spark.range(40, 110).selectExpr("id AS k", "-id AS v"))
+    assert spark.read.parquet(folder + "/t/data/version=2").count() == 40
+    same({k: k if k < 40 else -k for k in range(110)})
+    assert sorted(r.k for r in table.latest_batch().collect()) == list(range(40, 110))
+    assert table.rewritten().count() == 110
+    # Nothing of the table is left alone.
+    table.merge(spark.range(110).selectExpr("id AS k", "id * 2 AS v"))
+    same({k: 2 * k for k in range(110)})
+    table.merge(spark.createDataFrame([(7, 1)], "k bigint, v bigint"))
+    same({k: 1 if k == 7 else 2 * k for k in range(110)})
+    assert table.holding(spark.createDataFrame([(7,)], "k bigint")).where("k = 7").count() == 1
+
+
+def test_lines_of_the_flow_are_made_once(spark):
+    lines, _ = relations.flow_tables(spark, "/root/testdata/sf0.001")
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and lines.count() > 0
+
+
 def test_stored_sides_are_joined_without_an_exchange(spark, folder):
     tables = []
     for name, rows in (("a", 4000), ("b", 500)):
