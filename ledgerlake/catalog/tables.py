@@ -12,7 +12,7 @@ from ledgerlake.catalog import relations
 from ledgerlake.catalog.registry import query
 from ledgerlake.catalog.views import BATCH_TS, RULES, given, product_feed, view
 from ledgerlake.plans import analysis, publish, run
-from ledgerlake.sources.bucketed import BucketedTable, join_colocated
+from ledgerlake.sources.bucketed import BucketedTable, buckets_for, join_colocated
 from ledgerlake.sources.csv import csv_scan_raw
 from ledgerlake.sources.files import (
     changed_files,
@@ -157,10 +157,11 @@ def _(spark, folder):
 
 def _by_order(spark, folder):
     """Headers and lines, stored in equally many buckets of the order's key."""
-    tables = []
-    for name in ("header", "detail"):
-        table = BucketedTable(spark, new_folder(spark, name), "sales_order_id", buckets=8)
-        table.replace(view(spark, folder, name))
+    sides, tables = {name: view(spark, folder, name) for name in ("header", "detail")}, []
+    buckets = buckets_for(*sides.values(), least=8)
+    for name, side in sides.items():
+        table = BucketedTable(spark, new_folder(spark, name), "sales_order_id", buckets)
+        table.replace(side)
         tables.append(table)
     return tables
 

@@ -18,10 +18,24 @@ from ledgerlake.operators.joins import hot_keys, is_hot, join_on_key
 from ledgerlake.sources.tables import VersionedTable
 
 
+#: Rows of a bucket, about: what a task sorts at once. Spark takes no more buckets than _MOST_BUCKETS.
+ROWS_PER_BUCKET = 1_000_000
+_MOST_BUCKETS = 65_536
+
+
+def buckets_for(*tables: DataFrame, least: int = 16, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """How many buckets tables that are to be joined should all have: ``least``, doubled until the largest
+    table has no more than ``rows_per_bucket`` rows in the average bucket."""
+    rows, buckets = max(t.count() for t in tables), least
+    while rows > buckets * rows_per_bucket and buckets * 2 <= _MOST_BUCKETS:
+        buckets *= 2
+    return buckets
+
+
 class BucketedTable(VersionedTable):
     """A table that is replaced as a whole, kept in ``buckets`` buckets of ``key``, each sorted by it.
 
-    Choose ``buckets`` so that a bucket is a few gigabytes, alike for tables that are to be joined."""
+    A bucket is one task's work: choose ``buckets`` by `buckets_for`, alike for tables that are to be joined."""
 
     def __init__(self, spark: SparkSession, root: str, key: str | Sequence[str], buckets: int = 16):
         super().__init__(spark, root)

@@ -8,7 +8,7 @@ from ledgerlake.catalog import checks, relations
 from ledgerlake.contracts import Field, ForeignKey, TableContract
 from ledgerlake.operators.quality import capped_violations, enforce_contract
 from ledgerlake.plans import validation
-from ledgerlake.sources.bucketed import BucketedTable, join_colocated
+from ledgerlake.sources.bucketed import BucketedTable, buckets_for, join_colocated
 from ledgerlake.sources.tables import BatchTable, BucketSummary, KeyedTable, VersionedTable
 
 
@@ -166,6 +166,19 @@ def test_stored_sides_are_joined_without_an_exchange(spark, folder):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_buckets_grow_with_the_largest_side(spark, folder):
+    sides = [spark.range(n).selectExpr("id % 90 AS k", f"id AS v{n}") for n in (90, 1000)]
+    assert buckets_for(*sides, least=8) == 8
+    buckets = buckets_for(*sides, least=8, rows_per_bucket=40)
+    assert buckets == 32
+    tables = [BucketedTable(spark, f"{folder}/{n}", "k", buckets) for n in "ab"]
+    for table, side in zip(tables, sides):
+        table.replace(side)
+    joined = tables[1].read().join(tables[0].read().hint("merge"), "k")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and joined.count() == 1000 and joined.rdd.getNumPartitions() == 32
+
+
 def test_a_hot_key_does_not_stay_in_one_bucket(spark, folder):
     a, b = (BucketedTable(spark, f"{folder}/{n}", "k", buckets=16) for n in "ab")
     a.replace(spark.range(9000).selectExpr("IF(id < 6000, 7, id % 400) AS k", "id AS a"))
