@@ -108,7 +108,7 @@ def _(spark, folder):
 def _(spark, folder):
     path = new_folder(spark, "tokens")
     tokens.write(given(spark, folder, "documents"), path)
-    return tokens.digests(tokens.read(spark, path)).withColumnRenamed("id", "doc_id")
+    return tokens.write_digests(spark, path).withColumnRenamed("id", "doc_id")
 
 
 @query("op13_spelling_variants")

@@ -15,6 +15,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +35,8 @@ STRIPE, INDEX_ROWS = 8 << 20, 1000
 #: Parts of texts whose ids a process remembers; characters cut into parts at a time; words per text
 #: that is made of words.
 _KNOWN, _STEP, _LINES = 400_000, 1 << 21, 500
+#: Bytes of rows that go to a Python process at a time, and the setting that says so.
+_BATCH, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Of this kind are the vocabularies whose texts may be cut before a blank, see `Encoder`.
 _CUTTABLE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _BLANK = re.compile(r" (?<=\S )")
@@ -181,6 +184,21 @@ def _encoder(definition: str) -> Encoder:
     return Encoder(definition)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """What is run within hands Python few bytes at a time: ten thousand rows, which Spark counts by itself,
+    are tens of megabytes, held several times over by both sides of every task."""
+    before = spark.conf.get(_BATCH_BYTES, None)
+    spark.conf.set(_BATCH_BYTES, str(_BATCH))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_BYTES)
+        else:
+            spark.conf.set(_BATCH_BYTES, before)
+
+
 def _shards(size: int, shard: int) -> int:
     return min(MOST_SHARDS, max(1, -(-size // shard)))
 
@@ -243,7 +261,8 @@ def write(
         # A stripe may be full after a few long documents.
         "orc.rows.between.memory.checks": "200",
     }
-    placed.mapInArrow(run, schema).write.options(**options).orc(f"{path}/ids")
+    with _small_batches(spark):
+        placed.mapInArrow(run, schema).write.options(**options).orc(f"{path}/ids")
     held = spark.read.schema(schema).orc(f"{path}/ids")
     totals = held.groupBy("shard").agg(F.max(F.col("place") + F.col("n_tokens")).alias("total"))
     before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
@@ -273,10 +292,13 @@ def digests(rows: DataFrame) -> DataFrame:
     of rows with ``ids``."""
 
     def run(batches):
+        # Nothing is encoded any more: what the process remembers for it makes room.
+        _encoder.cache_clear()
         for batch in batches:
             found = batch.column(2)
-            values, at = found.values.to_numpy(zero_copy_only=False).astype("<u4"), found.offsets.to_numpy()
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            values = found.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
+            at = found.offsets.to_numpy()
+            sums = [zlib.crc32(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(sums, pa.int64())],
                 ["id", "start", "n_tokens", "ids_crc32"],
@@ -285,3 +307,10 @@ def digests(rows: DataFrame) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     chosen = rows.select("id", "start", "ids")
     return chosen.mapInArrow(run, f"id {kind}, start long, n_tokens long, ids_crc32 long")
+
+
+def write_digests(spark: SparkSession, path: str) -> DataFrame:
+    """`digests` of all documents at ``path``, written beside them and read from there."""
+    with _small_batches(spark):
+        digests(read(spark, path)).write.parquet(f"{path}/digests")
+    return spark.read.parquet(f"{path}/digests")

@@ -105,6 +105,30 @@ def test_files_have_stripes_and_a_reader_skips_what_it_can(spark, folder):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_python_is_handed_few_bytes_at_a_time(spark, folder, monkeypatch):
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 200).alias("text"))
+    seen, kind = spark.sparkContext.accumulator(0), type(docs)
+    plain_run = kind.mapInArrow
+
+    def watched(self, run, schema):
+        def counted(batches):
+            def each():
+                for batch in batches:
+                    seen.add(batch.nbytes > 2 * tokens._BATCH)
+                    yield batch
+
+            yield from run(each())
+
+        return plain_run(self, counted, schema)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    before = spark.conf.get(tokens._BATCH_BYTES)
+    tokens.write(docs.coalesce(1), folder + "/t")
+    assert tokens.write_digests(spark, folder + "/t").count() == 4_000
+    assert seen.value == 0
+    assert spark.conf.get(tokens._BATCH_BYTES) == before
+
+
 def test_no_documents(spark, folder):
     tokens.write(documents(spark, [(1, "a")]).limit(0), folder + "/t")
     assert tokens.digests(tokens.read(spark, folder + "/t")).collect() == []
