@@ -34,7 +34,7 @@ SHARD, MOST_SHARDS = 32 << 20, 1 << 16
 STRIPE, INDEX_ROWS = 8 << 20, 1000
 #: Parts of texts whose ids a process remembers; characters cut into parts at a time; words per text
 #: that is made of words.
-_KNOWN, _STEP, _LINES = 400_000, 1 << 21, 500
+_KNOWN, _STEP, _LINES = 1_000_000, 1 << 22, 100
 #: Bytes of rows that go to a Python process at a time, and the setting that says so.
 _BATCH, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Of this kind are the vocabularies whose texts may be cut before a blank, see `Encoder`.
@@ -121,8 +121,8 @@ class Encoder:
         kinds = parts.dictionary_encode()
         words, signs = (x.dictionary_encode() for x in _cut(kinds.dictionary))
         first = self._encoded(firsts)
-        word = self._known(words.dictionary.to_pylist(), self.known, self._words)
-        sign = self._known(signs.dictionary.to_pylist(), self.signs, self._encoded)
+        word = self._known(_strings(words.dictionary), self.known, self._words)
+        sign = self._known(_strings(signs.dictionary), self.signs, self._encoded)
         own = [*first, *word, *sign, b""]
         lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
         starts, held = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(own), np.uint32)
@@ -149,6 +149,11 @@ class Encoder:
         return [raw[a:b] for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist(), strict=True)]
 
 
+def _strings(texts: pa.Array) -> list[str | None]:
+    """As `to_pylist`, at a fraction of its time."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def _cut(parts: pa.Array) -> tuple[pa.Array, pa.Array]:
     """(letters, sign and what follows it) of each part; one of another form is left whole."""
     found = pc.extract_regex(parts, _WORD)
@@ -167,7 +172,7 @@ def _parted(slices: list[str]) -> tuple[list[str], np.ndarray, pa.Array]:
         parts = pa.array([p for f in found for p in f], pa.large_string())
     rest = np.ones(len(parts), bool)
     rest[begins] = False
-    return parts.take(pa.array(begins)).to_pylist(), begins, parts.filter(pa.array(rest))
+    return _strings(parts.take(pa.array(begins))), begins, parts.filter(pa.array(rest))
 
 
 def _slices(text: str) -> Iterator[str]:
@@ -230,7 +235,7 @@ def write(
     def run(batches):
         encoder, before = _encoder(definition), 0
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = _strings(batch.column(2))
             for chosen in together(texts, _STEP):
                 ids, sizes = encoder.flat([texts[i] for i in chosen])
                 if end is not None:
