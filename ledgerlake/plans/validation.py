@@ -80,15 +80,30 @@ def _measures(by_key: DataFrame, key: str, rules: Iterable[str]) -> DataFrame:
 
 
 def _by_key_and_other(
-    df: DataFrame, key: str, other: Sequence[str], rules: Mapping[str, Column], sums: Mapping[str, Column]
+    df: DataFrame,
+    key: str,
+    other: Sequence[str],
+    rules: Mapping[str, Column],
+    sums: Mapping[str, Column],
+    summed: Sequence[str] = (),
 ) -> DataFrame:
     """One scan grouped two ways: ``own`` marks the row with what concerns the key, with the columns
-    of `_measures`; the other rows have the number of rows and the sums per ``other``."""
-    hits = {name: F.count_if(c) for name, c in rules.items()}
-    grouped = df.groupingSets([[key], list(other)], key, *other).agg(
-        (F.grouping(key) == 0).alias("own"),
+    of `_measures`; the other rows have the number of rows and the sums per ``other``,
+    which are of the columns ``summed``."""
+    # Either kind of row carries what is asked of it alone: a sum per key, which nobody asks for, would be
+    # most of what is shuffled.
+    held = {c: df.schema[c].dataType for c in (key, *other)}
+    flags = {f"_{name}": F.coalesce(c, F.lit(False)) for name, c in rules.items()}
+    kinds = []
+    for own in (True, False):
+        names = [F.when(F.lit(own == (c == key)), F.col(c)).cast(t).alias(c) for c, t in held.items()]
+        hits = [(c if own else F.lit(False)).alias(name) for name, c in flags.items()]
+        values = [F.when(F.lit(not own), F.col(c)).alias(c) for c in summed]
+        kinds.append(F.struct(F.lit(own).alias("own"), *names, *hits, *values))
+    grouped = df.select(F.inline(F.array(*kinds))).groupBy("own", key, *other).agg(
         F.count("*").alias("n"),
-        *[c.alias(name) for name, c in (*hits.items(), *sums.items())],
+        *[F.count_if(F.col(f"_{name}")).alias(name) for name in rules],
+        *[c.alias(name) for name, c in sums.items()],
     )
     # All rows of the first kind meet in one group: each task folds its own into one row.
     null_key = F.when(F.col("own") & F.col(key).isNull(), F.col("n"))
@@ -96,7 +111,7 @@ def _by_key_and_other(
         _total(F.col("n")).alias("rows"),
         F.count_if(F.col("own") & (F.col("n") > 1)).alias("duplicate_keys"),
         _total(null_key).alias("null_keys"),
-        *[F.sum(name).alias(name) for name in (*hits, *sums)],
+        *[F.sum(name).alias(name) for name in (*rules, *sums)],
     )
 
 
@@ -176,7 +191,12 @@ def validation_report(
     detail = _kept(detail, "store_sales_order_detail")
     dated = tables["publish_orders"].withColumn("year", F.year("order_date"))
     lines = _by_key_and_other(
-        dated, KEYED["publish_orders"], ["product_id", "year"], rules["publish_orders"], line_measures()
+        dated,
+        KEYED["publish_orders"],
+        ["product_id", "year"],
+        rules["publish_orders"],
+        line_measures(),
+        ["total_line_extended_price", "lead_time_in_business_days"],
     )
     lines = _kept(lines, "publish_orders")
     measures = {

@@ -273,3 +273,17 @@ def test_the_report_of_empty_tables(spark):
     assert {r.check_name for r in report if r.status == "fail"} == {
         "not empty", "expected number of returns", "revenue by color and year", "lead time by category",
     }
+
+
+def test_lines_are_counted_two_ways_without_sums_per_key(spark):
+    rows = [(1, 7, 2.0, 5), (2, 7, 3.0, None), (2, None, None, 1), (None, 7, 1.0, 1)]
+    df = spark.createDataFrame(rows, "k long, p long, price double, days int")
+    sums = {"revenue": F.sum("price"), "timed": F.count("days")}
+    counted = validation._by_key_and_other(df, "k", ["p"], {"dear": F.col("price") > 1}, sums, ["price", "days"])
+    own = validation._own(counted, ["dear"]).first()
+    assert (own["rows"], own["duplicate_keys"], own["null_keys"], own["dear"]) == (4, 1, 1, 2)
+    others = {r["p"]: (r["rows"], r["revenue"], r["timed"]) for r in counted.where("NOT own").collect()}
+    assert others == {7: (3, 6.0, 2), None: (1, None, 1)}
+    assert [(r["revenue"], r["timed"]) for r in counted.where("own").collect()] == [(None, 0)]
+    text = counted._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Scan") == 1
