@@ -15,25 +15,29 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def word_features(own: Column, buckets: int) -> Column:
-    return F.transform(own, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+def word_hashes(own: str) -> Column:
+    return F.transform(own, lambda x: F.xxhash64(x))
 
 
-def pair_features(own: Column, buckets: int) -> Column:
-    """Buckets of two neighbouring words each."""
-    following = F.slice(own, 2, F.greatest(F.size(own), F.lit(1)))
-    both = F.slice(F.zip_with(own, following, lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(own) - 1, F.lit(0)))
-    return F.transform(both, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+def pair_hashes(own: str) -> Column:
+    """Of two neighbouring words each. ``own`` is a column's name: an expression would be computed anew
+    for every word."""
+    firsts = F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0)))
+    return F.transform(firsts, lambda x, i: F.xxhash64(x, F.get(own, i + 1)))
 
 
-def bucket_counts(features: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, bucket, n) of a column ``features``: at most one row per bucket from each task.
+def bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
 
-    The outer form of explode keeps the planner from computing the features once more, to leave
-    out rows without any."""
-    by = by or []
-    flat = features.select(*by, F.explode_outer("features").alias("bucket"))
-    return flat.groupBy(*by, "bucket").agg(F.count("bucket").alias("n")).where("bucket IS NOT NULL")
+
+def bucket_counts(words: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, n) of the words of a column ``w`` and their pairs: at most one row per bucket from each task.
+
+    The outer form of explode keeps the planner from hashing once more, to leave out rows without
+    any. To join the two arrays into one would take as long as to hash the words."""
+    both = words.select(F.explode_outer(F.array(word_hashes("w"), pair_hashes("w"))).alias("hashes"))
+    flat = both.select(F.explode_outer("hashes").alias("h")).select(bucket(F.col("h"), buckets).alias("bucket"))
+    return flat.groupBy("bucket").agg(F.count("bucket").alias("n")).where("bucket IS NOT NULL")
 
 
 def dense(weights: DataFrame, buckets: int, missing: Column) -> Column:

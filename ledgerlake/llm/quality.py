@@ -27,7 +27,7 @@ def _weights(docs: DataFrame, labels: DataFrame, sample: int, buckets: int) -> C
     """log of trusted over raw share per bucket, smoothed by the raw share."""
 
     def counted(rows: DataFrame) -> DataFrame:
-        return hashed.bucket_counts(rows.select(_features(hashed.words(F.col("text")), buckets).alias("features")))
+        return hashed.bucket_counts(rows.select(hashed.words(F.col("text")).alias("w")), buckets)
 
     raw = written(counted(docs), "raw")
     ids = hashed.labelled(labels, F.col("quality") == 1, sample)
@@ -42,18 +42,14 @@ def _weights(docs: DataFrame, labels: DataFrame, sample: int, buckets: int) -> C
     return hashed.dense(both.select("bucket", F.round(ratio, 9).alias("weight")), buckets, F.lit(0.0))
 
 
-def _features(own: Column, buckets: int) -> Column:
-    return F.concat(hashed.word_features(own, buckets), hashed.pair_features(own, buckets))
-
-
 def _repeats(named: DataFrame) -> DataFrame:
     """Adds ``n_repeat_words``: words in three-word windows that the text holds twice or more.
 
-    Windows are compared by 64-bit hash within one text. They are sorted only where there are fewer
-    distinct ones than windows; then equal ones are neighbours."""
+    Windows are compared within one text by a 64-bit hash of the hashes of their words, ``hw``. They are
+    sorted only where there are fewer distinct ones than windows; then equal ones are neighbours."""
     windows = F.transform(
-        F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))),
-        lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)),
+        F.slice("hw", 1, F.greatest(F.size("hw") - 2, F.lit(0))),
+        lambda x, i: F.xxhash64(x, F.get("hw", i + 1), F.get("hw", i + 2)),
     )
     hashes = named.withColumn("h", windows)
     some = F.size(F.array_distinct("h")) < F.size("h")
@@ -87,22 +83,28 @@ def judge(
     weights = _weights(named, labels, sample, buckets)
     cut = named.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("w", hashed.words(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = _repeats(cut.withColumn("lines", lines)).select(
+    counted = _repeats(cut.withColumn("lines", lines).withColumn("hw", hashed.word_hashes("w"))).select(
         F.col("doc_id").alias("id"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.col("n_repeat_words").cast("long").alias("n_repeat_words"),
-        _features(F.col("w"), buckets).alias("f"),
+        "hw",
+        hashed.pair_hashes("w").alias("hp"),
         weights.alias("weights"),
     )
-    total = F.aggregate("f", F.lit(0.0), lambda a, b: a + F.get("weights", b))
+
+    def summed(hashes: str, start: Column) -> Column:
+        return F.aggregate(hashes, start, lambda a, h: a + F.get("weights", hashed.bucket(h, buckets)))
+
+    total = summed("hp", summed("hw", F.lit(0.0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    features = F.size("hw") + F.size("hp")
     scored = counted.withColumn("base_failed", failed).withColumn(
-        "score", F.when(F.size("f") > 0, F.round(total / F.size("f"), 9))
+        "score", F.when(features > 0, F.round(total / features, 9))
     )
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))
     # Written down: a filter or a column that a caller puts on top would be drawn into the counting,
     # which then is done once per word.
-    return written(scored.withColumn("kept", kept).drop("f", "weights"), "judged")
+    return written(scored.withColumn("kept", kept).drop("hw", "hp", "weights"), "judged")

@@ -330,6 +330,21 @@ def test_a_filter_on_top_does_not_slow_the_counting(spark):
     assert time.monotonic() - start < 60
 
 
+def test_quality_hashes_the_text_of_a_word_once_and_of_a_pair_once(spark, monkeypatch):
+    plans, plain = {}, quality.written
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, label)
+
+    monkeypatch.setattr(quality, "written", watched)
+    docs, labels = documents(spark, [(1, "a b c a b c", "en")]), spark.createDataFrame([(1, 1, 0)], LABELS)
+    assert quality.judge(docs, labels).first().n_repeat_words == 6
+    # Of the text's words: windows are hashed from hashes, and pairs look at the next word only.
+    assert len(re.findall(r"\bw#\d+\[", plans["judged"])) == 1
+    assert "concat(" not in plans["raw"] and "concat(" not in plans["judged"]
+
+
 def test_quality_keeps_good_and_drops_junk(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
