@@ -96,16 +96,18 @@ class Encoder:
 
     def _known(self, parts: list[str], known: dict[str, bytes], encoded) -> list[bytes]:
         """Ids of different parts, of which as many are remembered as there is room for."""
-        missing = [p for p in parts if p not in known]
+        out = list(map(known.get, parts))
+        missing = [p for p, ids in zip(parts, out, strict=True) if ids is None]
         if 2 * len(missing) > len(parts) and len(known) + len(missing) > _KNOWN:
             # Other text than before.
             known.clear()
-            missing = parts
-        known.update(zip(missing, encoded(missing), strict=True))
-        out = list(map(known.__getitem__, parts))
-        if len(known) > _KNOWN:
-            for p in missing:
-                del known[p]
+            missing, out = parts, [None] * len(parts)
+        if missing:
+            found = encoded(missing)
+            if len(known) + len(missing) <= _KNOWN:
+                known.update(zip(missing, found, strict=True))
+            rest = iter(found)
+            out = [next(rest) if ids is None else ids for ids in out]
         return out
 
     def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,17 +119,18 @@ class Encoder:
         slices = [(i, s) for i, t in enumerate(texts) if t for s in _slices(t)]
         if not slices:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        firsts, begins, parts = _parted([s for _, s in slices])
-        kinds = parts.dictionary_encode()
+        firsts, begins, kinds = _parted([s for _, s in slices])
         words, signs = (x.dictionary_encode() for x in _cut(kinds.dictionary))
         first = self._encoded(firsts)
         word = self._known(_strings(words.dictionary), self.known, self._words)
         sign = self._known(_strings(signs.dictionary), self.signs, self._encoded)
         own = [*first, *word, *sign, b""]
-        lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        starts, held = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(own), np.uint32)
+        # Half the memory to go through, where the bytes of all ids can be counted so.
+        place = np.int32 if 16 * sum(len(s) for _, s in slices) < 1 << 31 else np.int64
+        lengths = np.fromiter(map(len, own), place, len(own)) // 4
+        starts, held = np.cumsum(lengths, dtype=place) - lengths, np.frombuffer(b"".join(own), np.uint32)
         # Places in ``own`` of the two halves of each part; a first part has one.
-        halves = np.empty((len(firsts) + len(parts), 2), np.int64)
+        halves = np.empty((len(firsts) + len(kinds), 2), place)
         is_first = np.zeros(len(halves), bool)
         is_first[begins] = True
         halves[is_first] = np.stack([np.arange(len(first)), np.full(len(first), len(own) - 1)], axis=1)
@@ -135,8 +138,9 @@ class Encoder:
         halves[~is_first] = both[kinds.indices.to_numpy()]
         codes = halves.ravel()
         n = lengths[codes]
-        ends = np.cumsum(n)
-        values = held[np.arange(ends[-1]) + np.repeat(starts[codes] - ends + n, n)]
+        places = np.repeat(starts[codes] - np.cumsum(n, dtype=place) + n, n)
+        places += np.arange(len(places), dtype=place)
+        values = held[places]
         per_slice = np.add.reduceat(n, 2 * begins)
         sizes = np.zeros(len(texts), np.int64)
         np.add.at(sizes, [i for i, _ in slices], per_slice)
@@ -160,19 +164,25 @@ def _cut(parts: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pc.coalesce(pc.struct_field(found, 0), parts), pc.fill_null(pc.struct_field(found, 1), "")
 
 
-def _parted(slices: list[str]) -> tuple[list[str], np.ndarray, pa.Array]:
-    """(first part of each slice, its place among all parts, all other parts): slices cut before
+def _dealt(parts: pa.Array, begins: np.ndarray) -> tuple[pa.Array, pa.DictionaryArray]:
+    """(parts at ``begins``, the others by kind)."""
+    rest = np.ones(len(parts), bool)
+    rest[begins] = False
+    return parts.take(pa.array(begins)), parts.filter(pa.array(rest)).dictionary_encode()
+
+
+def _parted(slices: list[str]) -> tuple[list[str], np.ndarray, pa.DictionaryArray]:
+    """(first part of each slice, its place among all parts, all other parts by kind): slices cut before
     blanks, which the parts do not show."""
     cut = pc.split_pattern(pa.array(slices, pa.large_string()), " ")
-    parts, begins = cut.values, cut.offsets.to_numpy()[:-1].astype(np.int64)
+    begins = cut.offsets.to_numpy()[:-1].astype(np.int64)
+    firsts, kinds = _dealt(cut.values, begins)
     # Blanks next to white space do not cut: such slices are few, but their run is cut anew.
-    if pc.any(pc.match_substring_regex(parts, _SPACE)).as_py():
+    if any(pc.any(pc.match_substring_regex(x, _SPACE)).as_py() for x in (firsts, kinds.dictionary)):
         found = [_BLANK.split(s) for s in slices]
         begins = np.cumsum([0, *[len(f) for f in found[:-1]]])
-        parts = pa.array([p for f in found for p in f], pa.large_string())
-    rest = np.ones(len(parts), bool)
-    rest[begins] = False
-    return _strings(parts.take(pa.array(begins))), begins, parts.filter(pa.array(rest))
+        firsts, kinds = _dealt(pa.array([p for f in found for p in f], pa.large_string()), begins)
+    return _strings(firsts), begins, kinds
 
 
 def _slices(text: str) -> Iterator[str]:

@@ -49,6 +49,37 @@ def test_ids_are_those_of_the_whole_text(library, encoder, monkeypatch):
         assert [array("I", encoder.encode([text])[0]).tolist() for text in texts] == want
 
 
+def test_a_part_is_looked_at_and_looked_up_once_per_run(library, monkeypatch):
+    with open(tokens.vocabulary_file(), encoding="utf-8") as file:
+        encoder = tokens.Encoder(file.read())
+    seen, plain_match = [], tokens.pc.match_substring_regex
+
+    def watched(parts, pattern):
+        seen.append(len(parts))
+        return plain_match(parts, pattern)
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+    monkeypatch.setattr(tokens.pc, "match_substring_regex", watched)
+    encoder.known = Counted()
+    text = "x " + " ".join(["some words, here"] * 5_000)
+    assert array("I", encoder.encode([text])[0]).tolist() == plain(library, text)
+    assert sum(seen) < 10 and encoder.known.asked == 3
+
+
 def test_a_vocabulary_that_cannot_be_cut_gets_whole_texts():
     with open(tokens.vocabulary_file("word_bpe_49k.json"), encoding="utf-8") as file:
         definition = file.read()
