@@ -13,10 +13,10 @@ import json
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +35,19 @@ STRIPE, INDEX_ROWS = 8 << 20, 1000
 #: Parts of texts whose ids a process remembers; characters cut into parts at a time; words per text
 #: that is made of words.
 _KNOWN, _STEP, _LINES = 1_000_000, 1 << 22, 100
+#: Ids that go with them at most, per part.
+_KNOWN_IDS = 16
 #: Bytes of rows that go to a Python process at a time, and the setting that says so.
 _BATCH, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Of this kind are the vocabularies whose texts may be cut before a blank, see `Encoder`.
 _CUTTABLE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _BLANK = re.compile(r" (?<=\S )")
+#: How such a vocabulary writes a blank.
+_BLANK_BYTE = "\u0120"
 #: Latin letters, a sign, and the rest. An apostrophe may go with letters; what else may is left whole.
 _WORD = r"(?s)^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!\"#$%&()*+,\-./:;<=>?].*)$"
-#: What `str.isspace` says of the last character, or no character.
-_SPACE = r"(?s)^$|[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]$"
+#: A blank that does not cut: at the start, or next to what `str.isspace` knows, or at the end.
+_NO_CUT = r"(?s)(?:^|[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]) | $"
 
 
 def vocabulary_file(name: str = VOCABULARY) -> str:
@@ -52,6 +56,44 @@ def vocabulary_file(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Runs:
+    """Runs of ids, by number."""
+
+    def __init__(self, ids: np.ndarray | None = None, sizes: np.ndarray | None = None):
+        self.clear()
+        if ids is not None:
+            self.ids, self.ends = ids, np.concatenate([self.ends, np.cumsum(sizes, dtype=np.int64)])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def clear(self) -> None:
+        #: ``ends`` begins with zero, so a run goes from its own to the next.
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def with_more(self, more: _Runs) -> _Runs:
+        out = _Runs()
+        out.ids = np.concatenate([self.ids, more.ids])
+        out.ends = np.concatenate([self.ends, self.ends[-1] + more.ends[1:]])
+        return out
+
+    def add(self, more: _Runs) -> None:
+        both = self.with_more(more)
+        self.ids, self.ends = both.ids, both.ends
+
+    def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the runs of these numbers one after the other, number of ids of each)"""
+        starts = self.ends[places]
+        n = self.ends[places + 1] - starts
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        # Half the memory to go through, where places of ids can be counted so.
+        kind = np.int32 if max(total, len(self.ids)) < 1 << 31 else np.int64
+        found = np.repeat((starts - ends + n).astype(kind), n)
+        found += np.arange(total, dtype=kind)
+        return self.ids[found], n
+
+
 class Encoder:
     """Ids of whole texts. A byte-level vocabulary has no token that goes on from another character
     into white space, or from a letter into a sign, so a text is cut there; each different part is
@@ -70,80 +112,81 @@ class Encoder:
             and all(kind.get(k) == v for k, v in _CUTTABLE.items())
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in parts["added_tokens"])
         )
-        #: Ids as bytes of parts that follow a blank, blank included, and of signs after letters.
-        self.known: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
-        self.line_end = self.library.encode("\n", add_special_tokens=False).ids[0] if self.cuttable else None
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words after a blank. Those of letters alone are encoded many at a time, a line each:
-        a line end next to a blank is a token of its own, which is in no word."""
-        lines = [w for w in words if w.isalpha()]
-        texts = ["".join([f" {w}\n" for w in lines[i : i + _LINES]]) for i in range(0, len(lines), _LINES)]
-        out: dict[str, bytes] = {}
-        for k, found in enumerate(self.library.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
-            ends, raw = 4 * np.flatnonzero(ids == self.line_end), ids.tobytes()
-            own = [raw[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
-            out.update(zip(lines[k * _LINES : (k + 1) * _LINES], own, strict=True))
-        others = [w for w in words if w not in out]
-        out.update(zip(others, self._encoded([" " + w for w in others]), strict=True))
-        return [out[w] for w in words]
-
-    def _known(self, parts: list[str], known: dict[str, bytes], encoded) -> list[bytes]:
+        #: Numbers of runs of remembered ids: of parts that follow a blank, blank included, and of signs after letters.
+        self.known: dict[str, int] = {}
+        self.signs: dict[str, int] = {}
+        self.known_ids, self.signs_ids = _Runs(), _Runs()
+        #: Which ids begin with a blank.
+        ids = self.library.get_vocab(with_added_tokens=False)
+        self.blank = np.zeros(max(self.library.get_vocab().values(), default=0) + 1, bool)
+        self.blank[np.array([i for token, i in ids.items() if token.startswith(_BLANK_BYTE)], np.int64)] = True
+
+    def _encoded(self, texts: list[str]) -> _Runs:
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return _Runs(np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64))
+
+    def _words(self, words: list[str]) -> _Runs:
+        """Ids of words after a blank. Those of letters alone are encoded many at a time: a blank before
+        a letter begins a token, and no other byte of a word is a blank."""
+        letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+        lines, others = list(compress(words, letters)), list(compress(words, ~letters))
+        texts = [" " + " ".join(lines[i : i + _LINES]) for i in range(0, len(lines), _LINES)]
+        ids = self._encoded(texts).ids
+        starts = np.flatnonzero(self.blank[ids])
+        if len(starts) != len(lines):
+            return self._encoded([" " + w for w in words])
+        own = _Runs(ids, np.diff(starts, append=len(ids)))
+        if not others:
+            return own
+        own.add(self._encoded([" " + w for w in others]))
+        places = np.empty(len(words), np.int64)
+        places[letters], places[~letters] = np.arange(len(lines)), len(lines) + np.arange(len(others))
+        return _Runs(*own.at(places))
+
+    def _known(self, parts: list[str], known: dict[str, int], held: _Runs, encoded) -> tuple[np.ndarray, np.ndarray]:
         """Ids of different parts, of which as many are remembered as there is room for."""
         out = list(map(known.get, parts))
-        missing = [p for p, ids in zip(parts, out, strict=True) if ids is None]
+        missing = [p for p, place in zip(parts, out, strict=True) if place is None]
         if 2 * len(missing) > len(parts) and len(known) + len(missing) > _KNOWN:
             # Other text than before.
             known.clear()
+            held.clear()
             missing, out = parts, [None] * len(parts)
+        places = np.array(out, np.float64)
         if missing:
-            found = encoded(missing)
-            if len(known) + len(missing) <= _KNOWN:
-                known.update(zip(missing, found, strict=True))
-            rest = iter(found)
-            out = [next(rest) if ids is None else ids for ids in out]
-        return out
+            n = len(held)
+            places[np.isnan(places)] = n + np.arange(len(missing))
+            all_ids = held.with_more(encoded(missing))
+            if len(known) + len(missing) <= _KNOWN and len(all_ids.ids) <= _KNOWN_IDS * _KNOWN:
+                known.update(zip(missing, range(n, n + len(missing)), strict=True))
+                held.ids, held.ends = all_ids.ids, all_ids.ends
+            held = all_ids
+        return held.at(places.astype(np.int64))
 
     def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids per text), without ends."""
         if not self.cuttable:
             found = self._encoded([t or "" for t in texts])
-            sizes = np.array([len(f) // 4 for f in found], np.int64)
-            return np.frombuffer(b"".join(found), np.uint32), sizes
+            return found.ids, np.diff(found.ends)
         slices = [(i, s) for i, t in enumerate(texts) if t for s in _slices(t)]
         if not slices:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         firsts, begins, kinds = _parted([s for _, s in slices])
         words, signs = (x.dictionary_encode() for x in _cut(kinds.dictionary))
-        first = self._encoded(firsts)
-        word = self._known(_strings(words.dictionary), self.known, self._words)
-        sign = self._known(_strings(signs.dictionary), self.signs, self._encoded)
-        own = [*first, *word, *sign, b""]
-        # Half the memory to go through, where the bytes of all ids can be counted so.
-        place = np.int32 if 16 * sum(len(s) for _, s in slices) < 1 << 31 else np.int64
-        lengths = np.fromiter(map(len, own), place, len(own)) // 4
-        starts, held = np.cumsum(lengths, dtype=place) - lengths, np.frombuffer(b"".join(own), np.uint32)
-        # Places in ``own`` of the two halves of each part; a first part has one.
-        halves = np.empty((len(firsts) + len(kinds), 2), place)
-        is_first = np.zeros(len(halves), bool)
+        halves = _Runs(*self._known(_strings(words.dictionary), self.known, self.known_ids, self._words))
+        halves.add(_Runs(*self._known(_strings(signs.dictionary), self.signs, self.signs_ids, self._encoded)))
+        both = np.stack([words.indices.to_numpy(), signs.indices.to_numpy() + len(words.dictionary)], axis=1)
+        ids, n = halves.at(both.ravel())
+        own = self._encoded(firsts)
+        own.add(_Runs(ids, n.reshape(-1, 2).sum(axis=1)))
+        # Places in ``own`` of all parts.
+        is_first = np.zeros(len(firsts) + len(kinds), bool)
         is_first[begins] = True
-        halves[is_first] = np.stack([np.arange(len(first)), np.full(len(first), len(own) - 1)], axis=1)
-        both = np.stack([words.indices.to_numpy(), signs.indices.to_numpy() + len(word)], axis=1) + len(first)
-        halves[~is_first] = both[kinds.indices.to_numpy()]
-        codes = halves.ravel()
-        n = lengths[codes]
-        places = np.repeat(starts[codes] - np.cumsum(n, dtype=place) + n, n)
-        places += np.arange(len(places), dtype=place)
-        values = held[places]
-        per_slice = np.add.reduceat(n, 2 * begins)
+        places = np.empty(len(is_first), np.int64)
+        places[is_first], places[~is_first] = np.arange(len(firsts)), kinds.indices.to_numpy() + len(firsts)
+        values, n = own.at(places)
         sizes = np.zeros(len(texts), np.int64)
-        np.add.at(sizes, [i for i, _ in slices], per_slice)
+        np.add.at(sizes, [i for i, _ in slices], np.add.reduceat(n, begins))
         return values, sizes
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -164,25 +207,21 @@ def _cut(parts: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pc.coalesce(pc.struct_field(found, 0), parts), pc.fill_null(pc.struct_field(found, 1), "")
 
 
-def _dealt(parts: pa.Array, begins: np.ndarray) -> tuple[pa.Array, pa.DictionaryArray]:
-    """(parts at ``begins``, the others by kind)."""
-    rest = np.ones(len(parts), bool)
-    rest[begins] = False
-    return parts.take(pa.array(begins)), parts.filter(pa.array(rest)).dictionary_encode()
-
-
 def _parted(slices: list[str]) -> tuple[list[str], np.ndarray, pa.DictionaryArray]:
     """(first part of each slice, its place among all parts, all other parts by kind): slices cut before
     blanks, which the parts do not show."""
-    cut = pc.split_pattern(pa.array(slices, pa.large_string()), " ")
-    begins = cut.offsets.to_numpy()[:-1].astype(np.int64)
-    firsts, kinds = _dealt(cut.values, begins)
     # Blanks next to white space do not cut: such slices are few, but their run is cut anew.
-    if any(pc.any(pc.match_substring_regex(x, _SPACE)).as_py() for x in (firsts, kinds.dictionary)):
+    if pc.any(pc.match_substring_regex(pa.array(slices, pa.large_string()), _NO_CUT)).as_py():
         found = [_BLANK.split(s) for s in slices]
-        begins = np.cumsum([0, *[len(f) for f in found[:-1]]])
-        firsts, kinds = _dealt(pa.array([p for f in found for p in f], pa.large_string()), begins)
-    return _strings(firsts), begins, kinds
+        firsts, others = [f[0] for f in found], np.array([len(f) - 1 for f in found], np.int64)
+        kinds = pa.array([p for f in found for p in f[1:]], pa.large_string()).dictionary_encode()
+    else:
+        halves = [s.split(" ", 1) for s in slices]
+        firsts, rests = [h[0] for h in halves], [h[1] for h in halves if len(h) > 1]
+        cut = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        others, kinds = np.zeros(len(slices), np.int64), cut.values.dictionary_encode()
+        others[[len(h) > 1 for h in halves]] = np.diff(cut.offsets.to_numpy())
+    return firsts, np.cumsum(others + 1) - others - 1, kinds
 
 
 def _slices(text: str) -> Iterator[str]:

@@ -80,6 +80,24 @@ def test_a_part_is_looked_at_and_looked_up_once_per_run(library, monkeypatch):
     assert sum(seen) < 10 and encoder.known.asked == 3
 
 
+def test_new_words_cost_the_library_one_blank_each(library):
+    with open(tokens.vocabulary_file(), encoding="utf-8") as file:
+        encoder = tokens.Encoder(file.read())
+    handed = []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.library = Watched()
+    words = [a + b + c for a in "xyzé" for b in "aeiouñ" for c in ("", "ing", "tion", "ß")]
+    text = " ".join(["first", *words, "1.5", *words])
+    for _ in range(2):
+        assert array("I", encoder.encode([text])[0]).tolist() == plain(library, text)
+    assert sum(map(len, handed)) == 2 * len("first") + sum(len(" " + w) for w in [*words, "1.5"])
+
+
 def test_a_vocabulary_that_cannot_be_cut_gets_whole_texts():
     with open(tokens.vocabulary_file("word_bpe_49k.json"), encoding="utf-8") as file:
         definition = file.read()
